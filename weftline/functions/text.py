@@ -41,11 +41,15 @@ def word_offset(text: Column, index: Column) -> Column:
 
 
 def shingles(text: Column, n: int = 5) -> Column:
-    """Set of character n-grams starting at 0 .. len-n-1; the last start is left out."""
-    return F.when(
-        F.length(text) > n,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n), lambda i: F.substr(text, i, F.lit(n)))),
-    ).otherwise(F.array().cast("array<string>"))
+    """Set of character n-grams starting at 0 .. len-n-1; the last start is left out.
+
+    Characters are split once and joined by index: a substring per start would
+    walk the text from its beginning each time.
+    """
+    def grams(chars):
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - n - 1), lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+    cut = F.transform(F.array(F.split(text, "")), lambda chars: F.array_distinct(grams(chars)))
+    return F.when(F.length(text) > n, F.get(cut, F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column, mode: str = "union") -> Column:

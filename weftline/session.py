@@ -56,3 +56,13 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small table one partition per core before heavy per-row work.
+
+    A table of few files is read by few tasks; moving it costs little. Tables
+    with at least a file per core keep their scan partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
