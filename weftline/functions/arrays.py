@@ -7,6 +7,16 @@ from pyspark.sql import Column, functions as F
 from .text import blank_tokens
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once; inside a lambda an outer expression is evaluated per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def total(values: Column | str) -> Column:
+    """Sum of an integer array."""
+    return F.aggregate(values, F.lit(0), lambda s, x: s + x)
+
+
 def word_ids(text: Column) -> Column:
     """Portable word ids: 24 bits of each lower-cased word's digest, plus one (0 is padding)."""
     return F.transform(blank_tokens(text), lambda w: F.conv(F.substring(F.md5(F.lower(w)), 1, 6), 16, 10).cast("bigint") + 1)

@@ -68,6 +68,11 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, matched, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the biggest group: one number, combined before the shuffle."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def with_group_index(df: DataFrame, keys: list[str], order: list, name: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """0-based position inside each group.
 
@@ -75,8 +80,7 @@ def with_group_index(df: DataFrame, keys: list[str], order: list, name: str, lim
     largest group was counted; beyond ``limit`` positions come from the global
     index minus the first index of the group.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
+    if largest_group(df, keys) <= limit:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
     indexed = with_row_index(df, [F.col(k) for k in keys] + list(order), "_global")
     firsts = indexed.groupBy(*keys).agg(F.min("_global").alias("_first"))
@@ -105,8 +109,7 @@ def with_last_before(df: DataFrame, keys: list[str], order: list, when: Column,
     Beyond ``limit`` rows in a group the value is found inside each range
     partition and carried over from one row per earlier partition.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= limit:
+    if largest_group(df, keys) <= limit:
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.last(F.when(when, value), ignorenulls=True).over(before))
     hit = F.when(when, F.struct(*keys, value.alias("_val")))
@@ -119,3 +122,26 @@ def with_last_before(df: DataFrame, keys: list[str], order: list, when: Column,
         "_last", F.coalesce(F.last("_hit", ignorenulls=True).over(inside), F.col("_carry")))
     same = reduce(lambda a, b: a & b, [F.col(f"_last.{k}").eqNullSafe(F.col(k)) for k in keys])
     return seen.withColumn(name, F.when(same, F.col("_last._val"))).drop("_part", "_at", "_hit", "_carry", "_last")
+
+
+def with_group_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column], limit: int = GROUP_LIMIT) -> DataFrame:
+    """Exclusive running sums of whole, non-negative ``totals`` inside each group."""
+    if largest_group(df, keys) <= limit:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(v.cast("bigint")).over(before), F.lit(0)).alias(n) for n, v in totals.items()])
+    run = with_running_totals(df, [F.col(k) for k in keys] + list(order), totals)
+    # sums never fall, so the smallest one of a group is its start
+    starts = run.groupBy(*keys).agg(*[F.min(n).alias(f"_s_{n}") for n in totals])
+    out = same_keys(run, starts, keys)
+    return out.withColumns({n: F.col(n) - F.col(f"_s_{n}") for n in totals}).drop(*[f"_s_{n}" for n in totals])
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """Linear-interpolated quantile by position: two rows reach the driver."""
+    n = df.count()
+    if n == 0:
+        return None
+    at = q * (n - 1)
+    low, high = int(at), min(int(at) + 1, n - 1)
+    near = {r[0]: r[1] for r in with_row_index(df.select(value), [value], "_pos").filter(F.col("_pos").isin(low, high)).select("_pos", value).collect()}
+    return near[low] + (near[high] - near[low]) * (at - low)

@@ -13,7 +13,7 @@ ROLLOUTS = """rollouts AS (
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_tax) - 1 AS sample_idx,
     CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
     CASE WHEN l_returnflag <> 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_score,
-    CASE WHEN l_linestatus = 'F' THEN 'plain' ELSE 'hint' END AS variant,
+    CASE WHEN l_linestatus = 'F' THEN 'plain' WHEN l_tax < 0.04 THEN 'hint' ELSE 'cot' END AS variant,
     l_quantity::INT AS resp_len, l_discount AS rm_score, l_partkey AS prompt_len
   FROM lineitem)"""
 
@@ -25,7 +25,7 @@ def rollouts(t, indexed: bool = False) -> DataFrame:
         F.col("l_orderkey").alias("uid"),
         F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("score"),
         F.when(F.col("l_returnflag") != "A", 1.0).otherwise(0.0).alias("format_score"),
-        F.when(F.col("l_linestatus") == "F", "plain").otherwise("hint").alias("variant"),
+        F.when(F.col("l_linestatus") == "F", "plain").when(F.col("l_tax") < 0.04, "hint").otherwise("cot").alias("variant"),
         F.col("l_quantity").cast("int").alias("resp_len"),
         F.col("l_discount").alias("rm_score"),
         F.col("l_partkey").alias("prompt_len"),
