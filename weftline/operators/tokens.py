@@ -29,7 +29,8 @@ def kl_penalty(lp: Column, ref: Column, kind: str) -> Column:
 def eos_mask(ids: Column, eos: list[int]) -> Column:
     """1 up to and including the first end id."""
     first = F.least(*[F.when(F.array_position(ids, e) > 0, F.array_position(ids, e)).otherwise(F.size(ids)) for e in eos], F.size(ids))
-    return let(first, lambda f: F.transform(ids, lambda _, i: (i < f).cast("int")))
+    first = first.cast("int")
+    return F.concat(F.array_repeat(F.lit(1), first), F.array_repeat(F.lit(0), F.size(ids) - first))
 
 
 def position_ids(mask: Column) -> Column:
@@ -44,8 +45,9 @@ def position_ids(mask: Column) -> Column:
 
 def expand_to_token(score: Column, mask: Column) -> Column:
     """The sequence score on the last valid token, zeros elsewhere."""
-    bound = F.struct((total(mask) - 1).alias("last"), score.cast("double").alias("score"))
-    return let(bound, lambda b: F.transform(mask, lambda _, i: F.when(i == b["last"], b["score"]).otherwise(0.0)))
+    ones, value = total(mask), score.cast("double")
+    placed = F.concat(F.array_repeat(F.lit(0.0), ones - 1), F.array(value), F.array_repeat(F.lit(0.0), F.size(mask) - ones))
+    return F.when(ones > 0, placed).otherwise(F.array_repeat(F.lit(0.0), F.size(mask)))
 
 
 def remove_pad(ids: Column, mask: Column) -> Column:

@@ -112,19 +112,39 @@ def doc_ids(t) -> DataFrame:
     return t.documents.select("doc_id", "source", "lang", word_ids(F.col("text")).alias("ids"))
 
 
-# Answers with a boxed and a marked number; the truth agrees for two of three conversations.
-ANSWERS = """answers AS (
-  SELECT conv_id, turn, text || ' So it is \\boxed{' || n || '}' || chr(10) || '#### ' || n AS response,
-    (CASE WHEN conv_id % 3 = 0 THEN n + 1 ELSE n END)::VARCHAR AS truth, n
-  FROM (SELECT *, length(text) % 97 AS n FROM conversations))"""
+# Answers with a boxed answer in eight notations and a marked number; the truth
+# agrees for two of three conversations.
+FORMS = ["{n}", "\\frac{{{n}}}{{7}}", "{n}/7", "\\dfrac{{{n}}}{{7}}", "{n}\\%", "\\left( {n}, 7 \\right)", "x = {n}", "{n} \\text{{ cm}}"]
+TRUTHS = ["{n}", "{n}/7", "\\frac{{{n}}}{{7}}", "\\frac{{{n}}}{{7}}", "{n}", "({n},7)", "{n}", "{n}"]
+
+
+def _form_sql(forms: list[str], number: str) -> str:
+    def one(f):
+        return "'" + f.format(n="' || " + number + " || '") + "'"
+    return "CASE n % 8 " + " ".join(f"WHEN {i} THEN {one(f)}" for i, f in enumerate(forms)) + " END"
+
+
+ANSWERS = f"""answers AS (
+  SELECT conv_id, turn, n, text || ' So it is \\boxed{{' || {_form_sql(FORMS, 'n')} || '}}' || chr(10) || '#### ' || n AS response, {_form_sql(TRUTHS, 'm')} AS truth, m::VARCHAR AS number
+  FROM (SELECT *, CASE WHEN conv_id % 3 = 0 THEN n + 1 ELSE n END AS m FROM (SELECT *, length(text) % 97 AS n FROM conversations)))"""
+
+
+def _form(forms, number):
+    out = None
+    for i, f in enumerate(forms):
+        left, right = f.replace("{n}", "\x01", 1).format().split("\x01")
+        text = F.concat(F.lit(left), number.cast("string"), F.lit(right))
+        out = F.when(F.col("n") % 8 == i, text) if out is None else out.when(F.col("n") % 8 == i, text)
+    return out
 
 
 def answers(t) -> DataFrame:
     c = t.conversations.withColumn("n", F.length("text").cast("bigint") % 97)
+    c = c.withColumn("m", F.when(F.col("conv_id") % 3 == 0, F.col("n") + 1).otherwise(F.col("n")))
     return c.select(
-        "conv_id", "turn",
-        F.concat("text", F.lit(" So it is \\boxed{"), F.col("n").cast("string"), F.lit("}\n#### "), F.col("n").cast("string")).alias("response"),
-        F.when(F.col("conv_id") % 3 == 0, F.col("n") + 1).otherwise(F.col("n")).cast("string").alias("truth"), "n")
+        "conv_id", "turn", "n",
+        F.concat("text", F.lit(" So it is \\boxed{"), _form(FORMS, F.col("n")), F.lit("}\n#### "), F.col("n").cast("string")).alias("response"),
+        _form(TRUTHS, F.col("m")).alias("truth"), F.col("m").cast("string").alias("number"))
 
 
 # Retrieval fixture: a vector is a chunk, its label the document, label % 3 the dataset.
