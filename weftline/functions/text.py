@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -189,4 +190,28 @@ def has_answer(text: Column, answers: Column, mode: str = "string") -> Column:
         def flat(x):
             return F.concat(F.lit("\x01"), F.array_join(answer_tokens(x), "\x01"), F.lit("\x01"))
         return F.exists(answers, lambda a: F.contains(flat(text), flat(a)))
-    return F.exists(answers, lambda a: F.regexp_like(text, F.concat(F.lit("(?ism)"), a)))
+    return _any_pattern(text, answers)
+
+
+@F.pandas_udf(T.BooleanType())
+def _any_pattern(texts: pd.Series, answers: pd.Series) -> pd.Series:
+    """Case-insensitive search of user patterns; a pattern that does not compile is no match.
+
+    Spark fails the job on a bad pattern, so these are compiled in Python.
+    """
+    compiled: dict[str, re.Pattern | None] = {}
+
+    def search(pattern: str, text: str) -> bool:
+        if pattern not in compiled:
+            try:
+                compiled[pattern] = re.compile(pattern, re.IGNORECASE | re.UNICODE | re.MULTILINE)
+            except re.error:
+                compiled[pattern] = None
+        return compiled[pattern] is not None and compiled[pattern].search(text) is not None
+    return pd.Series([any(search(p, t) for p in ps) for t, ps in zip(texts, answers)])
+
+
+@F.pandas_udf(T.StringType())
+def nfd(texts: pd.Series) -> pd.Series:
+    """Canonically decomposed text (no built-in function does this)."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))

@@ -42,12 +42,10 @@ def with_row_index(df: DataFrame, order: list, name: str = "row_idx") -> DataFra
     )
 
 
-def with_running_totals(df: DataFrame, order: list, totals: dict[str, Column], index: str | None = None) -> DataFrame:
-    """Exclusive running sums of ``totals`` under ``order`` (and the position, if named)."""
-    valued = df.select("*", *[v.cast("bigint").alias(f"_v_{n}") for n, v in totals.items()])
-    if index:
-        valued = valued.withColumn(f"_v_{index}", F.lit(1).cast("bigint"))
-    names = list(totals) + ([index] if index else [])
+def with_running_totals(df: DataFrame, order: list, totals: dict[str, Column], kind: str = "bigint") -> DataFrame:
+    """Exclusive running sums of ``totals`` under ``order``."""
+    valued = df.select("*", *[v.cast(kind).alias(f"_v_{n}") for n, v in totals.items()])
+    names = list(totals)
     placed = _placed(valued, order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
