@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import minhash
 from ..functions.text import jaccard, shingles
-from ..session import spread, stage
+from ..session import spread, spread_pairs, stage
 
 
 def exact_copies(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,14 +42,20 @@ def minhash_lsh_candidates(df: DataFrame, key: str, text: str, num_perm: int = 1
 
 
 def verify_pairs(pairs: DataFrame, df: DataFrame, key: str, text: str, metric: str = "union", ngram: int = 5) -> DataFrame:
-    """Shingle overlap of each pair."""
+    """Shingle overlap of each pair.
+
+    Pairs are staged first: their size is then known, and a short list is sent
+    to the texts instead of moving the corpus.
+    """
+    pairs = stage(pairs, "pairs")
     texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     both = (
         pairs.join(texts.withColumnsRenamed({"_k": "main", "_t": "_a"}), "main")
         .join(texts.withColumnsRenamed({"_k": "other", "_t": "_b"}), "other")
     )
-    sets = both.repartition("main", "other").select("main", "other", shingles(F.col("_a"), ngram).alias("_a"), shingles(F.col("_b"), ngram).alias("_b"))
-    return sets.select("main", "other", jaccard(F.col("_a"), F.col("_b"), metric).alias("sim"))
+    sets = spread_pairs(both, "main", "other").select("main", "other", shingles(F.col("_a"), ngram).alias("_a"), shingles(F.col("_b"), ngram).alias("_b"))
+    # staged, since a filter on sim would be pushed down and build the sets again
+    return stage(sets.select("main", "other", jaccard(F.col("_a"), F.col("_b"), metric).alias("sim")), "sims")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str, text: str, metric: str = "union", threshold: float = 0.5,
@@ -73,7 +79,7 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, metric: str = "unio
         while step != heuristic_iter and not members.isEmpty():
             faced = stage(_with_main(members, key), "faced")
             pairs = faced.select("main", F.col(key).alias("other")).distinct()
-            hits = stage(verify_pairs(pairs, source, key, text, metric, ngram).filter(F.col("sim") > threshold), "hits")
+            hits = verify_pairs(pairs, source, key, text, metric, ngram).filter(F.col("sim") > threshold)
             found.append(hits)
             left = faced.join(hits.select("main", F.col("other").alias(key)), ["main", key], "left_anti").drop("main")
             # a bucket with one member left has nothing to compare

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.arrays import let, total
+from ..session import stage
 from .index import attach_group, attach_single, exact_quantile
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -113,13 +114,13 @@ def gae(df: DataFrame, rewards: str, values: str, mask: str, gamma: float, lam:
     nxt = F.concat(F.slice(v, F.lit(2), F.size(v)), F.array(F.lit(0.0)))
     delta = F.zip_with(F.zip_with(rewards, nxt, lambda r, n: r + gamma * n), values, lambda d, x: d - x)
     raw = df.withColumn("_adv", discounted(delta, gamma * lam)).withColumn("returns", F.zip_with("_adv", values, lambda a, x: a + x))
-    return masked_whiten(raw, "_adv", mask, "advantages").drop("_adv")
+    return masked_whiten(stage(raw, "returns"), "_adv", mask, "advantages").drop("_adv")
 
 
 def reinforce_pp(df: DataFrame, rewards: str, mask: str, gamma: float) -> DataFrame:
     """Discounted returns reset after the end; advantages are whitened and masked."""
     raw = df.withColumn("returns", discounted(F.col(rewards), gamma, F.col(mask)))
-    return masked_whiten(raw, "returns", mask, "advantages", remask=True)
+    return masked_whiten(stage(raw, "returns"), "returns", mask, "advantages", remask=True)
 
 
 def remax(df: DataFrame, rewards: str, mask: str, baseline: str) -> DataFrame:
@@ -145,7 +146,8 @@ def rloo(df: DataFrame, uid: str, mask: str, token_scores: str, final_score: str
     fin = expand_to_token(centred(F.col(final_score), F.col("_fs")), F.col(mask))
     parts = both.withColumn("_a", discounted(tok, token_gamma)).withColumn("_b", discounted(fin, final_gamma))
     raw = parts.withColumn("returns", F.zip_with("_a", "_b", lambda a, b: a + b)).drop("_rm", "_n", "_ts", "_fs", "_a", "_b")
-    return masked_whiten(raw, "returns", mask, "advantages")
+    # read twice, for the statistics and for the rows
+    return masked_whiten(stage(raw, "returns"), "returns", mask, "advantages")
 
 
 def kl_shaped_reward(df: DataFrame, scores: str, lp: str, ref: str | None, mask: str, beta: float, kind: str = "kl") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import assembly as asm
 from ..operators.index import with_group_index, with_running_totals
+from ..session import stage
 from . import views
 from .registry import joined, query, r6
 
@@ -18,13 +19,13 @@ SENTS = """sents AS (SELECT doc_id, lang, list_transform(s, lambda x: len(list_f
 
 def sents(t):
     s = tx.split_sentences(F.col("text"))
-    return t.documents.select("doc_id", "lang", F.transform(s, lambda x: F.size(tx.blank_tokens(x)).cast("bigint")).alias("sizes"))
+    return stage(views.documents(t).select("doc_id", "lang", F.transform(s, lambda x: F.size(tx.blank_tokens(x)).cast("bigint")).alias("sizes")), "sentences")
 
 
 @query("split_sentences", """SELECT doc_id, i, s FROM (SELECT doc_id, unnest(s) AS s, unnest(range(0, len(s))) AS i FROM (
   SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents))""")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("i", "s")).withColumn("i", F.col("i").cast("bigint"))
+    return views.documents(t).select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("i", "s")).withColumn("i", F.col("i").cast("bigint"))
 
 
 @query("split_sentences_keep", """SELECT doc_id, len(s)::BIGINT AS n, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars FROM (
@@ -196,7 +197,7 @@ def _(t):
 
 
 def _batched(t):
-    sizes = t.documents.select("doc_id", F.size(tx.blank_tokens(F.col("text"))).cast("bigint").alias("n_tokens"))
+    sizes = stage(views.documents(t).select("doc_id", F.size(tx.blank_tokens(F.col("text"))).cast("bigint").alias("n_tokens")), "lengths")
     return sizes.withColumn("batch", F.floor(F.col("doc_id") / 64))
 
 

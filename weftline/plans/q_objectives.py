@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as ar, text as tx
 from ..functions.wordpiece import wordpiece
 from ..operators import objectives as ob
-from ..session import spread
+from ..session import spread, stage
 from . import views
 from .q_assembly import SENTS, sents
 from .registry import joined, query
@@ -30,12 +30,12 @@ def _mask(n, length):
 
 @query("general_clean", "SELECT doc_id, regexp_replace(text, '  +|([\\p{L}\\p{N}_])\\n+ ?', '\\1 ', 'g') AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", tx.general_clean(F.col("text")).alias("text"))
+    return views.documents(t).select("doc_id", tx.general_clean(F.col("text")).alias("text"))
 
 
 @query("clean_text", "SELECT doc_id, replace(replace(replace(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' . ', '. '), ' . ', '. '), ' . ', '. ') AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+    return views.documents(t).select("doc_id", tx.clean_text(F.col("text")).alias("text"))
 
 
 def _rules(rules, x):
@@ -49,14 +49,14 @@ def _rules(rules, x):
 
 @query("detokenize", f"SELECT doc_id, {_rules(tx._PTB, 'text')} AS ptb, {_rules(tx._WIKI, 'text')} AS wiki FROM documents")
 def _(t):
-    return t.documents.select("doc_id", tx.detokenize(F.col("text"), "data/ptb.txt").alias("ptb"), tx.detokenize(F.col("text"), "wikitext").alias("wiki"))
+    return views.documents(t).select("doc_id", tx.detokenize(F.col("text"), "data/ptb.txt").alias("ptb"), tx.detokenize(F.col("text"), "wikitext").alias("wiki"))
 
 
 @query("fix_text", "SELECT doc_id, text AS repaired FROM documents")
 def _(t):
     # texts are spoilt by reading their UTF-8 bytes as Latin-1 (bytes that Latin-1 shows as controls survive the round trip)
     spoilt = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return t.documents.select("doc_id", tx.fix_text(spoilt).alias("repaired"))
+    return views.documents(t).select("doc_id", tx.fix_text(spoilt).alias("repaired"))
 
 
 @query("pad_or_truncate", f"""WITH {I} SELECT doc_id, {_j("list_concat(list_transform(range(0, greatest(300 - len(ids), 0)), lambda q: 0::BIGINT), ids[greatest(len(ids) - 299, 1):])")} AS left_ids,
@@ -107,7 +107,7 @@ SELECT doc_id, md5({_j('CASE WHEN len(p) > 0 THEN list_append(flatten(p), 0::BIG
   {_j('list_transform(range(1, len(p) + 1), lambda i: len(p[i]) + CASE WHEN i = len(p) THEN 1 ELSE 0 END)')} AS lengths FROM e""")
 def _(t):
     ids, lengths = ar.encode_sentences(tx.split_sentences(F.col("text")), eod=0)
-    return t.documents.select("doc_id", F.md5(joined(ids)).alias("ids"), joined(lengths).alias("lengths"))
+    return views.documents(t).select("doc_id", F.md5(joined(ids)).alias("ids"), joined(lengths).alias("lengths"))
 
 
 PAIR_IDS = f"""{views.PAIRS}, p AS (SELECT uid, {WID.format(x='text_a')} AS a, {WID.format(x='text_b')} AS b FROM pairs)"""
@@ -199,7 +199,7 @@ sid AS (SELECT doc_id, list_filter(list_transform(s, lambda x: {WID.format(x='x'
 
 def _sentence_ids(t):
     parts = F.filter(F.transform(tx.split_sentences(F.col("text")), ar.word_ids), lambda s: F.size(s) > 0)
-    return t.documents.select("doc_id", parts.alias("p"))
+    return stage(views.documents(t).select("doc_id", parts.alias("p")), "sentence_ids")
 
 
 @query("segment_pair", f"""WITH {SENT_IDS}, c AS (SELECT doc_id, p, len(p) AS n, CASE WHEN len(p) >= 3 THEN 1 + {_h('4cut', 'doc_id')} % (len(p) - 1) ELSE 1 END AS cut, {_h('4swap', 'doc_id')} < 2147483648 AS sw FROM sid WHERE len(p) > 1),
@@ -238,7 +238,7 @@ def _(t):
 
 @query("span_corruption")
 def _(t):
-    df = spread(views.doc_ids(t).select("doc_id", "ids"), "doc_id")
+    df = views.doc_ids(t).select("doc_id", "ids")
     out = ob.span_corruption(df, "doc_id", "ids", 200, 256, 128, 0.15, seed=8, bos=1, eos=2, first_sentinel=100_000_000)
     return out.select("doc_id", "truncated", *[joined(F.col(c)).alias(c) for c in ("text_enc", "text_dec", "labels", "loss_mask")])
 

@@ -184,7 +184,7 @@ IS_ENGLISH = f"({_hits('en')} > 0 AND {_hits('en')} >= greatest({_hits('fr')}, {
 
 @query("is_english", f"SELECT doc_id, lang, {IS_ENGLISH} AS english FROM documents")
 def _(t):
-    return t.documents.select("doc_id", "lang", tx.is_english(F.col("text")).alias("english"))
+    return views.documents(t).select("doc_id", "lang", tx.is_english(F.col("text")).alias("english"))
 
 
 GENERAL = "regexp_replace(text, '  +|([\\p{L}\\p{N}_])\\n+ ?', '\\1 ', 'g')"
@@ -195,7 +195,7 @@ WITH r AS (SELECT *, CASE WHEN length(text) < 256 AND contains(lower(text), 'jav
   WHEN length(text) < 512 AND NOT {IS_ENGLISH} THEN 'remove_512_non_english' ELSE 'general_cleaning' END AS rule FROM documents)
 SELECT doc_id, rule, starts_with(rule, 'remove') AS removed, CASE WHEN rule = 'general_cleaning' THEN {GENERAL} ELSE text END AS new_text FROM r""")
 def _(t):
-    return cleaning.cleanup_rules(t.documents, "text", ("remove_256_javascript", "remove_512_non_english", "general_cleaning")).select(
+    return cleaning.cleanup_rules(views.documents(t), "text", ("remove_256_javascript", "remove_512_non_english", "general_cleaning")).select(
         "doc_id", "rule", "removed", "new_text")
 
 
@@ -207,7 +207,7 @@ s AS (SELECT *, CASE WHEN lang <> 'en' THEN 'non_english' WHEN length(text) < 10
 
 @query("clean_corpus", f"WITH {STATUS} SELECT doc_id, status, fixed, text FROM s")
 def _(t):
-    return cleaning.clean_corpus(t.documents, "text", english=F.col("lang") == "en").select("doc_id", "status", "fixed", "text")
+    return cleaning.clean_corpus(views.documents(t), "text", english=F.col("lang") == "en").select("doc_id", "status", "fixed", "text")
 
 
 def _count(name, cond):
@@ -217,7 +217,7 @@ def _count(name, cond):
 @query("corpus_counters", f"""WITH {STATUS} SELECT {_count('all', 'true')}, {_count('kept', "status = 'keep'")}, {_count('fixed', 'fixed')},
 {_count('non_english', "status = 'non_english'")}, {_count('small', "status = 'small'")} FROM s""")
 def _(t):
-    return cleaning.corpus_counters(cleaning.clean_corpus(t.documents, "text", english=F.col("lang") == "en"), "text")
+    return cleaning.corpus_counters(cleaning.clean_corpus(views.documents(t), "text", english=F.col("lang") == "en"), "text")
 
 
 @query("add_id", "SELECT doc_id, format('corpus-{:010d}', row_number() OVER (ORDER BY doc_id)) AS adlr_id FROM documents")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.arrays import word_ids
 from ..operators.index import with_group_index
+from ..session import spread, stage
 
 ROLLOUT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_tax"]
 
@@ -107,9 +109,14 @@ IDS = """doc_ids AS (
     lambda w: ('0x' || substr(md5(lower(w)), 1, 6))::BIGINT + 1) AS ids FROM documents)"""
 
 
+def documents(t) -> DataFrame:
+    """Documents over all cores, for queries that work hard on each text."""
+    return spread(t.documents, "doc_id")
+
+
 def doc_ids(t) -> DataFrame:
-    from ..functions.arrays import word_ids
-    return t.documents.select("doc_id", "source", "lang", word_ids(F.col("text")).alias("ids"))
+    """The token table: encoded once and written, as packing and chunking read it several times."""
+    return stage(documents(t).select("doc_id", "source", "lang", word_ids(F.col("text")).alias("ids")), "token_table")
 
 
 # Answers with a boxed answer in eight notations and a marked number; the truth

@@ -66,3 +66,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def spread_pairs(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows that are few but costly, over a fixed number of partitions.
+
+    Without a number adaptive execution would merge small rows into one task.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
