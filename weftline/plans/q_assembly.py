@@ -235,7 +235,7 @@ def _(t):
 
 
 LANGS = ["en", "fr", "de", "es"]
-DATASETS = I + """, ds AS (SELECT list_position(['en', 'fr', 'de', 'es'], lang) - 1 AS dataset_idx, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS doc_id, ids FROM doc_ids),
+DATASETS = I + """, ds AS (SELECT (list_position(['en', 'fr', 'de', 'es'], lang) - 1)::BIGINT AS dataset_idx, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS doc_id, ids FROM doc_ids),
 cut AS (SELECT dataset_idx, doc_id, ids, unnest(range(0, len(ids), 64)) AS token_start FROM ds),
 chunks AS (SELECT dataset_idx, doc_id, token_start, least(token_start + 64, len(ids)) AS token_end, ids[token_start + 1:token_start + 64] AS tokens,
   len(list_filter(ids[token_start + 1:token_start + 64], lambda x: x % 5 <> 0)) AS bert_len FROM cut),

@@ -230,7 +230,7 @@ def _(t):
     return rows.subsample(t.documents.select("doc_id", "lang"), 0.3, 7, "doc_id")
 
 
-@query("repeat_rows", "SELECT item_id, i AS sample_idx FROM benchmark, range(0, 4) r(i)")
+@query("repeat_rows", "SELECT item_id, i::INT AS sample_idx FROM benchmark, range(0, 4) r(i)")
 def _(t):
     return rows.repeat_rows(t.benchmark.select("item_id"), 4)
 
@@ -242,7 +242,7 @@ def _(t):
     return out.select("fold_id", joined(F.col("o_orderkey")).alias("keys"), joined(F.col("o_orderstatus")).alias("states"))
 
 
-@query("unfold_rows", "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 5 AS fold_id, (row_number() OVER (ORDER BY o_orderkey) - 1) % 5 AS pos, o_orderkey, o_orderstatus FROM orders")
+@query("unfold_rows", "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 5 AS fold_id, ((row_number() OVER (ORDER BY o_orderkey) - 1) % 5)::INT AS pos, o_orderkey, o_orderstatus FROM orders")
 def _(t):
     cols = ["o_orderkey", "o_orderstatus"]
     return rows.unfold(rows.fold(t.orders.select(*cols), ["o_orderkey"], 5, cols), "fold_id", cols)
@@ -274,7 +274,7 @@ def _(t):
 
 @query("multiple_choice", f"""
 WITH q AS (SELECT item_id, unnest([0, 1]) AS question_idx, unnest(['What about _ here?', 'Which one fits']) AS q, unnest(['C', 'A']) AS a, string_split(text, ' ')[1:4] AS o FROM benchmark),
-c AS (SELECT *, unnest(range(0, len(o))) AS choice_idx, unnest(o) AS c FROM q),
+c AS (SELECT *, unnest(range(0, len(o)))::INT AS choice_idx, unnest(o) AS c FROM q),
 qa AS (SELECT *, CASE WHEN contains(q, '_') THEN replace(q, '_', c) ELSE q || ' ' || c END AS x FROM c)
 SELECT item_id, question_idx, choice_idx, {CLEAN.format(x='x')} AS qa, (ascii(a) - 65)::INT AS label FROM qa""")
 def _(t):
@@ -284,7 +284,7 @@ def _(t):
     return chats.expand_multiple_choice(b, "item_id", "questions", "options", "answers")
 
 
-@query("transpose_lists", "SELECT r_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS pos, n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("transpose_lists", "SELECT r_name, (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1)::INT AS pos, n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(t):
     lists = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(
         F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))

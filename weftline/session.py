@@ -43,7 +43,8 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/weftline-{uuid.uuid4().hex}/{label}"
+    """New folder of this application; all of them lie under one parent that can be dropped afterwards."""
+    return f"{staging_root(spark)}/weftline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{label}"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
