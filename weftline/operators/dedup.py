@@ -25,7 +25,7 @@ def exact_copies(df: DataFrame, key: str, text: str) -> DataFrame:
 def bucket_members(df: DataFrame, key: str, text: str, num_perm: int = 100, bands: int = 10, ngram: int = 5) -> DataFrame:
     """(band, bucket, key) of buckets that hold at least two documents."""
     # texts without shingles are dropped before signing: a filter on the signature would sign twice
-    signed = spread(df.select(key, text), key).filter(F.length(text) > ngram).select(key, minhash.signature(F.col(text), num_perm, ngram).alias("_sig"))
+    signed = df.select(key, text).filter(F.length(text) > ngram).select(key, minhash.signature(F.col(text), num_perm, ngram).alias("_sig"))
     members = stage(signed.select(key, F.posexplode(minhash.band_buckets(F.col("_sig"), bands)).alias("band", "bucket")), "buckets")
     shared = members.groupBy("band", "bucket").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     return members.join(shared, ["band", "bucket"])
@@ -38,7 +38,7 @@ def _with_main(members: DataFrame, key: str) -> DataFrame:
 
 def minhash_lsh_candidates(df: DataFrame, key: str, text: str, num_perm: int = 100, bands: int = 10, ngram: int = 5) -> DataFrame:
     """Distinct (main, other) candidates: each bucket member beside the bucket's smallest key."""
-    return _with_main(bucket_members(df, key, text, num_perm, bands, ngram), key).select("main", F.col(key).alias("other")).distinct()
+    return _with_main(bucket_members(spread(df.select(key, text), key), key, text, num_perm, bands, ngram), key).select("main", F.col(key).alias("other")).distinct()
 
 
 def verify_pairs(pairs: DataFrame, df: DataFrame, key: str, text: str, metric: str = "union", ngram: int = 5) -> DataFrame:
@@ -67,7 +67,7 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, metric: str = "unio
     ``heuristic_iter`` rounds are made; -1 goes on until the buckets are empty.
     Equal texts are paired by digest first and enter the buckets once.
     """
-    source = df.select(key, text)
+    source = spread(df.select(key, text), key)
     copies = stage(exact_copies(source.filter(F.length(text) > ngram), key, text), "copies")
     single = source.join(copies.select(F.col("other").alias(key)), key, "left_anti")
     members = bucket_members(single, key, text, num_perm, bands, ngram)

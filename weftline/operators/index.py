@@ -122,16 +122,15 @@ def with_last_before(df: DataFrame, keys: list[str], order: list, when: Column,
     return seen.withColumn(name, F.when(same, F.col("_last._val"))).drop("_part", "_at", "_hit", "_carry", "_last")
 
 
-def with_group_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column], limit: int = GROUP_LIMIT) -> DataFrame:
-    """Exclusive running sums of whole, non-negative ``totals`` inside each group."""
+def with_group_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column], kind: str = "bigint", limit: int = GROUP_LIMIT) -> DataFrame:
+    """Exclusive running sums of ``totals`` inside each group."""
     if largest_group(df, keys) <= limit:
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(v.cast("bigint")).over(before), F.lit(0)).alias(n) for n, v in totals.items()])
-    run = with_running_totals(df, [F.col(k) for k in keys] + list(order), totals)
-    # sums never fall, so the smallest one of a group is its start
-    starts = run.groupBy(*keys).agg(*[F.min(n).alias(f"_s_{n}") for n in totals])
+        return df.select("*", *[F.coalesce(F.sum(v.cast(kind)).over(before), F.lit(0).cast(kind)).alias(n) for n, v in totals.items()])
+    run = with_running_totals(df, [F.col(k) for k in keys] + list(order), {**totals, "_pos": F.lit(1)}, kind)
+    starts = run.groupBy(*keys).agg(*[F.min_by(n, "_pos").alias(f"_s_{n}") for n in totals])
     out = same_keys(run, starts, keys)
-    return out.withColumns({n: F.col(n) - F.col(f"_s_{n}") for n in totals}).drop(*[f"_s_{n}" for n in totals])
+    return out.withColumns({n: F.col(n) - F.col(f"_s_{n}") for n in totals}).drop("_pos", *[f"_s_{n}" for n in totals])
 
 
 def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:

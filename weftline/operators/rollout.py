@@ -131,22 +131,26 @@ def pairwise_accuracy(df: DataFrame, uid: str, order: list[str], score: str, acc
     """(uid, pair_acc): share of accuracy difference that the scores order rightly, 0.5 without differences.
 
     Pairs are counted, never listed. In (score, sample order) a pair counts
-    when accuracy rises; the rise is cut at the group's accuracy levels, and
-    for one level the pairs are the running number of rows below it. Binary
-    accuracy has one level, so each row is read once.
+    when accuracy rises. Accuracies are ranked inside the group; two different
+    ranks first part at one bit, so every row joins one node per bit, and a
+    node needs the running count and sum of its lower half. Binary accuracy
+    has one bit, so each row is read once.
     """
-    levels = df.groupBy(uid, acc).agg(F.lit(1).alias("_")).drop("_")
-    # consecutive levels: each with the next smaller one of its group
-    lower = levels.select(uid, F.col(acc).alias("_low"))
-    gaps = levels.join(lower, uid).filter(F.col("_low") < F.col(acc)).groupBy(uid, acc).agg(F.max("_low").alias("_low"))
-    gaps = gaps.select(uid, F.col(acc).alias("_level"), (F.col(acc) - F.col("_low")).alias("_gap"))
-    cut = df.select(uid, *order, score, acc).join(gaps, uid)
-    below = F.col(acc) < F.col("_level")
-    run = with_group_totals(cut, [uid, "_level"], [F.col(score), *[F.col(c) for c in order]], {"_run": below.cast("int")})
-    per = run.groupBy(uid, "_level", "_gap").agg(
-        F.sum(F.when(~below, F.col("_run"))).alias("_good"), F.count_if(~below).alias("_up"), F.count_if(below).alias("_down"))
-    sums = per.groupBy(uid).agg(F.sum(F.col("_gap") * F.col("_good")).alias("_num"), F.sum(F.col("_gap") * F.col("_up") * F.col("_down")).alias("_den"))
-    return df.select(uid).distinct().join(sums, uid, "left").select(uid, F.coalesce(F.col("_num") / F.col("_den"), F.lit(0.5)).alias("pair_acc"))
+    levels = with_group_index(df.select(uid, acc).distinct(), [uid], [F.col(acc)], "_rank")
+    bits = levels.groupBy(uid).agg(F.ceil(F.log2(F.max("_rank") + 1)).cast("int").alias("_bits"))
+    ranked = same_keys(same_keys(df.select(uid, *order, score, acc), levels, [uid, acc]), bits, [uid])
+    nodes = ranked.filter("_bits > 0").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
+    nodes = nodes.withColumn("_node", F.expr("shiftright(_rank, _b + 1)")).withColumn("_up", F.expr("shiftright(_rank, _b) & 1") == 1)
+    low = ~F.col("_up")
+    run = with_group_totals(nodes, [uid, "_b", "_node"], [F.col(score), *[F.col(c) for c in order]],
+                            {"_n": low.cast("int"), "_s": F.when(low, F.col(acc)).otherwise(0.0)}, kind="double")
+    per = run.groupBy(uid, "_b", "_node").agg(
+        F.sum(F.when(F.col("_up"), F.col(acc) * F.col("_n") - F.col("_s"))).alias("_good"),
+        F.count_if("_up").alias("_n1"), F.count_if(low).alias("_n0"),
+        F.sum(F.when(F.col("_up"), F.col(acc))).alias("_s1"), F.sum(F.when(low, F.col(acc))).alias("_s0"))
+    sums = per.groupBy(uid).agg(F.sum("_good").alias("_num"), F.sum(F.col("_s1") * F.col("_n0") - F.col("_s0") * F.col("_n1")).alias("_den"))
+    share = F.when(F.col("_den") > 0, F.coalesce("_num", F.lit(0.0)) / F.col("_den")).otherwise(0.5)
+    return df.select(uid).distinct().join(sums, uid, "left").select(uid, share.alias("pair_acc"))
 
 
 def ce_preference_loss(df: DataFrame, score_sum: Column, acc: Column, beta: float) -> DataFrame:

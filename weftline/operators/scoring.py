@@ -87,9 +87,6 @@ def scored_detail(fn: Callable[[str, str], tuple[float, str]]):
     return Scored
 
 
-FORMAT_KINDS = {"luffy": "tag", "qwen": "anywhere", "llama": "line", "default": "math"}
-
-
 def grade_rollouts(df: DataFrame, response: str, truth: str, ability: str, mask: str, scorers: list[tuple[list[str], Scorer]],
                    math_format: str = "math", model_scores: str | None = None) -> DataFrame:
     """``score``, ``format_score`` and ``token_scores`` (the score on the last valid token).

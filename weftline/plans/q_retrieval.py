@@ -183,7 +183,7 @@ def _status_sql(kind):
 
 @query("filter_knowledge_rows", f"WITH {D}, {TEST} SELECT conv_id, turn, {_status_sql('wow_seen')} AS seen_status, {_status_sql('woi')} AS strict_status FROM dialog")
 def _(t):
-    d = views.dialog(t).join(F.broadcast(_seen(t).withColumn("_s", F.lit(True))), "topic", "left")
+    d = views.dialog(t).join(_seen(t).withColumn("_s", F.lit(True)), "topic", "left")
     seen = F.col("_s").isNotNull()
     return d.select("conv_id", "turn", chats.knowledge_status(F.col("topic"), F.col("knowledge"), "wow_seen", seen).alias("seen_status"),
                     chats.knowledge_status(F.col("topic"), F.col("knowledge"), "woi", seen).alias("strict_status"))

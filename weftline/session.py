@@ -62,11 +62,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small table one partition per core before heavy per-row work.
 
-    A table of few files is read by few tasks; moving it costs little. Tables
-    with at least a file per core keep their scan partitions.
+    ``df`` is a plain read of a table: asking for its partitions plans the scan
+    and runs nothing. A scan of fewer partitions than cores is little data and
+    costs little to move; larger ones keep their partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def spread_pairs(df: DataFrame, *keys: str) -> DataFrame:
