@@ -189,7 +189,9 @@ def has_answer(text: Column, answers: Column, mode: str = "string") -> Column:
     if mode == "string":
         def flat(x):
             return F.concat(F.lit("\x01"), F.array_join(answer_tokens(x), "\x01"), F.lit("\x01"))
-        return F.exists(answers, lambda a: F.contains(flat(text), flat(a)))
+        # the text is tokenised once, outside the lambda over the answers
+        found = F.transform(F.array(flat(text)), lambda t: F.exists(answers, lambda a: F.contains(t, flat(a))))
+        return F.get(found, F.lit(0))
     return _any_pattern(text, answers)
 
 

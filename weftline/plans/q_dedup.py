@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import minhash, text as tx
 from ..operators import decontaminate as dc, dedup
-from ..session import spread, stage
+from ..session import stage
+from . import views
 from .registry import joined, query, r6
 
 _A, _B = minhash.coefficients(100)
@@ -41,7 +42,7 @@ groups AS (SELECT node, min(seen) AS root FROM walk GROUP BY 1)"""
 
 @query("shingles", "SELECT doc_id, CASE WHEN length(text) > 5 THEN len(list_distinct(list_transform(range(1, length(text) - 4), lambda i: substr(text, i, 5)))) ELSE 0 END AS n FROM documents")
 def _(t):
-    return spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.size(tx.shingles(F.col("text"))).cast("bigint").alias("n"))
+    return views.documents(t).select("doc_id", F.size(tx.shingles(F.col("text"))).cast("bigint").alias("n"))
 
 
 @query("set_overlap", """
@@ -52,13 +53,13 @@ SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b))
 def _(t):
     a = F.array_distinct(tx.words(F.col("text")))
     b = t.benchmark.filter("item_id = 0").select(F.array_distinct(tx.words(F.col("text"))).alias("b")).scalar()
-    d = t.documents.select("doc_id", a.alias("a")).withColumn("b", b)
+    d = views.documents(t).select("doc_id", a.alias("a")).withColumn("b", b)
     return d.select("doc_id", *[r6(tx.jaccard(F.col("a"), F.col("b"), m)).alias(f"by_{m}") for m in ("union", "min", "max")])
 
 
 @query("minhash_signatures", f"WITH single AS (SELECT * FROM documents), {SIGS} SELECT doc_id, string_agg(m::VARCHAR, ',' ORDER BY k) AS sig FROM sig GROUP BY 1")
 def _(t):
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id").filter(F.length("text") > 5)
+    docs = views.documents(t).filter(F.length("text") > 5)
     return docs.select("doc_id", joined(minhash.signature(F.col("text"))).alias("sig"))
 
 
@@ -122,7 +123,7 @@ WITH d AS (SELECT doc_id, lower(text) AS low, {WORDS} AS w, string_split_regex(l
 e AS (SELECT doc_id, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, unnest(range(0, len(w))) AS i FROM d)
 SELECT doc_id, i, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word))::BIGINT AS start FROM e""")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(tx.words_with_positions(F.col("text"))).alias("i", "_w")).select(
+    return views.documents(t).select("doc_id", F.posexplode(tx.words_with_positions(F.col("text"))).alias("i", "_w")).select(
         "doc_id", F.col("i").cast("bigint").alias("i"), "_w.word", F.col("_w.start").cast("bigint").alias("start"))
 
 

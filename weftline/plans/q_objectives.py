@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as ar, text as tx
 from ..functions.wordpiece import wordpiece
 from ..operators import objectives as ob
-from ..session import spread, stage
+from ..session import stage
 from . import views
 from .q_assembly import SENTS, sents
 from .registry import joined, query
@@ -95,10 +95,10 @@ done AS (SELECT w, out FROM walk WHERE p = length(w))
 SELECT doc_id, md5(string_agg(coalesce(out, ' [UNK]'), '' ORDER BY i)) AS pieces, count(*) FILTER (out IS NULL) AS unknown FROM tok LEFT JOIN done USING (w) GROUP BY doc_id""")
 def _(t):
     cut = wordpiece(_vocab(t))
-    d = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", cut(F.col("text")).alias("p"))
-    out = d.select("doc_id", F.size("p").alias("n"), F.md5(F.concat(F.lit(" "), F.array_join("p", " "))).alias("pieces"),
+    # blank texts have no pieces; filtering on the pieces would cut every text twice
+    d = views.documents(t).filter(F.size(ar.blank_tokens(F.col("text"))) > 0).select("doc_id", cut(F.col("text")).alias("p"))
+    return d.select("doc_id", F.md5(F.concat(F.lit(" "), F.array_join("p", " "))).alias("pieces"),
                    F.size(F.filter("p", lambda x: x == "[UNK]")).cast("bigint").alias("unknown"))
-    return out.filter("n > 0").drop("n")
 
 
 @query("encode_docs", f"""WITH {SENTS.replace('sents AS', 'raw AS').replace('AS sizes', 'AS sizes, s')},

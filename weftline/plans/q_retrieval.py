@@ -144,7 +144,7 @@ def _(t):
     short = F.regexp_extract("answer", r"^([^ ]* [^ ]*)", 1)
     from ..operators.index import with_row_index
     b = with_row_index(t.benchmark.select("item_id", F.col("text").alias("answer")), ["item_id"], "i").drop("item_id")
-    p = t.documents.select("doc_id", "text", (F.col("doc_id") % n).alias("i")).join(b, "i").withColumn("short", short)
+    p = views.documents(t).select("doc_id", "text", (F.col("doc_id") % n).alias("i")).join(b, "i").withColumn("short", short)
     return p.select("doc_id", tx.has_answer(F.col("text"), F.array("answer", "short")).alias("by_string"), tx.has_answer(F.col("text"), F.array("short"), "regex").alias("by_regex"))
 
 
