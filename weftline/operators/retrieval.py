@@ -21,17 +21,28 @@ CORPUS_BLOCK = 16384
 
 
 def _blocked(queries: DataFrame, corpus: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``fn`` to every pair of blocks of the same list.
+    """Apply ``fn`` to every pair of blocks of the same list (of the whole tables without a ``list``).
 
     ``queries`` (qid, qvec, list, ...) and ``corpus`` (id, vec, list, ...) may
     be of any size; lists are cut into blocks by the hash of the row id.
     """
-    # one row per list
-    sizes = queries.groupBy("list").agg(F.count("*").alias("_nq")).join(corpus.groupBy("list").agg(F.count("*").alias("_nc")), "list")
-    cuts = stage(sizes.select("list", F.ceil(F.col("_nq") / QUERY_BLOCK).alias("_q"), F.ceil(F.col("_nc") / CORPUS_BLOCK).alias("_c")), "cuts")
+    if "list" not in queries.columns:
+        # one list: its numbers of blocks are two constants
+        queries, corpus = queries.withColumn("list", F.lit(0)), corpus.withColumn("list", F.lit(0))
+        nq, nc = (max(-(-side.count() // size), 1) for side, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
+
+        def counted(side):
+            return side.withColumns({"_q": F.lit(nq).cast("bigint"), "_c": F.lit(nc).cast("bigint")})
+    else:
+        # one row per list
+        sizes = queries.groupBy("list").agg(F.count("*").alias("_nq")).join(corpus.groupBy("list").agg(F.count("*").alias("_nc")), "list")
+        cuts = stage(sizes.select("list", F.ceil(F.col("_nq") / QUERY_BLOCK).alias("_q"), F.ceil(F.col("_nc") / CORPUS_BLOCK).alias("_c")), "cuts")
+
+        def counted(side):
+            return side.join(cuts, "list")
 
     def spread(side, key, own, other):
-        marked = side.join(cuts, "list").withColumn(f"{own}b", F.pmod(F.xxhash64(key), F.col(own)))
+        marked = counted(side).withColumn(f"{own}b", F.pmod(F.xxhash64(key), F.col(own)))
         return marked.withColumn(f"{other}b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))).drop("_q", "_c")
     q, c = spread(queries, "qid", "_q", "_c"), spread(corpus, "id", "_c", "_q")
     keys = ["list", "_qb", "_cb"]
@@ -75,8 +86,7 @@ def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int) -> DataFra
 
     ``queries`` holds (qid, qvec), ``corpus`` (id, vec).
     """
-    q, c = queries.withColumn("list", F.lit(0)), corpus.withColumn("list", F.lit(0))
-    return _ranked(_blocked(q, c, lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double"), k)
+    return _ranked(_blocked(queries, corpus, lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double"), k)
 
 
 def train_centroids(corpus: DataFrame, nlist: int, fraction: float, seed: int = 1) -> np.ndarray:
@@ -148,8 +158,7 @@ def diverse_examples(queries: DataFrame, examples: DataFrame, k: int = 10) -> Da
             for i in np.argsort(low[row], kind="stable")[:k] if len(topics) <= k else np.flatnonzero(low[row] <= np.partition(low[row], k - 1)[k - 1]):
                 parts.append((a["qid"].iloc[row], int(topics[i]), int(b["id"].iloc[first[row, i]]), float(low[row, i])))
         return pd.DataFrame(parts, columns=["qid", "topic", "id", "score"])
-    q, c = queries.select("qid", "qvec").withColumn("list", F.lit(0)), examples.withColumn("list", F.lit(0))
-    lows = _blocked(q, c, run, "qid long, topic long, id long, score double")
+    lows = _blocked(queries.select("qid", "qvec"), examples, run, "qid long, topic long, id long, score double")
     per = lows.groupBy("qid", "topic").agg(F.min(F.struct("score", "id")).alias("_m")).select("qid", "_m.id", "_m.score")
     order = Window.partitionBy("qid").orderBy("score", "id")
     kept = per.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)

@@ -136,7 +136,7 @@ def pairwise_accuracy(df: DataFrame, uid: str, order: list[str], score: str, acc
     node needs the running count and sum of its lower half. Binary accuracy
     has one bit, so each row is read once.
     """
-    levels = with_group_index(df.select(uid, acc).distinct(), [uid], [F.col(acc)], "_rank")
+    levels = stage(with_group_index(df.select(uid, acc).distinct(), [uid], [F.col(acc)], "_rank"), "levels")
     bits = levels.groupBy(uid).agg(F.ceil(F.log2(F.max("_rank") + 1)).cast("int").alias("_bits"))
     ranked = same_keys(same_keys(df.select(uid, *order, score, acc), levels, [uid, acc]), bits, [uid])
     nodes = ranked.filter("_bits > 0").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
