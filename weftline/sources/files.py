@@ -19,11 +19,12 @@ def read_parquet_union(spark: SparkSession, paths: list[str], strict: bool = Tru
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, on_error: str = "drop") -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines). A bad line never fails the job; ``drop`` gives no bad lines back."""
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = spark.read.text(path).select(
         "value",
-        F.from_json("value", schema.add("_corrupt", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"),
+        F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"),
     )
-    good = parsed.filter(F.col("r._corrupt").isNull() & (F.trim("value") != "")).select(*[F.col(f"r.{f.name}") for f in schema.fields if f.name != "_corrupt"])
+    good = parsed.filter(F.col("r._corrupt").isNull() & (F.trim("value") != "")).select(*[F.col(f"r.{f.name}") for f in schema.fields])
     bad = parsed.filter(F.col("r._corrupt").isNotNull()).select(F.col("value").alias("line"))
     return good, (bad if on_error == "quarantine" else bad.limit(0))
 
