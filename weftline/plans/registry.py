@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,7 +26,12 @@ def query(name: str, sql: str | None = None):
     def register(build):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return build(Tables(spark, folder))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return build

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int = 8, name: str = "weftline") -> SparkSession:
@@ -25,6 +29,22 @@ def local_session(cores: int = 8, name: str = "weftline") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that jobs start from any folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    folder = pathlib.Path(tempfile.mkdtemp(prefix="run-ship-"))
+    (folder / f"{package.name}.zip").write_bytes(packed.getvalue())
+    context.addPyFile(str(folder / f"{package.name}.zip"))
+    _SHIPPED.add(context.applicationId)
+
+
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables, as the cluster names it in ``spark.checkpoint.dir``.
 
