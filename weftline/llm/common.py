@@ -74,3 +74,19 @@ def same(left: Column, right: Column) -> Column:
 def text_key() -> Column:
     """Tells apart rows that share a doc_id; null and empty texts are alike."""
     return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast side if it has at most ``rows`` narrow rows, else the plain table, which joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without(df: DataFrame, rejected: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``df``, all columns kept, whose (doc_id, text hash, ``more``) is not in ``rejected``."""
+    names = ["doc_id", "_h", *more]
+    gone = rejected.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(names)]).distinct()
+    mine = [F.col("doc_id").cast("bigint"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), *[F.col(c) for c in more]]
+    matched = mine[1] == F.col("_r1")
+    for i, c in enumerate(mine):
+        matched &= c.eqNullSafe(F.col(f"_r{i}"))
+    return df.join(gone, matched, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import packing, payload, shards
+from . import langid, packing, payload, quality, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,11 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return register
 
 
+@query("op2_simhash")
+def _(spark, documents, folder):
+    return simhash.components(documents)
+
+
 @query("op3_best_fit_packing")
 def _(spark, documents, folder):
     return packing.pack(packing.cut_pieces(documents))
@@ -40,3 +45,13 @@ def _(spark, documents, folder):
 def _(spark, documents, folder):
     placed = shards.assign(documents)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_quality_rules")
+def _(spark, documents, folder):
+    return quality.judge(documents).select("doc_id", *quality.COUNTS, "base_failed", "kept", "perplexity")
+
+
+@query("op10_language_id")
+def _(spark, documents, folder):
+    return langid.identify(documents)
