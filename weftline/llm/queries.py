@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import langid, packing, payload, quality, shards, simhash
+from . import langid, packing, payload, pii, quality, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,17 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return register
 
 
+@query("op1_pii")
+def _(spark, documents, folder):
+    found = pii.spans(documents)
+
+    def many(kind):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [many(kind) for kind in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 @query("op2_simhash")
 def _(spark, documents, folder):
     return simhash.components(documents)
