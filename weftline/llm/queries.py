@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import langid, packing, payload, pii, quality, shards, simhash
+from . import html, langid, packing, payload, pii, quality, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,11 @@ def _(spark, documents, folder):
     return payload.write_and_read(spark, documents)
 
 
+@query("op6_html_text", "pages")
+def _(spark, pages, folder):
+    return html.extract(pages).drop("host")
+
+
 @query("op7_sharding")
 def _(spark, documents, folder):
     placed = shards.assign(documents)
