@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import html, langid, packing, payload, pii, quality, shards, simhash
+from . import html, langid, packing, payload, pii, quality, shards, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +63,11 @@ def _(spark, documents, folder):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op8_suffix_dedup")
+def _(spark, documents, folder):
+    return suffix.repeats(documents).drop("removed")
+
+
 @query("op9_quality_rules")
 def _(spark, documents, folder):
     return quality.judge(documents).select("doc_id", *quality.COUNTS, "base_failed", "kept", "perplexity")
