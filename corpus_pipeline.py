@@ -1,6 +1,63 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline over documents: quality, near-duplicates, benchmark leaks, personal data, packing.
+
+Each stage is written as Parquet and reread as the next one's documents, works
+on all that its predecessor kept, and (but for the last, which gives the packed
+pieces) returns the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.llm import contamination, packing, pii, quality, simhash
+from weftline.session import ship, stage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose perplexity lies in the band of their language."""
+    ship(spark)
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    ship(spark)
+    return simhash.keep(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship(spark)
+    return contamination.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with sanitised texts; n_chars follows the new text."""
+    ship(spark)
+    return pii.sanitise(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in the packed sequences."""
+    ship(spark)
+    return packing.pack(packing.cut_pieces(docs))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal data", personal_data),
+    ("best-fit packing", best_fit_packing),
+]
+
+# fingerprints, language models, latent vectors and tokenizers have no SQL form
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over the whole documents table of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import html, langid, packing, payload, pii, quality, shards, simhash, suffix
+from . import contamination, html, langid, packing, payload, pii, quality, shards, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,7 +39,7 @@ def _(spark, documents, folder):
 
 @query("op2_simhash")
 def _(spark, documents, folder):
-    return simhash.components(documents)
+    return simhash.components(documents).drop("_h")
 
 
 @query("op3_best_fit_packing")
@@ -52,6 +52,12 @@ def _(spark, documents, folder):
     return payload.write_and_read(spark, documents)
 
 
+@query("op5_decontamination")
+def _(spark, documents, folder):
+    found = contamination.leaks(documents, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "kind", "covered", "answered", "cosine", "word")
+
+
 @query("op6_html_text", "pages")
 def _(spark, pages, folder):
     return html.extract(pages).drop("host")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.dedup import connected_groups
 from ..session import stage
-from .common import U64, documents, slices
+from .common import U64, documents, slices, text_key, without
 
 BITS = 64
 PARTS = 3
@@ -54,14 +54,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed bigint) of every document; a null text has no words."""
+    """doc_id, _h (text hash) and fp (the fingerprint's bits as a signed bigint) of every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "_h", "fp"])
 
-    return documents(df).mapInArrow(run, "doc_id bigint, fp bigint")
+    return documents(df).withColumn("_h", text_key()).mapInArrow(run, "doc_id bigint, _h bigint, fp bigint")
 
 
 def correlations(nodes: DataFrame) -> np.ndarray:
@@ -195,7 +195,7 @@ def _flips(width: int) -> list[np.ndarray]:
 
 
 def components(df: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id of every row.
+    """doc_id, _h (text hash), fingerprint (16 lowercase hex digits), component_id of every row.
 
     component_id is the smallest doc_id reachable over links, itself included;
     null doc_ids have rows but are never the smallest. Texts without words
@@ -208,4 +208,20 @@ def components(df: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     rooted = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(named, "fp").select("doc_id", "_h", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """One row of each component, that of its smallest doc_id, all columns as they are.
+
+    Of rows that repeat that doc_id one stays. Rows without a doc_id stay only
+    where a whole component has none.
+    """
+    found = stage(components(df), "components")
+    kept = without(df, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    again = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    if again.isEmpty():
+        return kept
+    key = F.col("doc_id").cast("bigint")
+    once = kept.join(again.withColumnRenamed("doc_id", "_again"), key == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again.withColumnRenamed("doc_id", "_again"), key == F.col("_again"), "left_anti").unionByName(once)
