@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import arrays as ar, grading as gr
+from weftline.functions import arrays as ar, grading as gr, text as tx
 from weftline.functions.wordpiece import wordpiece
 from weftline.operators import metrics as me, objectives as ob, scoring as sc
 
@@ -123,9 +123,15 @@ def test_blocks_resume(spark, tmp_path):
 
 def test_word_pieces(spark):
     vocab = spark.createDataFrame([("un",), ("##aff",), ("##able",), ("##a",)], "piece string")
-    cut = wordpiece(vocab)
-    df = spark.createDataFrame([("Unaffable xyz un",)], "t string")
-    assert df.select(cut(F.col("t"))).first()[0] == ["un", "##aff", "##able", "[UNK]", "un"]
+    df = spark.createDataFrame([(1, "Unaffable xyz un"), (2, None), (3, "  "), (4, "u" * 300 + " un")], "k long, t string")
+    got = {r.k: r.pieces for r in wordpiece(df, "k", "t", vocab).collect()}
+    assert got == {1: ["un", "##aff", "##able", "[UNK]", "un"], 2: [], 3: [], 4: ["[UNK]", "un"]}
+
+
+def test_answers_with_composed_and_decomposed_accents(spark):
+    df = spark.createDataFrame([("un café noir", ["cafe\u0301"]), ("un cafe\u0301 noir", ["café"]), ("un cafe noir", ["café"])], "t string, a array<string>")
+    assert [r[0] for r in df.select(tx.has_answer(F.col("t"), F.col("a"))).collect()] == [True, True, False]
+    assert [r[0] for r in df.select(tx.has_answer(F.col("t"), F.col("a"), "regex")).collect()] == [True, True, False]
 
 
 def test_padding_policies(spark):

@@ -184,14 +184,16 @@ def has_answer(text: Column, answers: Column, mode: str = "string") -> Column:
     """Whether one of ``answers`` occurs in the text.
 
     ``string`` looks for the answer's tokens in a row, ``regex`` searches a
-    pattern without case. Pass both sides in NFD form.
+    pattern without case. Both sides are decomposed (NFD) first, so composed
+    and decomposed accents are alike.
     """
     if mode == "string":
         def flat(x):
             return F.concat(F.lit("\x01"), F.array_join(answer_tokens(x), "\x01"), F.lit("\x01"))
-        # the text is tokenised once, outside the lambda over the answers
-        found = F.transform(F.array(flat(text)), lambda t: F.exists(answers, lambda a: F.contains(t, flat(a))))
-        return F.get(found, F.lit(0))
+        # Python functions stay outside the lambdas; the text is decomposed and tokenised once
+        beside = F.array_repeat(flat(nfd(text)), F.size(answers))
+        return F.exists(F.zip_with(beside, nfd_all(answers), lambda t, a: F.contains(t, flat(a))), lambda found: found)
+    text, answers = nfd(text), nfd_all(answers)
     return _any_pattern(text, answers)
 
 
@@ -217,3 +219,9 @@ def _any_pattern(texts: pd.Series, answers: pd.Series) -> pd.Series:
 def nfd(texts: pd.Series) -> pd.Series:
     """Canonically decomposed text (no built-in function does this)."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfd_all(texts: pd.Series) -> pd.Series:
+    """Canonically decomposed strings of an array."""
+    return texts.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFD", x) for x in xs])

@@ -1,50 +1,43 @@
-"""Greedy longest-match word pieces over a checked vocabulary."""
+"""Greedy longest-match word pieces: distinct words are cut once and joined back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from .text import blank_tokens
 
-VOCAB_LIMIT = 2_000_000
 
+def _walk(word: Column, matches: Column, unknown: str) -> Column:
+    """Pieces of a word from the longest match at each place; a word that cannot be covered is one unknown."""
+    def step(state: Column, p: Column) -> Column:
+        size = F.try_element_at(matches, p)
+        piece = F.concat(F.when(p > 0, "##").otherwise(""), F.substring(word, p + 1, size))
+        here = state.at == p
+        return F.struct(
+            F.when(here & size.isNotNull(), p + size).otherwise(state.at).alias("at"),
+            F.when(here & size.isNotNull(), F.concat(state.out, F.array(piece))).otherwise(state.out).alias("out"))
 
-def _pieces(word: str, vocab: set[str], unknown: str, max_chars: int) -> list[str]:
-    """Pieces of one word; a word that cannot be covered is one unknown."""
-    if len(word) > max_chars:
-        return [unknown]
-    out, at = [], 0
-    while at < len(word):
-        mark = "##" if at else ""
-        size = next((n for n in range(len(word) - at, 0, -1) if mark + word[at:at + n] in vocab), 0)
-        if not size:
-            return [unknown]
-        out.append(mark + word[at:at + size])
-        at += size
-    return out
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), first, step)
+    return F.when(walked.at == F.length(word), walked.out).otherwise(F.array(F.lit(unknown)))
 
 
-def wordpiece(vocab: DataFrame, piece: str = "piece", unknown: str = "[UNK]", max_chars: int = 200) -> Callable[[Column], Column]:
-    """Tokenizer function from a vocabulary table.
+def wordpiece(docs: DataFrame, key: str, text: str, vocab: DataFrame, piece: str = "piece", unknown: str = "[UNK]", max_chars: int = 200) -> DataFrame:
+    """(key, pieces) of every document with a unique key; blank and null texts have none.
 
-    The vocabulary is counted before it is sent to the tasks; each task keeps
-    the pieces of words it has met, so a frequent word is cut once per batch run.
+    The vocabulary stays a table: substrings of the distinct words, no longer
+    than its longest piece, meet it in a join, so neither side has to fit a task.
     """
-    if vocab.count() > VOCAB_LIMIT:
-        raise ValueError(f"the vocabulary has more than {VOCAB_LIMIT} pieces")
-    known = vocab.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in vocab.select(piece).distinct().collect()))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        words, memo = known.value, {}
-
-        def one(text):
-            out = []
-            for w in text.lower().split():
-                if w not in memo:
-                    memo[w] = _pieces(w, words, unknown, max_chars)
-                out.extend(memo[w])
-            return out
-        return texts.map(lambda t: None if t is None else one(t))
-    return cut
+    known = vocab.select(F.col(piece).alias("_piece")).distinct()
+    longest = known.agg(F.max(F.length("_piece")).alias("n")).scalar()
+    words = docs.select(F.col(key), F.posexplode(blank_tokens(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("_i", "_w"))
+    distinct = words.select("_w").distinct()
+    places = distinct.filter(F.length("_w") <= max_chars).withColumn("_longest", longest).select("_w", "_longest", F.explode(F.sequence(F.lit(0), F.length("_w") - 1)).alias("_p"))
+    parts = places.select("_w", "_p", F.explode(F.sequence(F.lit(1), F.least(F.length("_w") - F.col("_p"), F.col("_longest")))).alias("_n"))
+    spelled = parts.withColumn("_piece", F.concat(F.when(F.col("_p") > 0, "##").otherwise(""), F.substring("_w", F.col("_p") + 1, F.col("_n"))))
+    best = spelled.join(known, "_piece").groupBy("_w", "_p").agg(F.max("_n").alias("_n"))
+    maps = best.groupBy("_w").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_n"))).alias("_m"))
+    cut = maps.select("_w", _walk(F.col("_w"), F.col("_m"), unknown).alias("_pieces"))
+    placed = words.join(cut, "_w", "left").withColumn("_pieces", F.coalesce("_pieces", F.array(F.lit(unknown))))
+    joined = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_pieces"))).alias("_all")).select(F.col(key).alias("_key"), F.flatten(F.col("_all._pieces")).alias("pieces"))
+    return docs.select(key).join(joined, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"))

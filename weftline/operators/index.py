@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import stage
 
 _PLACE_BITS = 33
-GROUP_LIMIT = 1_000_000
 
 
 def _placed(df: DataFrame, order: list) -> DataFrame:
@@ -66,23 +65,9 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, matched, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group: one number, combined before the shuffle."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
-def with_group_index(df: DataFrame, keys: list[str], order: list, name: str, limit: int = GROUP_LIMIT) -> DataFrame:
-    """0-based position inside each group.
-
-    A window sorts a whole group in one task, so it is used only after the
-    largest group was counted; beyond ``limit`` positions come from the global
-    index minus the first index of the group.
-    """
-    if largest_group(df, keys) <= limit:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
-    indexed = with_row_index(df, [F.col(k) for k in keys] + list(order), "_global")
-    firsts = indexed.groupBy(*keys).agg(F.min("_global").alias("_first"))
-    return same_keys(indexed, firsts, keys).withColumn(name, F.col("_global") - F.col("_first")).drop("_global", "_first")
+def with_group_index(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """0-based position inside each group; a group of any size is cut by the range partitions."""
+    return with_group_totals(df, keys, order, {name: F.lit(1)})
 
 
 def attach_group(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
@@ -101,15 +86,12 @@ def attach_single(df: DataFrame, one_row: DataFrame, *names: str) -> DataFrame:
     return df.withColumn("_one", bundle.scalar()).select(*df.columns, *[F.col(f"_one.{n}").alias(n) for n in names])
 
 
-def with_last_before(df: DataFrame, keys: list[str], order: list, when: Column, value: Column, name: str, limit: int = GROUP_LIMIT) -> DataFrame:
+def with_last_before(df: DataFrame, keys: list[str], order: list, when: Column, value: Column, name: str) -> DataFrame:
     """Value of the latest earlier row of the group where ``when`` holds.
 
-    Beyond ``limit`` rows in a group the value is found inside each range
-    partition and carried over from one row per earlier partition.
+    It is found inside each range partition and carried over from one row per
+    earlier partition.
     """
-    if largest_group(df, keys) <= limit:
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.last(F.when(when, value), ignorenulls=True).over(before))
     hit = F.when(when, F.struct(*keys, value.alias("_val")))
     placed = _placed(df.withColumn("_hit", hit), [F.col(k) for k in keys] + list(order))
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,15 +104,35 @@ def with_last_before(df: DataFrame, keys: list[str], order: list, when: Column,
     return seen.withColumn(name, F.when(same, F.col("_last._val"))).drop("_part", "_at", "_hit", "_carry", "_last")
 
 
-def with_group_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column], kind: str = "bigint", limit: int = GROUP_LIMIT) -> DataFrame:
-    """Exclusive running sums of ``totals`` inside each group."""
-    if largest_group(df, keys) <= limit:
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(v.cast(kind)).over(before), F.lit(0).cast(kind)).alias(n) for n, v in totals.items()])
-    run = with_running_totals(df, [F.col(k) for k in keys] + list(order), {**totals, "_pos": F.lit(1)}, kind)
-    starts = run.groupBy(*keys).agg(*[F.min_by(n, "_pos").alias(f"_s_{n}") for n in totals])
-    out = same_keys(run, starts, keys)
-    return out.withColumns({n: F.col(n) - F.col(f"_s_{n}") for n in totals}).drop("_pos", *[f"_s_{n}" for n in totals])
+def with_group_totals(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column], kind: str = "bigint") -> DataFrame:
+    """Exclusive running sums of ``totals`` inside each group.
+
+    A group is summed inside its range partitions. Only the group that ends a
+    partition can go on in the next one, so what is carried over is one row
+    per partition; sums never mix with those of other groups.
+    """
+    names = list(totals)
+    valued = df.select("*", *[v.cast(kind).alias(f"_v_{n}") for n, v in totals.items()])
+    placed = _placed(valued, [F.col(k) for k in keys] + list(order))
+    group = F.struct(*keys)
+    ends = placed.groupBy("_part").agg(F.min_by(group, "_at").alias("_first"), F.max_by(group, "_at").alias("_last"))
+    tails = placed.join(F.broadcast(ends), "_part").filter(group.eqNullSafe(F.col("_last"))).groupBy("_part").agg(
+        F.first("_first").alias("first"), F.first("_last").alias("last"), *[F.coalesce(F.sum(f"_v_{n}"), F.lit(0).cast(kind)).alias(n) for n in names])
+    carried, last, held = [], None, None
+    for row in sorted(tails.collect(), key=lambda r: r["_part"]):
+        goes_on = last is not None and row["first"] == last
+        before = held if goes_on else [0 * row[n] for n in names]
+        carried.append((row["_part"], *before))
+        whole = row["first"] == row["last"]
+        held = [row[n] + (b if whole else 0 * b) for n, b in zip(names, before)]
+        last = row["last"]
+    carry = df.sparkSession.createDataFrame(carried, "_part bigint, " + ", ".join(f"`_c_{n}` {kind}" for n in names))
+    firsts = ends.select("_part", "_first").join(carry, "_part")
+    inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(kind)
+    seen = placed.join(F.broadcast(firsts), "_part").select(
+        "*", *[(F.when(group.eqNullSafe(F.col("_first")), F.col(f"_c_{n}")).otherwise(zero) + F.coalesce(F.sum(f"_v_{n}").over(inside), zero)).cast(kind).alias(n) for n in names])
+    return seen.drop("_part", "_at", "_first", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
 
 
 def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:

@@ -120,7 +120,7 @@ def token_totals(df: DataFrame, score: str, resp_len: str) -> DataFrame:
         F.sum(s).alias("total_train_correct_responses"), F.sum(1 - s).alias("total_train_incorrect_responses"))
 
 
-def group_responses(df: DataFrame, keys: list[str], order: list[str], response: str, score: str, width: int = 1024) -> DataFrame:
+def group_responses(df: DataFrame, keys: list[str], order: list[str], response: str, score: str, width: int) -> DataFrame:
     """Responses and scores of each prompt as arrays, at most ``width`` to a row (``block``)."""
     placed = with_group_index(df, keys, [F.col(c) for c in order], "_i").withColumn("block", F.floor(F.col("_i") / width))
     return placed.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("_i", response, score))).alias("_r")).select(

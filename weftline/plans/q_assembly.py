@@ -113,8 +113,8 @@ used AS (SELECT * FROM spans, want WHERE e = 0 OR (SELECT count(*) FROM spans WH
 SELECT e AS epoch, doc_id, span_idx::BIGINT AS span_idx, start_at::BIGINT AS start_at, end_at::BIGINT AS end_at, target::BIGINT AS target,
   row_number() OVER (ORDER BY md5('1|' || e || '|' || doc_id || '|' || span_idx), e, doc_id, span_idx) - 1 AS pos FROM used""")
 def _(t):
-    # asks for more samples than one epoch gives, and stops after two
-    out = asm.pack_sentences(sents(t), "doc_id", "sizes", 64, t.documents.count() * 10, short_prob=0.2, seed=1, max_epochs=2)
+    # asks for more samples than one epoch gives
+    out = asm.pack_sentences(sents(t), "doc_id", "sizes", 64, t.documents.count() * 10, short_prob=0.2, seed=1)
     return out.select(F.col("epoch").cast("bigint").alias("epoch"), "doc_id", F.col("span_idx").cast("bigint").alias("span_idx"),
                       F.col("start").alias("start_at"), F.col("end").alias("end_at"), "target", "pos")
 
@@ -134,11 +134,15 @@ def _(t):
 WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
 
-@query("blend", """WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS sample_idx FROM documents),
-p AS (SELECT *, row_number() OVER (ORDER BY (sample_idx + 0.5)::DOUBLE / (CASE lang WHEN 'en' THEN 0.5 WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.2 ELSE 0.1 END)::DOUBLE, lang) - 1 AS pos FROM k)
-SELECT pos, lang, sample_idx, doc_id FROM p WHERE pos < (SELECT count(*) // 2 FROM documents)""")
+@query("blend", """WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), w AS (SELECT count(*) * 2 AS w FROM documents),
+k AS (SELECT doc_id, lang, n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r FROM documents JOIN n USING (lang)),
+e AS (SELECT doc_id, lang, epoch, r + epoch * n AS sample_idx FROM (SELECT *, unnest(range(0, 2 + (SELECT w FROM w) // n)) AS epoch FROM k)),
+p AS (SELECT *, row_number() OVER (ORDER BY (sample_idx + 0.5)::DOUBLE / (CASE lang WHEN 'en' THEN 0.5 WHEN 'fr' THEN 0.2 WHEN 'de' THEN 0.2 ELSE 0.1 END)::DOUBLE, lang) - 1 AS pos FROM e)
+SELECT pos, lang, sample_idx, epoch::BIGINT AS epoch, doc_id FROM p WHERE pos < (SELECT w FROM w)""")
 def _(t):
-    return asm.blend(t.documents.select("doc_id", "lang"), "lang", [F.col("doc_id")], WEIGHTS, t.documents.count() // 2)
+    # twice the documents: every dataset runs out and starts over
+    out = asm.blend(t.documents.select("doc_id", "lang"), "lang", [F.col("doc_id")], WEIGHTS, t.documents.count() * 2)
+    return out.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
 @query("blend_exact", """WITH RECURSIVE n AS (SELECT count(*) // 2 AS n FROM documents),
@@ -152,7 +156,12 @@ def _(t):
     names = list(WEIGHTS)
     dataset = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1
     plan = asm.blend_exact(t.spark, list(WEIGHTS.values()), t.documents.count() // 2)
-    return plan.join(rows.withColumn("dataset", dataset).drop("lang"), ["dataset", "sample_idx"])
+    held = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    data = rows.join(held, "lang").select(dataset.alias("dataset"), F.col("sample_idx").alias("_row"), "_n", "doc_id")
+    sizes = data.select("dataset", "_n").distinct()
+    # a dataset that runs out starts over
+    placed = plan.join(sizes, "dataset").withColumn("_row", F.col("sample_idx") % F.col("_n")).drop("_n")
+    return placed.join(data.drop("_n"), ["dataset", "_row"]).drop("_row")
 
 
 @query("blend_plan", """WITH p AS (SELECT lang, count(*)::DOUBLE AS w FROM documents GROUP BY 1), s AS (SELECT lang, w / (SELECT sum(w) FROM p) AS share FROM p)
@@ -201,22 +210,29 @@ def _batched(t):
     return sizes.withColumn("batch", F.floor(F.col("doc_id") / 64))
 
 
-@query("balance_partitions")
+SIZES = "sz AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents)"
+BATCHED = SIZES + ", b AS (SELECT doc_id, n_tokens, doc_id // 64 AS batch FROM sz)"
+
+
+@query("balance_partitions", f"""WITH {BATCHED}, r AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY n_tokens DESC, doc_id) - 1) % 8 AS turn FROM b)
+SELECT doc_id, n_tokens, batch, CASE WHEN turn < 4 THEN turn ELSE 7 - turn END AS part FROM r""")
 def _(t):
     return asm.balance_partitions(_batched(t), "batch", "doc_id", "n_tokens", 4)
 
 
-@query("balance_greedy")
+@query("balance_greedy", f"""WITH {BATCHED}, r AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1) % 8 AS turn FROM b)
+SELECT doc_id, n_tokens, batch, CASE WHEN turn < 4 THEN turn ELSE 7 - turn END AS part FROM r""")
 def _(t):
-    return asm.balance_partitions(_batched(t), "batch", "doc_id", "n_tokens", 4, method="greedy")
+    return asm.balance_partitions(_batched(t), "batch", "doc_id", "n_tokens", 4, method="given")
 
 
-@query("micro_batches")
+@query("micro_batches", f"""WITH {BATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS orig_idx, row_number() OVER (PARTITION BY batch ORDER BY n_tokens DESC, doc_id) - 1 AS i,
+  ceil(sum(n_tokens) OVER (PARTITION BY batch) / 30000.0::DOUBLE)::BIGINT AS k FROM b)
+SELECT doc_id, n_tokens, batch, orig_idx, CASE WHEN i % (2 * k) < k THEN i % (2 * k) ELSE 2 * k - 1 - i % (2 * k) END AS micro FROM r""")
 def _(t):
     return asm.micro_batches(_batched(t), "batch", "doc_id", "n_tokens", 30000)
 
 
-SIZES = "sz AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))::BIGINT AS n_tokens FROM documents)"
 SNAKE = SIZES + ", pos AS (SELECT *, row_number() OVER (ORDER BY n_tokens DESC, doc_id) - 1 AS p FROM sz), snake AS (SELECT doc_id, n_tokens, CASE WHEN p % 16 < 8 THEN p % 16 ELSE 15 - p % 16 END AS part FROM pos)"
 
 

@@ -247,7 +247,8 @@ def _token_recall(response: str, truth: str) -> float:
 
 @query("scorer_with_timeout", f"""WITH {A} SELECT conv_id, turn, round(CASE WHEN length(response) % 50 = 0 THEN -1.0 ELSE (length(response) - length(replace(response, number, ''))) // length(number) / length(response)::DOUBLE END, 6) AS score FROM answers""")
 def _(t):
-    own = sc.custom_scorer(_token_recall, seconds=0.05, default=-1.0)
+    # normal rows take microseconds; only the endless ones meet the limit
+    own = sc.custom_scorer(_token_recall, seconds=2.0, default=-1.0)
     return views.answers(t).select("conv_id", "turn", r6(own(F.col("response"), F.col("number"))).alias("score"))
 
 

@@ -94,9 +94,7 @@ walk AS (SELECT w, 0::BIGINT AS p, '' AS out FROM words UNION ALL SELECT walk.w,
 done AS (SELECT w, out FROM walk WHERE p = length(w))
 SELECT doc_id, md5(string_agg(coalesce(out, ' [UNK]'), '' ORDER BY i)) AS pieces, count(*) FILTER (out IS NULL) AS unknown FROM tok LEFT JOIN done USING (w) GROUP BY doc_id""")
 def _(t):
-    cut = wordpiece(_vocab(t))
-    # blank texts have no pieces; filtering on the pieces would cut every text twice
-    d = views.documents(t).filter(F.size(ar.blank_tokens(F.col("text"))) > 0).select("doc_id", cut(F.col("text")).alias("p"))
+    d = wordpiece(views.documents(t), "doc_id", "text", _vocab(t)).filter(F.size("pieces") > 0).withColumnRenamed("pieces", "p")
     return d.select("doc_id", F.md5(F.concat(F.lit(" "), F.array_join("p", " "))).alias("pieces"),
                    F.size(F.filter("p", lambda x: x == "[UNK]")).cast("bigint").alias("unknown"))
 

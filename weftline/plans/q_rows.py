@@ -120,7 +120,7 @@ def _(t):
 
 @query("extract_path", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def _(t):
-    return t.events.select("event_id", F.try_to_number(rows.extract_path("props", "k", json=True), F.lit("9999999999")).cast("bigint").alias("k"))
+    return t.events.select("event_id", rows.extract_path("props", "k", json=True).try_cast("bigint").alias("k"))
 
 
 def _messages(role="role", text="text"):

@@ -54,23 +54,31 @@ def _(t):
     return t.spark.read.parquet(out).select("prompt", "run")
 
 
-BETA = f"""WITH {S}, f AS (SELECT run, event_id, ln(1 + least(greatest(kl / 0.1 - 1, -0.2), 0.2) * 8 / 100.0) AS f FROM steps)
-SELECT run, event_id AS step, round(ln(0.2 * exp(sum(f) OVER (PARTITION BY run ORDER BY event_id))), 6) + 0.0 AS log_beta FROM f"""
+# steps of 600 rows at horizon 100 are beyond 5 x horizon: a low KL then turns the sign
+BETA = f"""WITH {S}, f AS (SELECT run, event_id, 1 + least(greatest(kl / 0.1 - 1, -0.2), 0.2) * (CASE WHEN event_id % 50 = 0 THEN 600 ELSE 8 END) / 100.0::DOUBLE AS f FROM steps)
+SELECT run, event_id AS step, CASE WHEN (count(*) FILTER (f < 0) OVER w) % 2 = 1 THEN -1 ELSE 1 END AS sign, round(ln(0.2::DOUBLE) + sum(ln(abs(f))) OVER w, 6) + 0.0 AS log_beta FROM f WINDOW w AS (PARTITION BY run ORDER BY event_id)"""
+
+
+def _sized(t):
+    return _steps(t).withColumn("n", F.when(F.col("event_id") % 50 == 0, 600).otherwise(8))
+
+
+def _told(df, step):
+    return df.select("run", F.col(step).alias("step"), F.signum("beta").cast("int").alias("sign"), r6(F.log(F.abs("beta"))).alias("log_beta"))
 
 
 @query("stream_adaptive_kl", BETA)
 def _(t):
     out = fresh_path(t.spark, "beta")
     mark = fresh_path(t.spark, "checkpoint")
-    _feed(t, _steps(t).withColumn("n", F.lit(8)), ["event_id"],
+    _feed(t, _sized(t), ["event_id"],
           lambda s: jobs.stream_adaptive_kl(s, "run", "event_id", "kl", "n", out, mark, 0.2, 0.1, 100.0))
-    return t.spark.read.parquet(out).select("run", "step", r6(F.log("beta")).alias("log_beta"))
+    return _told(t.spark.read.parquet(out), "step")
 
 
 @query("adaptive_kl", BETA)
 def _(t):
-    out = jobs.adaptive_kl(_steps(t).withColumn("n", F.lit(8)), "run", "event_id", "kl", "n", 0.2, 0.1, 100.0)
-    return out.select("run", F.col("event_id").alias("step"), r6(F.log("beta")).alias("log_beta"))
+    return _told(jobs.adaptive_kl(_sized(t), "run", "event_id", "kl", "n", 0.2, 0.1, 100.0), "event_id")
 
 
 BUFFER = f"""WITH {S}, ok AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM steps WHERE score = 0)
@@ -96,6 +104,6 @@ SELECT conv_id, p * 4 // n AS batch, md5(string_agg(text, '|' ORDER BY turn)) AS
 def _(t):
     path = fresh_path(t.spark, "records")
     mark = fresh_path(t.spark, "checkpoint")
-    _feed(t, t.conversations, ["conv_id", "turn"], lambda s: jobs.stream_steps_sink(s, ["conv_id"], ["turn"], "text", "turn", path, mark))
+    _feed(t, t.conversations, ["conv_id", "turn"], lambda s: jobs.stream_steps_sink(s, ["conv_id"], ["turn"], "text", "turn", path, mark, 1024))
     back = t.spark.read.schema("conv_id long, block long, responses array<string>, scores array<long>, batch long").json(path)
     return back.select("conv_id", "batch", F.md5(F.array_join("responses", "|")).alias("responses"), joined(F.col("scores")).alias("scores"))

@@ -65,7 +65,7 @@ def merge_token_tables(dfs: list[DataFrame]) -> DataFrame:
     return parts.join(F.broadcast(shifts), "part").withColumn("doc_id", F.col("doc_id") + F.col("_shift")).drop("_shift")
 
 
-def response_rows(df: DataFrame, uid: str, sample: str, response: str, width: int = 1024) -> DataFrame:
+def response_rows(df: DataFrame, uid: str, sample: str, response: str, width: int) -> DataFrame:
     """Responses of a prompt as an ordered array, at most ``width`` to a row.
 
     ``block`` numbers the rows of a prompt with more samples than that, so no

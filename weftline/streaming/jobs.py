@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.index import same_keys, with_group_index, with_running_totals
+from ..operators.index import same_keys, with_group_index, with_group_totals
 from ..operators.rollout import group_responses
 
 
@@ -72,12 +72,16 @@ def adaptive_kl(steps: DataFrame, run: str, step: str, kl: str, n: str, init: fl
     """Batch form of :func:`stream_adaptive_kl`.
 
     The update only multiplies, so the coefficient is the start times a running
-    product, taken as a running sum of logarithms over the whole table.
+    product inside the run. A step with a low KL and n beyond 5 x horizon turns
+    its sign, so magnitude (as logarithms), signs and zeros are carried apart.
     """
-    factor = F.log(kl_factor(F.col(kl), target, horizon, F.col(n)))
-    run_sum = with_running_totals(steps.withColumn("_f", factor), [run, step], {"_before": F.col("_f")}, kind="double")
-    starts = run_sum.groupBy(run).agg(F.min_by("_before", step).alias("_start"))
-    return same_keys(run_sum, starts, [run]).withColumn("beta", init * F.exp(F.col("_before") + F.col("_f") - F.col("_start"))).drop("_f", "_before", "_start")
+    factor = steps.withColumn("_f", kl_factor(F.col(kl), target, horizon, F.col(n)))
+    size = F.when(F.col("_f") == 0, 0.0).otherwise(F.log(F.abs("_f")))
+    minus, none = (F.col("_f") < 0).cast("double"), (F.col("_f") == 0).cast("double")
+    run_sum = with_group_totals(factor, [run], [F.col(step)], {"_size": size, "_minus": minus, "_none": none}, kind="double")
+    sign = F.when((F.col("_minus") + minus) % 2 == 1, -1.0).otherwise(1.0)
+    beta = F.when(F.col("_none") + none > 0, 0.0).otherwise(sign * init * F.exp(F.col("_size") + size))
+    return run_sum.withColumn("beta", beta).drop("_f", "_size", "_minus", "_none")
 
 
 def stream_accept_buffer(groups: DataFrame, run: str, order: str, key: str, target: int, out: str, checkpoint: str) -> None:
@@ -113,10 +117,10 @@ def take_from_buffer(held: int, wanted: int, k: int) -> int:
     return wanted if held >= wanted else held // k * k
 
 
-def stream_steps_sink(steps: DataFrame, keys: list[str], order: list[str], response: str, score: str, path: str, checkpoint: str) -> None:
-    """Prompt records of every batch as JSON lines; a batch that is run again overwrites its own folder."""
+def stream_steps_sink(steps: DataFrame, keys: list[str], order: list[str], response: str, score: str, path: str, checkpoint: str, width: int) -> None:
+    """Prompt records of every batch as JSON lines, at most ``width`` responses to a record; a batch that is run again overwrites its own folder."""
     def write(df: DataFrame, batch: int) -> None:
-        group_responses(df, keys, order, response, score).write.mode("overwrite").json(f"{path}/batch={batch}")
+        group_responses(df, keys, order, response, score, width).write.mode("overwrite").json(f"{path}/batch={batch}")
     _run(steps.writeStream.foreachBatch(write), checkpoint)
 
 
