@@ -23,7 +23,7 @@ def test_repeat_then_fold_then_reorder(spark):
     three = rows.repeat_rows(batch(spark, 3), 2)
     folded = rows.fold(three, ["i", "sample_idx"], 2, ["label"]).orderBy("fold_id")
     assert [r.label for r in folded.collect()] == [["a", "a"], ["b", "b"], ["c", "c"]]
-    turned = rows.reorder(folded, ["fold_id"], [1, 2, 0])
+    turned = rows.reorder(folded, ["fold_id"], spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "out_pos long, pos long"))
     flat = rows.unfold(turned, "out_pos", ["label"]).orderBy("out_pos", "pos")
     assert [r.label for r in flat.collect()] == ["b", "b", "c", "c", "a", "a"]
 

@@ -136,11 +136,18 @@ def with_group_totals(df: DataFrame, keys: list[str], order: list, totals: dict[
 
 
 def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
-    """Linear-interpolated quantile by position: two rows reach the driver."""
+    """Linear-interpolated quantile by position over counted values, so ties are one row; two rows reach the driver."""
+    counted = df.groupBy(value).agg(F.count("*").alias("_n"))
     n = df.count()
     if n == 0:
         return None
     at = q * (n - 1)
     low, high = int(at), min(int(at) + 1, n - 1)
-    near = {r[0]: r[1] for r in with_row_index(df.select(value), [value], "_pos").filter(F.col("_pos").isin(low, high)).select("_pos", value).collect()}
-    return near[low] + (near[high] - near[low]) * (at - low)
+    placed = with_running_totals(counted, [value], {"_from": F.col("_n")}).select(value, "_from", (F.col("_from") + F.col("_n")).alias("_to"))
+
+    def holds(p: int) -> Column:
+        return (F.col("_from") <= p) & (F.col("_to") > p)
+
+    rows = placed.filter(holds(low) | holds(high)).collect()
+    first, second = [next(r[value] for r in rows if r["_from"] <= p < r["_to"]) for p in (low, high)]
+    return first + (second - first) * (at - low)

@@ -76,10 +76,9 @@ def transpose_lists(df: DataFrame, key: str, cols: list[str], strict: bool = Tru
         key, "pos", *[F.col(f"_x.{c}").alias(c) for c in cols])
 
 
-def reorder(df: DataFrame, order: list, indices: list[int]) -> DataFrame:
-    """Rows taken by position, in the given order (``out_pos``)."""
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(i, p) for i, p in enumerate(indices)], "out_pos long, _pos long")
+def reorder(df: DataFrame, order: list, positions: DataFrame) -> DataFrame:
+    """Rows taken by position: ``positions`` holds (out_pos, pos); positions beyond the table give none."""
+    wanted = positions.select("out_pos", F.col("pos").cast("bigint").alias("_pos"))
     return with_row_index(df, order, "_pos").join(wanted, "_pos").drop("_pos")
 
 

@@ -50,11 +50,10 @@ def _(t):
     return asm.document_order(t.documents.select("doc_id"), "doc_id", 3, 3, True).withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
-@query("sample_order", """WITH n AS (SELECT count(*) AS n FROM documents)
-SELECT i AS sample_idx, row_number() OVER (ORDER BY i >= n * 2 // 3, md5('9|' || i), i) - 1 AS pos FROM n, range(0, n) r(i)""")
+@query("sample_order", """WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS sample_idx, count(*) OVER () AS n FROM documents)
+SELECT doc_id, sample_idx, row_number() OVER (ORDER BY sample_idx >= n * 2 // 3, md5('9|' || sample_idx), sample_idx) - 1 AS pos FROM s""")
 def _(t):
-    n = t.documents.count()
-    return asm.sample_order(t.spark, n, 9, n * 2 // 3)
+    return asm.sample_order(t.documents.select("doc_id"), ["doc_id"], 9, t.documents.count() * 2 // 3)
 
 
 PACK = """sz AS (SELECT doc_id, ids, len(ids) AS n FROM doc_ids WHERE len(ids) > 0),

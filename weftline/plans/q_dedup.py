@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import minhash, text as tx
 from ..operators import decontaminate as dc, dedup
+from ..operators.index import with_row_index
 from ..session import stage
 from . import views
 from .registry import joined, query, r6
@@ -46,14 +47,16 @@ def _(t):
 
 
 @query("set_overlap", """
-WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower((SELECT text FROM benchmark WHERE item_id = 0)), '[\\p{L}\\p{N}_]+')) AS b FROM documents)
+WITH i AS (SELECT text AS item, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark),
+w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower(item), '[\\p{L}\\p{N}_]+')) AS b FROM documents JOIN i ON doc_id % n = i)
 SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 6) AS by_union,
  round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE END, 6) AS by_min,
  round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / greatest(len(a), len(b))::DOUBLE END, 6) AS by_max FROM w""")
 def _(t):
-    a = F.array_distinct(tx.words(F.col("text")))
-    b = t.benchmark.filter("item_id = 0").select(F.array_distinct(tx.words(F.col("text"))).alias("b")).scalar()
-    d = views.documents(t).select("doc_id", a.alias("a")).withColumn("b", b)
+    # every document against one item, every item in turn
+    a, n = F.array_distinct(tx.words(F.col("text"))), t.benchmark.count()
+    items = with_row_index(t.benchmark.select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("b")), ["item_id"], "i").select("i", "b")
+    d = views.documents(t).select("doc_id", a.alias("a"), (F.col("doc_id") % n).alias("i")).join(items, "i")
     return d.select("doc_id", *[r6(tx.jaccard(F.col("a"), F.col("b"), m)).alias(f"by_{m}") for m in ("union", "min", "max")])
 
 

@@ -56,11 +56,11 @@ def _(t):
 
 @query("attach_retrieved", f"""WITH {CAUSAL}, n AS (SELECT count(*) AS n FROM chunks),
 w AS (SELECT chunk_id, rank, j, ((neighbor_id + j) % n + n) % n AS id FROM causal, n, range(0, 2) r(j) WHERE rank <= 3),
-t AS (SELECT chunk_id, list_transform(vec[1:6], lambda x: round(x * 1000)::BIGINT) AS tokens FROM chunks)
+t AS (SELECT chunk_id, list_transform(vec, lambda x: round(x * 1000)::BIGINT) AS tokens FROM chunks)
 SELECT w.chunk_id // 4 AS sample_id, string_agg(w.id::VARCHAR, ',' ORDER BY w.chunk_id, rank, j) AS neighbor_chunks,
   string_agg(array_to_string(tokens, ','), ',' ORDER BY w.chunk_id, rank, j) AS neighbor_tokens FROM w JOIN t ON t.chunk_id = w.id GROUP BY 1""")
 def _(t):
-    tokens = F.transform(F.slice("vec", 1, 6), lambda x: F.round(x * 1000).cast("bigint"))
+    tokens = F.transform("vec", lambda x: F.round(x * 1000).cast("bigint"))
     out = rt.attach_retrieved(_causal(t), views.chunks(t).select("chunk_id", tokens.alias("tokens")), 4, 3, 2)
     return out.select("sample_id", joined(F.col("neighbor_chunks")).alias("neighbor_chunks"), joined(F.col("neighbor_tokens")).alias("neighbor_tokens"))
 
@@ -245,14 +245,20 @@ def _(t):
 
 
 PREDS = """preds AS (SELECT m, CASE WHEN vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, vec_id AS uid, label::BIGINT AS label, list_transform(e, lambda x: exp(x) / list_sum(list_transform(e, lambda y: exp(y)))) AS probs
-  FROM (SELECT m, vec_id, label, embedding[1 + m:10 + m]::DOUBLE[] AS e FROM embeddings, range(0, 3) r(m)))"""
+  FROM (SELECT m, vec_id, label, list_transform(range(0, 10), lambda c: list_sum(list_transform(range(1, len(embedding) + 1), lambda j: CASE WHEN (j + m) % 10 = c THEN embedding[j]::DOUBLE ELSE 0 END))) AS e FROM embeddings, range(0, 3) r(m)))"""
 MEANS = PREDS + """, cells AS (SELECT dataset, uid, label, unnest(range(0, 10)) AS cls, unnest(probs) AS p FROM preds), means AS (SELECT dataset, uid, label, cls, avg(p) AS p FROM cells GROUP BY ALL),
 ens AS (SELECT dataset, uid, label, arg_max(cls, p) AS predicted, max(p) FILTER (cls = 9) AS last_p FROM means GROUP BY ALL)"""
 
 
 def _preds(t):
     e = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("m"))
-    e = e.withColumn("x", F.transform(F.slice("e", F.col("m") + 1, F.lit(10)), lambda x: F.exp(x))).withColumn("s", F.aggregate("x", F.lit(0.0), lambda a, x: a + x))
+    # class c of model m adds up every tenth value, so all of the vector counts
+
+    def value(c):
+        own = F.transform("e", lambda x, j: F.when((j + 1 + F.col("m")) % 10 == c, x).otherwise(0.0))
+        return F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+
+    e = e.withColumn("x", F.array(*[F.exp(value(c)) for c in range(10)])).withColumn("s", F.aggregate("x", F.lit(0.0), lambda a, x: a + x))
     return e.select("m", F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("dataset"), F.col("vec_id").alias("uid"), "label", F.transform("x", lambda x: x / F.col("s")).alias("probs"))
 
 

@@ -205,6 +205,12 @@ STATUS = f"""f AS (SELECT doc_id, lang, {FIXED} AS text, text <> {FIXED} AS fixe
 s AS (SELECT *, CASE WHEN lang <> 'en' THEN 'non_english' WHEN length(text) < 1024 AND {N_BLANK} < 128 THEN 'small' ELSE 'keep' END AS status FROM f)"""
 
 
+@query("cleanup_rules_repair", f"""WITH r AS (SELECT doc_id, text, CASE WHEN length(text) < 512 THEN 'remove_512' ELSE 'ftfy_fix_text' END AS rule FROM documents)
+SELECT doc_id, rule, rule = 'remove_512' AS removed, CASE WHEN rule = 'remove_512' THEN text ELSE {FIXED} END AS new_text FROM r""")
+def _(t):
+    return cleaning.cleanup_rules(views.documents(t), "text", ("remove_512", "ftfy_fix_text")).select("doc_id", "rule", "removed", "new_text")
+
+
 @query("clean_corpus", f"WITH {STATUS} SELECT doc_id, status, fixed, text FROM s")
 def _(t):
     return cleaning.clean_corpus(views.documents(t), "text", english=F.col("lang") == "en").select("doc_id", "status", "fixed", "text")
@@ -249,10 +255,11 @@ def _(t):
 
 
 @query("reorder_rows", """WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders),
-w AS (SELECT unnest([5, 3, 3, 0, 99, 41]) AS p, unnest(range(0, 6)) AS out_pos)
+w AS (SELECT doc_id AS out_pos, doc_id * 37 % (SELECT count(*) FROM orders) AS p FROM documents)
 SELECT out_pos, o_orderkey FROM w JOIN i USING (p)""")
 def _(t):
-    return rows.reorder(t.orders.select("o_orderkey"), ["o_orderkey"], [5, 3, 3, 0, 99, 41])
+    wanted = t.documents.select(F.col("doc_id").alias("out_pos"), (F.col("doc_id") * 37 % t.orders.count()).alias("pos"))
+    return rows.reorder(t.orders.select("o_orderkey"), ["o_orderkey"], wanted)
 
 
 @query("pad_to_divisor", """WITH i AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS p, count(*) OVER () AS n FROM nation)
@@ -273,12 +280,12 @@ def _(t):
 
 
 @query("multiple_choice", f"""
-WITH q AS (SELECT item_id, unnest([0, 1]) AS question_idx, unnest(['What about _ here?', 'Which one fits']) AS q, unnest(['C', 'A']) AS a, string_split(text, ' ')[1:4] AS o FROM benchmark),
+WITH q AS (SELECT item_id, unnest([0, 1]) AS question_idx, unnest(['What about _ here?', 'Which one fits']) AS q, unnest(['C', 'A']) AS a, string_split(text, ' ') AS o FROM benchmark),
 c AS (SELECT *, unnest(range(0, len(o)))::INT AS choice_idx, unnest(o) AS c FROM q),
 qa AS (SELECT *, CASE WHEN contains(q, '_') THEN replace(q, '_', c) ELSE q || ' ' || c END AS x FROM c)
 SELECT item_id, question_idx, choice_idx, {CLEAN.format(x='x')} AS qa, (ascii(a) - 65)::INT AS label FROM qa""")
 def _(t):
-    options = F.slice(F.split("text", " "), 1, 4)
+    options = F.split("text", " ")
     b = t.benchmark.select("item_id", F.array(F.lit("What about _ here?"), F.lit("Which one fits")).alias("questions"),
                            F.array(options, options).alias("options"), F.array(F.lit("C"), F.lit("A")).alias("answers"))
     return chats.expand_multiple_choice(b, "item_id", "questions", "options", "answers")
@@ -352,9 +359,9 @@ def _(t):
 
 @query("attach_by_position", """
 WITH a AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS i FROM conversations),
-b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, replace(left(text, 40) || '<|endoftext|>', '<|endoftext|>', '') AS generated FROM documents)
+b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, replace(text || '<|endoftext|>', '<|endoftext|>', '') AS generated FROM documents)
 SELECT conv_id, turn, doc_id, generated FROM a JOIN b USING (i)""")
 def _(t):
-    gen = t.documents.select("doc_id", F.concat(F.substring("text", 1, 40), F.lit("<|endoftext|>")).alias("generated"))
+    gen = t.documents.select("doc_id", F.concat("text", F.lit("<|endoftext|>")).alias("generated"))
     both = rows.attach_by_position(t.conversations.select("conv_id", "turn"), ["conv_id", "turn"], gen, ["doc_id"])
     return both.select("conv_id", "turn", "doc_id", F.replace("generated", F.lit("<|endoftext|>"), F.lit("")).alias("generated"))
