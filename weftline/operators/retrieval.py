@@ -7,7 +7,7 @@ of a list, topic or table, and only the wanted rows of a block are emitted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,11 +81,36 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "rank", "id", "score")
 
 
+QUERY_BYTES = 64 << 20  # a query side up to this size is sent to the corpus, which then stays where it is
+
+
+def _scanned(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The k best of every query from each partition of the corpus, for queries that fit a task."""
+    sent = queries.select("qid", "qvec").toPandas().sort_values("qid", ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            for low in range(0, len(batch), CORPUS_BLOCK):
+                part = batch.iloc[low:low + CORPUS_BLOCK].sort_values("id", ignore_index=True)
+                found = _best_rows(sent, part, _scores(sent, part), k)
+                if best is not None:
+                    found = pd.concat([best, found]).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid", sort=False).head(k)
+                best = found
+        if best is not None:
+            yield best
+    return corpus.select("id", "vec").mapInPandas(run, "qid long, id long, score double")
+
+
 def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(qid, rank, id, score): exact largest inner products.
 
-    ``queries`` holds (qid, qvec), ``corpus`` (id, vec).
+    ``queries`` holds (qid, qvec), ``corpus`` (id, vec). Queries whose bytes,
+    counted first, are few go to the corpus; else both sides meet in blocks.
     """
+    size = queries.agg(F.sum(F.size("qvec").cast("bigint") * 8 + 16)).first()[0] or 0
+    if 0 < size <= QUERY_BYTES:
+        return _ranked(_scanned(queries, corpus, k), k)
     return _ranked(_blocked(queries, corpus, lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double"), k)
 
 

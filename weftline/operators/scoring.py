@@ -54,8 +54,18 @@ def custom_scorer(fn: Callable[[str, str], float], seconds: float | None = None,
     return lambda r, t: scored(r, t)
 
 
-def with_timeout(fn: Callable, seconds: float | None, default: float) -> Callable:
-    """``fn`` limited to ``seconds`` of wall time; the default on timeout or error.
+def limited_scorer(fn: Callable[[str, str], float], limits: dict[str, float], default: float = 0.0) -> Callable[[Column, Column, Column], Column]:
+    """As :func:`custom_scorer`, with the time limit of each row's ability; abilities without one have none."""
+    @F.pandas_udf("double")
+    def scored(responses: pd.Series, truths: pd.Series, abilities: pd.Series) -> pd.Series:
+        runs = {a: with_timeout(fn, limits.get(a), default) for a in abilities.unique()}
+        return pd.Series([runs[a](r, t) for r, t, a in zip(responses, truths, abilities)], dtype="float64")
+
+    return lambda r, t, a: scored(r, t, a)
+
+
+def with_timeout(fn: Callable, seconds: float | None, default, read: Callable = float) -> Callable:
+    """``fn`` limited to ``seconds`` of wall time, its result through ``read``; the default on timeout or error.
 
     Python workers run tasks on their main thread, so an interval timer can
     interrupt a row there.
@@ -63,12 +73,12 @@ def with_timeout(fn: Callable, seconds: float | None, default: float) -> Callabl
     def expire(*_):
         raise TimeoutError
 
-    def run(*args) -> float:
+    def run(*args):
         if seconds:
             old = signal.signal(signal.SIGALRM, expire)
             signal.setitimer(signal.ITIMER_REAL, seconds)
         try:
-            return float(fn(*args))
+            return read(fn(*args))
         except Exception:
             return default
         finally:
@@ -78,12 +88,14 @@ def with_timeout(fn: Callable, seconds: float | None, default: float) -> Callabl
     return run
 
 
-def scored_detail(fn: Callable[[str, str], tuple[float, str]]):
-    """A user's scorer as a table function with rows (score, detail)."""
+def scored_detail(fn: Callable[[str, str], tuple[float, str]], seconds: float | None = None, default: tuple[float, str] = (0.0, "failed")):
+    """A user's scorer as a table function with rows (score, detail); the default on timeout or error."""
+    run = with_timeout(fn, seconds, default, lambda found: (float(found[0]), str(found[1])))
+
     @F.udtf(returnType="score: double, detail: string")
     class Scored:
         def eval(self, response: str, truth: str):
-            yield fn(response, truth)
+            yield run(response, truth)
     return Scored
 
 
@@ -164,4 +176,4 @@ def embed_blocks(df: DataFrame, key: str, text: str, load: Callable, path: str,
     return missing
 
 
-__all__ = ["registry", "score", "custom_scorer", "with_timeout", "scored_detail", "grade_rollouts", "grade_multi", "embed_table", "embed_blocks", "hashed_words"]
+__all__ = ["registry", "score", "custom_scorer", "limited_scorer", "TIME_LIMITS", "with_timeout", "scored_detail", "grade_rollouts", "grade_multi", "embed_table", "embed_blocks", "hashed_words"]

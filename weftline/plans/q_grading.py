@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grading as gr, text as tx
 from ..operators import scoring as sc, tokens as tk
+from ..session import fresh_path
 from . import views
 from .registry import joined, query, r6
 
@@ -252,6 +253,21 @@ def _(t):
     return views.answers(t).select("conv_id", "turn", r6(own(F.col("response"), F.col("number"))).alias("score"))
 
 
+def _endless_for_llm(response: str, truth: str) -> float:
+    """Ends for no truth that is divisible by 40."""
+    while truth.isdigit() and int(truth) % 40 == 0:
+        pass
+    return float(response.count(truth) > 1)
+
+
+@query("scorer_limits", f"""WITH {A} SELECT conv_id, turn, round(CASE WHEN number::INT % 40 = 0 THEN -1.0 ELSE ((length(response) - length(replace(response, number, ''))) // length(number) > 1)::INT::DOUBLE END, 6) AS score FROM answers""")
+def _(t):
+    # the limits by ability, a twentieth of their length
+    own = sc.limited_scorer(_endless_for_llm, {k: v / 20 for k, v in sc.TIME_LIMITS.items()}, default=-1.0)
+    ability = F.when(F.col("conv_id") % 2 == 0, "math").otherwise("llm")
+    return views.answers(t).select("conv_id", "turn", r6(own(F.col("response"), F.col("number"), ability)).alias("score"))
+
+
 @query("custom_scorer", f"WITH {A} SELECT conv_id, turn, ends_with(response, number)::INT::DOUBLE AS score FROM answers")
 def _(t):
     own = sc.custom_scorer(lambda r, truth: float(r.endswith(truth)))
@@ -276,7 +292,29 @@ def _(t):
     return t.benchmark.select("item_id", tx.normalize_answer(F.col("text")).alias("spaced"), tx.normalize_exact(F.col("text")).alias("deleted"))
 
 
-@query("embed_table")
+# signed counts of the words' digests over 64 places, to unit length
+EMBEDDED = """w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS w FROM documents),
+d AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS d FROM w),
+c AS (SELECT doc_id, d % 64 AS place, sum(CASE WHEN d >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM d GROUP BY ALL),
+e AS (SELECT doc_id, round(sum(x * (place + 1)) / sqrt(sum(x * x)), 6) + 0.0 AS mark, round(max(x) / sqrt(sum(x * x)), 6) + 0.0 AS top FROM c GROUP BY 1 HAVING sum(x * x) > 0)"""
+
+
+def _marks(out):
+    at = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return [F.size("embedding").alias("dim"), r6(at).alias("mark"), r6(F.array_max("embedding")).alias("top")]
+
+
+@query("embed_table", f"WITH {EMBEDDED} SELECT doc_id, 64 AS dim, coalesce(mark, 0.0::DOUBLE) AS mark, greatest(coalesce(top, 0.0::DOUBLE), CASE WHEN (SELECT count(*) FROM c WHERE c.doc_id = documents.doc_id) < 64 THEN 0.0::DOUBLE ELSE -1 END) AS top FROM documents LEFT JOIN e USING (doc_id)")
 def _(t):
     out = sc.embed_table(t.documents, "doc_id", "text", sc.hashed_words())
-    return out.select("doc_id", F.size("embedding").alias("dim"), r6(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    return out.select("doc_id", *_marks(out))
+
+
+@query("embed_blocks", f"WITH {EMBEDDED} SELECT doc_id, doc_id // 4096 * 4096 AS block_start, coalesce(mark, 0.0::DOUBLE) AS mark FROM documents LEFT JOIN e USING (doc_id)")
+def _(t):
+    # stopped after the first half, then resumed on the whole table
+    path, n = fresh_path(t.spark, "embeddings"), t.documents.agg(F.max("doc_id") + 1).first()[0]
+    sc.embed_blocks(t.documents.filter(F.col("doc_id") < n // 2), "doc_id", "text", sc.hashed_words(), path, 4096, n // 2)
+    sc.embed_blocks(t.documents, "doc_id", "text", sc.hashed_words(), path, 4096, n)
+    out = t.spark.read.parquet(path)
+    return out.select("doc_id", F.col("block_start").cast("bigint").alias("block_start"), _marks(out)[1])
