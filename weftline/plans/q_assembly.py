@@ -118,18 +118,29 @@ def _(t):
                       F.col("start").alias("start_at"), F.col("end").alias("end_at"), "target", "pos")
 
 
-@query("pack_blocks", f"""WITH RECURSIVE {SENTS},
+BLOCKS = f"""WITH RECURSIVE {SENTS},
 ok AS (SELECT doc_id, sizes, len(sizes) AS m, 128 - (doc_id % 11) AS target FROM sents WHERE len(sizes) >= 2 AND NOT list_bool_or(list_transform(sizes, lambda s: s > 512))),
 walk AS (SELECT doc_id, sizes, m, target, 0 AS i, 0 AS s, 0::BIGINT AS len, NULL::INT AS o_s, NULL::INT AS o_e FROM ok
   UNION ALL SELECT doc_id, sizes, m, target, i + 1, CASE WHEN cut THEN i + 1 ELSE s END, CASE WHEN cut THEN 0 ELSE l END, CASE WHEN cut THEN s END, CASE WHEN cut THEN i + 1 END
-  FROM (SELECT *, m - i - 1 = 0 OR (l >= target AND m - i - 1 >= 2 AND i + 1 - s >= 2) AS cut FROM (SELECT *, len + sizes[i + 1] AS l FROM walk WHERE i < m)))
-SELECT doc_id, row_number() OVER (ORDER BY doc_id, o_s) - 1 AS block_id, o_s::BIGINT AS start_at, o_e::BIGINT AS end_at FROM walk WHERE o_s IS NOT NULL""")
+  FROM (SELECT *, m - i - 1 = 0 OR (l >= target AND m - i - 1 >= 2 AND i + 1 - s >= 2) AS cut FROM (SELECT *, len + sizes[i + 1] AS l FROM walk WHERE i < m))),
+blocks AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, o_s) - 1 AS block_id, o_s::BIGINT AS start_at, o_e::BIGINT AS end_at FROM walk WHERE o_s IS NOT NULL)"""
+
+
+@query("pack_blocks", f"{BLOCKS} SELECT * FROM blocks")
 def _(t):
     docs = sents(t).withColumn("title", F.col("doc_id") % 11)
     out = asm.pack_blocks(docs, "doc_id", "sizes", "title", 128)
     return out.select("doc_id", "block_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
+@query("pack_blocks_epochs", f"""{BLOCKS}, e AS (SELECT *, unnest(range(0, greatest(1, ((SELECT count(*) FROM documents) * 9 + (SELECT count(*) FROM blocks) - 1) // (SELECT count(*) FROM blocks)))) AS epoch FROM blocks)
+SELECT *, row_number() OVER (ORDER BY md5('1|' || epoch || '|' || block_id), epoch, block_id) - 1 AS pos FROM e""")
+def _(t):
+    docs = sents(t).withColumn("title", F.col("doc_id") % 11)
+    out = asm.pack_blocks(docs, "doc_id", "sizes", "title", 128, num_samples=t.documents.count() * 9)
+    return out.select("doc_id", "block_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("epoch").cast("bigint").alias("epoch"), "pos")
+
+
 WEIGHTS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 
 

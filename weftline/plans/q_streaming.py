@@ -99,6 +99,14 @@ def _(t):
     return jobs.accept_buffer(df, "run", "event_id", "key", 32).select("run", "step", "key")
 
 
+@query("accept_buffer_short", f"""WITH {S}, ok AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM steps WHERE score = 0)
+SELECT run, i // 480 AS step, event_id AS key FROM ok WHERE i < n // 480 * 480 + n % 480 // 16 * 16""")
+def _(t):
+    # the rest of a run is short of a step and is read in whole multiples of 16
+    df = _steps(t).filter("score = 0").withColumn("key", F.col("event_id"))
+    return jobs.accept_buffer(df, "run", "event_id", "key", 480, k=16).select("run", "step", "key")
+
+
 @query("stream_steps_sink", """WITH i AS (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) AS p, count(*) OVER () AS n FROM conversations)
 SELECT conv_id, p * 4 // n AS batch, md5(string_agg(text, '|' ORDER BY turn)) AS responses, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS scores FROM i GROUP BY ALL""")
 def _(t):

@@ -104,17 +104,22 @@ def stream_accept_buffer(groups: DataFrame, run: str, order: str, key: str, targ
     _run(steps.writeStream.outputMode("append").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")), checkpoint)
 
 
-def accept_buffer(groups: DataFrame, run: str, order: str, key: str, target: int) -> DataFrame:
-    """Batch form of :func:`stream_accept_buffer`: step = floor(place / target), incomplete steps are left out."""
+def accept_buffer(groups: DataFrame, run: str, order: str, key: str, target: int, k: int | None = None) -> DataFrame:
+    """Batch form of :func:`stream_accept_buffer`: step = floor(place / target).
+
+    Incomplete steps are left out; with ``k`` a last, short step takes what
+    :func:`take_from_buffer` reads from a buffer of the rest.
+    """
     placed = with_group_index(groups.select(run, order, key), [run], [F.col(order), F.col(key)], "_i")
     held = placed.groupBy(run).agg(F.count("*").alias("_n"))
-    return same_keys(placed, held, [run]).filter(F.col("_i") < F.floor(F.col("_n") / target) * target).select(
-        run, F.floor(F.col("_i") / target).alias("step"), key)
+    full = F.floor(F.col("_n") / target) * target
+    used = full if k is None else full + take_from_buffer(F.col("_n") - full, target, k)
+    return same_keys(placed, held, [run]).filter(F.col("_i") < used).select(run, F.floor(F.col("_i") / target).alias("step"), key)
 
 
-def take_from_buffer(held: int, wanted: int, k: int) -> int:
+def take_from_buffer(held: Column, wanted: int, k: int) -> Column:
     """Rows to read from a buffer: all that are wanted, or the whole multiples of ``k`` it has."""
-    return wanted if held >= wanted else held // k * k
+    return F.when(held >= wanted, F.lit(wanted)).otherwise(held - held % k)
 
 
 def stream_steps_sink(steps: DataFrame, keys: list[str], order: list[str], response: str, score: str, path: str, checkpoint: str, width: int) -> None:
