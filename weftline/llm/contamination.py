@@ -3,7 +3,8 @@
 Documents are read once into the numbers of their words in the benchmark's
 vocabulary (0 for all others). Passages are windows of two blocks, with blocks
 as long as the items of a size class, so an item lies whole in some passage.
-TF-IDF rows of all passages, and of the items weighted to count as much, are
+TF-IDF rows of all passages (inverse frequencies
+counted over all documents), and of the items weighted to count as much, are
 decomposed by a randomised SVD: tasks multiply their rows with a random
 matrix and back, the driver orthogonalises the sum (vocabulary x rank), and a
 second pass gives the small Gram matrix whose eigenvectors turn that basis
@@ -33,14 +34,14 @@ from ..session import stage
 from .common import documents, slices, text_key, without
 from .words import Words
 
-RANK = 256
+RANK = 128
 EXTRA = 16  # random directions beyond the rank
 BLOCK = 32  # words; size classes double it
 COSINE = 0.35
 COPY = 0.8
 PARAPHRASE = 0.5
 ANSWER = 0.8  # share of the answer's words that a paraphrase holds
-COMMON = 0.1  # words in more than this share of blocks have no weight
+COMMON = 0.002  # occurrences per block beyond which a word has no weight
 ITEMS = 2000
 SEED = 11
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¡¿·"
@@ -121,16 +122,15 @@ def _sums(rows: np.ndarray, at: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def block_counts(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """In how many blocks each word occurs, and the number of blocks, over all documents."""
+def word_counts(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """How often each word occurs, and the number of blocks, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, blocks = np.zeros(size, np.int64), 0
         for batch in slices(batches, "terms"):
-            b = Blocks(batch.column(0))
-            pairs = np.unique(b.block * size + b.term)
-            total += np.bincount(pairs % size, minlength=size)
-            blocks += b.total
+            flat, bounds = _flat(batch.column(0))
+            total += np.bincount(flat, minlength=size + 1)[1:]
+            blocks += int((-(-np.diff(bounds) // BLOCK)).sum())
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], blocks))], ["term", "n"])
 
@@ -141,13 +141,13 @@ def block_counts(table: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
 
 def weights(counts: np.ndarray, blocks: int, items: Items) -> np.ndarray:
-    """IDF of each word; common words weigh nothing, unless an item has hardly another."""
-    idf = np.log((1.0 + blocks) / (1.0 + counts)).astype(np.float32) + 0.01
-    out = np.where(counts > COMMON * max(blocks, 1), 0, idf).astype(np.float32)
+    """Inverse frequency of each word; common words weigh nothing, but an item keeps its three rarest."""
+    inverse = np.log((1.0 + blocks) / (1.0 + np.minimum(counts, blocks))).astype(np.float32) + np.float32(0.01)
+    out = np.where(counts > COMMON * max(blocks, 1), 0, inverse).astype(np.float32)
     for words in items.words:
         own = np.unique(np.array(words) - 1)
-        if (out[own] > 0).sum() < 3:
-            out[own] = idf[own]
+        rarest = own[np.lexsort((own, counts[own]))[:3]]
+        out[rarest] = inverse[rarest]
     return out
 
 
@@ -318,7 +318,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
         if not items.ids:
             return
         table = stage(numbered(df, items.vocabulary), "terms")
-        counts, blocks = block_counts(table, len(items.vocabulary))
+        counts, blocks = word_counts(table, len(items.vocabulary))
         if not blocks:
             return
         weight = weights(counts, blocks, items)
