@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,15 @@ def documents(df: DataFrame, *others: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give memory that a worker holds but does not use back to the system: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about ``limit`` bytes of ``column``; a longer row comes alone, whole."""
     for batch in batches:
         if not batch.num_rows:
@@ -30,6 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        release()
 
 
 def lengths(values: pa.Array) -> np.ndarray:

@@ -21,13 +21,14 @@ import pyarrow.compute as pc
 from .common import ragged
 
 END = 0
-KEEP = 700_000  # words remembered by a worker between batches; a full memory starts afresh, results never depend on it
+KEEP = 300_000  # words remembered by a worker between batches; a full memory starts afresh, results never depend on it
 
 _SPACE = "\\t-\\r "
 _PIECES = re.compile(rf" ?[^\W\d_]+(?=[!-&(-/:-@\[-`{{-~']|$)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-# white space that Python or the tokenizer knows beyond the plain ones, and the mark of special tokens
+# white space and blanks beyond the plain ones, on which Python and the tokenizer may differ
 _ODD_SIGNS = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-_ODD = re.compile("[" + "".join(map(chr, _ODD_SIGNS)) + r"]|<\|")
+# parts behind which no cut is sound, and parts with an odd sign or the mark of a special token
+_LOOSE = r"\A\z|[\t-\r ]\z|<\||[" + "".join(f"\\x{{{sign:X}}}" for sign in _ODD_SIGNS) + "]"
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,8 +74,7 @@ class Encoder:
         return known
 
     def part(self, part: str) -> bytes:
-        if _ODD.search(part):
-            return self.whole(part)
+        """Ids of a part that holds no odd sign."""
         return b"".join([self._word(w) for w in _PIECES(part)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,16 +87,23 @@ class Encoder:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         firsts = np.cumsum(counts) - counts
         # a cut is sound where the part before it ends with neither white space nor an odd sign
-        loose = np.array([not w or w[-1].isspace() or bool(_ODD.search(w)) for w in words], bool)
+        loose = pc.match_substring_regex(coded.dictionary, _LOOSE).to_numpy(zero_copy_only=False).astype(bool)
         owner = np.repeat(np.arange(len(texts)), counts)
         odd = np.zeros(len(texts), bool)
         odd[owner[loose[codes]]] = True
-        odd &= ~((counts == 1) & (np.array(pc.utf8_length(texts)) == 0))
         key = codes * 2
         key[firsts] += 1
         key = key[~odd[owner]]
-        used, place = np.unique(key, return_inverse=True)
-        made = [self.part(words[k >> 1] if k & 1 else " " + words[k >> 1]) for k in used.tolist()]
+        asked = np.zeros(2 * len(words), np.int64)
+        asked[key] = 1
+        used = np.flatnonzero(asked)
+        asked[used] = np.arange(len(used))
+        place = asked[key]
+        made, known = [], self.words.get
+        for k in used.tolist():
+            word = words[k >> 1] if k & 1 else " " + words[k >> 1]
+            ids = known(word)
+            made.append(self.part(word) if ids is None else ids)
         made.append(array("I", [END]).tobytes())
         for i in np.flatnonzero(odd).tolist():
             made.append(self.whole(texts[i].as_py()))
