@@ -12,7 +12,9 @@ pieces then find their sequence from their rank among equal lengths.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,8 @@ from .common import documents, slices
 from .tokens import crc, encoder, vocabulary_path
 
 CAPACITY = 2048
-NODES = 20_000  # branch-and-bound nodes after the first descent; the best packing found so far stands
-WIDTH = 24  # completions tried per node
+NODES = 5_000  # branch-and-bound nodes after the first descent; the best packing found so far stands
+WIDTH = 96  # completions tried per node
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -45,83 +47,96 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _fills(counts: np.ndarray, lengths: np.ndarray, room: int, waste: int, width: int) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths that fit ``room`` and leave at most ``waste``, least waste first."""
-    if room <= 0:
-        return [()]
-    usable = lengths[np.searchsorted(lengths, 1):np.searchsorted(lengths, room, side="right")]
-    if not len(usable):
-        return [()]
+def _fills(counts: list[int], lengths: list[int], room: int, waste: int, width: int) -> Iterator[tuple[int, ...]]:
+    """Undominated sets of lengths that fit ``room`` and leave at most ``waste``, least waste first; one at least."""
+    usable = lengths[:bisect_right(lengths, room)]
+    if not usable:
+        yield ()
+        return
     if usable[-1] == room:  # one length fills the room and dominates every other set
-        return [(room,)]
-    found: list[tuple[int, ...]] = []
+        yield (room,)
+        return
+    found: set[tuple[int, ...]] = set()
     steps = 0
 
     def grow(chosen: tuple[int, ...], left: int, top: int) -> None:
         nonlocal steps
         steps += 1
-        at = int(np.searchsorted(usable, min(left, top), side="right")) - 1
+        at = bisect_right(usable, min(left, top)) - 1
         taken = 0
-        while at >= 0 and steps < 40 * width and len(found) < 4 * width:
-            x = int(usable[at])
+        # at the root as many largest lengths as sets are wanted, below the two best fits
+        while at >= 0 and taken < (width if not chosen else 2) and steps < 8 * width:
+            x = usable[at]
             if counts[x] > chosen.count(x):
                 grow((*chosen, x), left - x, x)
                 taken += 1
-                # smaller alternatives only while they can still reach the allowed waste and few sets are known
-                if taken >= (width if not chosen else 2):
-                    break
             at -= 1
         if not taken:
-            found.append(chosen)
+            found.add(chosen)
 
     grow((), room, room)
-    good = []
-    for chosen in sorted(set(found), key=lambda c: (room - sum(c), len(c))):
-        if room - sum(chosen) <= max(waste, room - max(sum(c) for c in found)) and not _dominated(chosen, counts, usable, room):
-            good.append(chosen)
-    return good[:width] or [max(found, key=sum)]
+    ranked = sorted(found, key=lambda c: (room - sum(c), len(c)))
+    given = 0
+    for chosen in ranked:
+        if given and room - sum(chosen) > waste or given == width:
+            break
+        if not _dominated(chosen, counts, usable, room):
+            given += 1
+            yield chosen
+    if not given:
+        yield ranked[0]
 
 
-def _dominated(chosen: tuple[int, ...], counts: np.ndarray, usable: np.ndarray, room: int) -> bool:
+def _dominated(chosen: tuple[int, ...], counts: list[int], usable: list[int], room: int) -> bool:
     """Whether a left-out length can take the place of some of the chosen, no longer than itself, and still fit."""
     slack = room - sum(chosen)
     sums = {0}
-    for x in chosen[:12]:
+    for x in chosen[:8]:
         sums |= {s + x for s in sums}
     sums.discard(0)
     for s in sums:
-        # the shortest left-out length beyond s that fits dominates; an equal one does if it replaces several
-        several = s not in chosen
-        low = np.searchsorted(usable, s if several else s + 1)
-        high = np.searchsorted(usable, s + slack, side="right")
-        for x in usable[low:high][:4].tolist():
-            if counts[x] > chosen.count(x):
+        # a left-out length beyond s that fits dominates; one equal to s does if it replaces several
+        at = bisect_left(usable, s if s not in chosen else s + 1)
+        while at < len(usable) and usable[at] <= s + slack:
+            if counts[usable[at]] > chosen.count(usable[at]):
                 return True
+            at += 1
     return False
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, copies) of the sequences of the best packing found; counts[l] pieces of length l."""
-    counts = np.asarray(counts, np.int64).copy()
-    size = np.arange(len(counts))
-    volume, bound = int((counts * size).sum()), lower_bound(counts, capacity)
+    given = np.asarray(counts, np.int64)
+    volume, bound = int((given * np.arange(len(given))).sum()), lower_bound(given, capacity)
+    counts = given.tolist()
     best: list[tuple[tuple[int, ...], int]] | None = None
     best_bins, spent = 1 << 62, 0
+    live = [x for x in range(len(counts)) if counts[x]]  # lengths that are left, in order
     # a frame is a node of the tree: its open completions, and what its current one took
     frames: list[list] = []
     bins = wasted = 0
 
-    def opened() -> list | None:
-        lengths = np.flatnonzero(counts)
-        if not len(lengths):
-            return None
-        top = int(lengths[-1])
-        counts[top] -= 1
-        left = lengths if counts[top] else lengths[:-1]
+    def change(chosen: tuple[int, ...], copies: int) -> None:
+        for x in chosen:
+            had = counts[x]
+            counts[x] += copies
+            if not had:
+                insort(live, x)
+            elif not counts[x]:
+                del live[bisect_left(live, x)]
+
+    def fills(width: int) -> list[tuple[int, ...]]:
+        top = live[-1]
         allowed = capacity if best is None else (best_bins - 1) * capacity - volume - wasted
-        fills = _fills(counts, left, capacity - top, allowed, 1 if best is None and len(lengths) > 400 else WIDTH)
+        counts[top] -= 1
+        left = live if counts[top] else live[:-1]
+        found = [(top, *f) for f in islice(_fills(counts, left, capacity - top, allowed, WIDTH), width)]
         counts[top] += 1
-        return [iter([(top, *f) for f in fills]), None, 0]
+        return found
+
+    def opened() -> list | None:
+        """Completions to try, the one in use, its copies, and whether further completions were left unlisted."""
+        return [iter(fills(1 if best is None else WIDTH)), None, 0, best is None] if live else None
 
     frame = opened()
     while True:
@@ -137,20 +152,21 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> li
         while frames:
             top = frames[-1]
             if top[1] is not None:
-                for x in top[1]:
-                    counts[x] += top[2]
+                change(top[1], top[2])
                 bins -= top[2]
                 wasted -= top[2] * (capacity - sum(top[1]))
                 top[1] = None
             chosen = next(top[0], None)
+            if chosen is None and top[3] and spent < nodes:
+                top[0], top[3] = iter(fills(WIDTH)[1:]), False
+                chosen = next(top[0], None)
             if chosen is not None and spent < nodes:
                 spent += best is not None
-                copies = min(int(counts[x]) // chosen.count(x) for x in set(chosen))
+                copies = min(counts[x] // chosen.count(x) for x in set(chosen))
                 waste = copies * (capacity - sum(chosen))
                 if best is not None and -(-(volume + wasted + waste) // capacity) >= best_bins:
                     continue
-                for x in chosen:
-                    counts[x] -= copies
+                change(chosen, -copies)
                 bins, wasted, top[1], top[2] = bins + copies, wasted + waste, chosen, copies
                 advanced = True
                 break
