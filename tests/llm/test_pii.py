@@ -3,6 +3,8 @@ import math
 import re
 from collections import defaultdict
 
+import pytest
+
 from weftline.llm import pii, queries
 
 PLAIN = {
@@ -78,9 +80,11 @@ def plain_terms(texts):
     return {d: sorted((a, b, k) for (a, b), k in v.items()) for d, v in out.items()}
 
 
-def test_disclosing_terms_against_nested_loops(spark):
-    texts = [(i, f"word{i} reaches jane.roe@mail.example.com, chief zyxwine of plot{i} today") for i in range(5)]
-    texts += [(10 + i, f"plain text {i} about chief matters") for i in range(30)] + [(50, texts[0][1]), (51, "zyxwine sells well"), (60, "call +1 555 123 4567 now zyxwine")]
+@pytest.mark.parametrize("asked", [0, 50_000])
+def test_disclosing_terms_against_nested_loops(spark, monkeypatch, asked):
+    monkeypatch.setattr(pii, "ASKED", asked)
+    texts = [(i, f"word{i} reaches jane.roe@mail.example.com, chief zyx'wi\\ne of plot{i} today") for i in range(5)]
+    texts += [(10 + i, f"plain text {i} about chief matters") for i in range(30)] + [(50, texts[0][1]), (51, "zyx'wi\\ne sells well"), (60, "call +1 555 123 4567 now zyx'wi\\ne")]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")
     want = plain_terms(texts)
     assert any(k == "removed" for v in want.values() for *_, k in v) and any(k == "generalised" for v in want.values() for *_, k in v)
@@ -88,7 +92,7 @@ def test_disclosing_terms_against_nested_loops(spark):
     assert {d: v for d, v in got.items() if v} == want
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "jane.roe" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == texts[5][1]
-    assert clean[60] == "call [PHONE] now zyxwine"
+    assert clean[60] == "call [PHONE] now zyx'wi\\ne"
 
 
 def test_nulls_repeats_extra_columns_and_empty_tables(spark):

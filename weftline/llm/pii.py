@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stage
-from .common import documents, small, text_key
+from .common import documents, text_key
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 NEAR = 4
@@ -29,6 +29,7 @@ REACH = 256  # characters on either side that are searched for the NEAR whole wo
 SUPPORT = 3
 GENERALISE = 0.5
 REMOVE = 0.9
+ASKED = 50_000  # terms that a filter holds as a set
 
 _OPEN, _CLOSE = chr(0xE000), chr(0xE001)
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -121,23 +122,36 @@ def _terms(slim: DataFrame) -> DataFrame:
     return placed.filter(free).select("doc_id", "_h", "entity", F.lower("match").alias("term"), "start", "end", "match")
 
 
+def _among(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose term is asked for: by a set in the filter while the terms, counted here, are few, else by a join."""
+    terms = [r[0] for r in asked.limit(ASKED + 1).collect()]
+    if len(terms) > ASKED:
+        return words.join(asked, "term", "left_semi")
+    quoted = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
+    return words.filter(F.expr(f"term IN ({quoted})"))
+
+
 def disclosures(slim: DataFrame, beside: DataFrame, corpus: DataFrame) -> DataFrame:
     """term, entity, n_te, n_t, n_e, pmi, ic and action of every pair beyond a threshold.
 
     Term counts run over all words of the corpus (``_h``, ``_plain``), for the
     terms that some entity has beside it in ``SUPPORT`` different texts.
     """
-    pairs = stage(beside.select("term", "entity", "_h").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT), "pairs")
+    n = slim.select("_h").distinct().agg(F.count("*").alias("n")).scalar()
     n_e = slim.select("_h", F.explode("base").alias("b")).select("_h", _entity(F.col("b")).alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    together = beside.select("term", "entity", "_h").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= SUPPORT)
+    # a term has at least the texts where it stands beside any entity: pairs that these already rule out need no count
+    beside_any = beside.select("term", "_h").distinct().groupBy("term").agg(F.count("*").alias("n_b"))
+    most = F.col("n_te") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - GENERALISE)) * 1.001
+    pairs = stage(together.join(n_e, "entity").join(beside_any, "term").withColumn("n", n).filter(F.col("n_b") <= most).drop("n_b"), "pairs")
     asked = pairs.select("term").distinct()
     if asked.isEmpty():  # no pair has the support: nothing to count
         n_t = asked.withColumn("n_t", F.lit(1).cast("bigint"))
     else:
         words = corpus.select("_h", F.explode(F.array_distinct(F.split(F.lower("_plain"), r"[\x20\x09-\x0D]+"))).alias("w"))
-        held = words.select("_h", F.regexp_replace("w", _EDGES, "").alias("term")).join(small(asked), "term", "left_semi")
+        held = _among(words.select("_h", F.regexp_replace("w", _EDGES, "").alias("term")), asked)
         n_t = held.distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    n = slim.select("_h").distinct().agg(F.count("*").alias("n")).scalar()
-    told = pairs.join(n_e, "entity").join(n_t, "term").withColumn("n", n)
+    told = pairs.join(n_t, "term")
     bits = told.withColumns({"pmi": F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e"))), "ic": F.log2(F.col("n") / F.col("n_e"))}).filter("ic > 0")
     action = F.when(F.col("pmi") >= F.col("ic") * REMOVE, "removed").when(F.col("pmi") >= F.col("ic") * GENERALISE, "generalised")
     return bits.withColumn("action", action).filter("action is not null").drop("n")
