@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from weftline.llm import contamination
 
 
@@ -53,3 +55,33 @@ def test_copies_paraphrases_answers_and_clean_texts(spark):
     kept = contamination.keep(df, wrong)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {100, 101}
     assert contamination.leaks(df.limit(0), wrong).count() == 0 and contamination.leaks(df, wrong.limit(0)).count() == 0
+
+
+def test_every_copy_and_paraphrase_holds_a_probe_word():
+    draw = random.Random(8)
+    for _ in range(2000):
+        words = [draw.randrange(1, 9) for _ in range(draw.randrange(1, 12))]
+        answer = {draw.randrange(1, 13) for _ in range(draw.randrange(1, 6))}
+        counts = np.array([draw.randrange(50) for _ in range(12)])
+        passage = [draw.randrange(1, 13) for _ in range(draw.randrange(0, 16))]
+        covered = plain_lcs(words, passage) / len(words)
+        if covered >= contamination.COPY or covered >= contamination.PARAPHRASE and len(answer & set(passage)) / len(answer) >= contamination.ANSWER:
+            assert contamination.probes(words, answer, counts) & set(passage)
+
+
+def test_no_leak_depends_on_the_decomposition(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "COSINE", 2.0)  # latent vectors propose nothing
+    draw = random.Random(9)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+
+    def noise(n):
+        return [draw.choice(words) for _ in range(n)]
+
+    items = [noise(n) for n in (13, 15, 21, 30, 32, 33, 60, 64, 90, 130) * 4]
+    docs, want = [(i, " ".join(noise(150))) for i in range(40)], set()
+    for i, item in enumerate(items):
+        docs += [(1000 + i, " ".join(noise(draw.randrange(90)) + item + noise(40))), (2000 + i, " ".join(noise(50) + [w for j, w in enumerate(item) if j % 3 != 1] + noise(30)))]
+        want |= {(1000 + i, i, "copy"), (2000 + i, i, "paraphrase")}
+    bench = spark.createDataFrame([(i, " ".join(item), " ".join(item[0:6:3])) for i, item in enumerate(items)], "item_id bigint, text string, answer string")
+    found = contamination.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in found} == want

@@ -9,7 +9,10 @@ decomposed by a randomised SVD: tasks multiply their rows with a random
 matrix and back, the driver orthogonalises the sum (vocabulary x rank), and a
 second pass gives the small Gram matrix whose eigenvectors turn that basis
 into singular vectors. Passages whose latent vector has a cosine of ``COSINE``
-or more with an item are candidates. A candidate is a copy when the longest
+or more with an item are candidates, and so, whatever their cosine, are all
+that hold one of the item's probe words: rarest words of which every copy and
+every paraphrase holds one at least (:func:`probes`). So no copy or paraphrase
+depends on the decomposition. A candidate is a copy when the longest
 common subsequence of words covers ``COPY`` of the item, and a paraphrase when
 it covers ``PARAPHRASE`` and the passage holds the item's answer: that of an
 ``answer`` column if there is one, else the item's most telling words.
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import documents, slices, text_key, without
+from .common import documents, ragged, slices, text_key, without
 from .words import Words
 
 RANK = 128
@@ -43,6 +46,7 @@ PARAPHRASE = 0.5
 ANSWER = 0.8  # share of the answer's words that a paraphrase holds
 COMMON = 0.002  # occurrences per block beyond which a word has no weight
 ITEMS = 2000
+CELLS = 1 << 25  # windows x vocabulary held at once
 SEED = 11
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¡¿·"
 
@@ -102,7 +106,8 @@ class Blocks:
         self.first = np.cumsum(self.many) - self.many
         at = np.flatnonzero(flat)
         doc = np.searchsorted(bounds, at, side="right") - 1
-        self.block = self.first[doc] + (at - bounds[doc]) // BLOCK
+        self.owner, self.place = doc, at - bounds[doc]
+        self.block = self.first[doc] + self.place // BLOCK
         self.term = flat[at] - 1
         self.total = int(self.many.sum())
         self.doc = np.repeat(np.arange(len(size)), self.many)
@@ -252,7 +257,80 @@ def common_subsequence(item: list[int], passage: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
-def _search(table: DataFrame, items: Items, weight: np.ndarray, vectors: np.ndarray) -> DataFrame:
+def _needed(size: int, share: float) -> int:
+    """The fewest of ``size`` words that make up ``share``."""
+    return next(k for k in range(size + 1) if k / size >= share)
+
+
+def probes(words: list[int], answer: set[int], counts: np.ndarray) -> set[int]:
+    """Words of which every passage that is a copy or a paraphrase of an item holds one at least.
+
+    With k of n words needed, a passage without any of the n - k + 1 rarest has
+    too few. A paraphrase needs words of the item and of the answer: the side
+    that is met less often is taken.
+    """
+
+    def rarest(given, share: float) -> set[int]:
+        each = sorted(given, key=lambda w: (counts[w - 1], w))
+        return set(each[:len(each) - _needed(len(each), share) + 1])
+
+    return rarest(words, COPY) | min(rarest(answer, ANSWER), rarest(words, PARAPHRASE), key=lambda some: sum(int(counts[w - 1]) for w in some))
+
+
+class Probes:
+    """The items of one size class by their probe words, and what their copies and paraphrases hold at least."""
+
+    def __init__(self, words: list[list[int]], answers: list[set[int]], counts: np.ndarray):
+        self.size = len(counts)
+        asked = sorted((w - 1, i) for i, (given, answer) in enumerate(zip(words, answers)) for w in probes(given, answer, counts))
+        self.items = np.array([i for _, i in asked], np.int64)
+        self.bounds = np.searchsorted([w for w, _ in asked], np.arange(self.size + 1))
+        self.words, self.answers = self._table(words), self._table(answers)
+        self.copy, self.paraphrase = (np.array([_needed(len(given), share) for given in words]) for share in (COPY, PARAPHRASE))
+        self.answered = np.array([_needed(len(answer), ANSWER) for answer in answers])
+
+    def _table(self, lists: list) -> np.ndarray:
+        """Word places of every list, one row each, filled up with a word that no passage holds."""
+        out = np.full((len(lists), max(map(len, lists))), self.size, np.int64)
+        for row, given in zip(out, lists):
+            row[:len(given)] = np.array(sorted(given)) - 1
+        return out
+
+    def asked(self, block: np.ndarray, term: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """window * items + item wherever a window holds a probe word; joined[i]: window i goes on in block i + 1."""
+        sizes = np.diff(self.bounds)
+        told = sizes[term] > 0
+        block, term = np.divmod(np.unique(block[told] * self.size + term[told]), self.size)
+        item = self.items[ragged(self.bounds[term], sizes[term])]
+        block = np.repeat(block, sizes[term])
+        before = np.flatnonzero((block > 0) & joined[block - 1])
+        n = len(self.words)
+        return np.unique(np.concatenate([block * n + item, (block[before] - 1) * n + item[before]]))
+
+    def possible(self, keys: np.ndarray, block: np.ndarray, term: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        """Those of the keys (in order) whose window holds words enough for a copy or a paraphrase, in whatever order."""
+        window, item = np.divmod(keys, len(self.words))
+        step, out = max(1, CELLS // (self.size + 1)), [np.zeros(0, np.int64)]
+        low = 0
+        while low < len(keys):
+            start = int(window[low])
+            high = int(np.searchsorted(window, start + step))
+            a, b = np.searchsorted(block, [start, start + step + 1])
+            held = np.zeros((step + 1, self.size + 1), bool)
+            held[block[a:b] - start, term[a:b]] = True
+            on = np.flatnonzero(joined[start:start + step])
+            held[on] |= held[on + 1]
+            for at in range(low, high, 1 << 15):
+                some = slice(at, min(at + (1 << 15), high))
+                place, i = (window[some] - start)[:, None], item[some]
+                shared = held[place, self.words[i]].sum(axis=1)
+                told = held[place, self.answers[i]].sum(axis=1)
+                out.append(keys[some][(shared >= self.copy[i]) | (shared >= self.paraphrase[i]) & (told >= self.answered[i])])
+            low = high
+        return np.concatenate(out)
+
+
+def _search(table: DataFrame, items: Items, weight: np.ndarray, vectors: np.ndarray, counts: np.ndarray) -> DataFrame:
     own = _item_rows(items, weight) @ vectors
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
     classes = np.array(items.classes)
@@ -262,6 +340,10 @@ def _search(table: DataFrame, items: Items, weight: np.ndarray, vectors: np.ndar
         telling.append(set(each[:max(2, len(each) // 4)]))
     answers = [a or t for a, t in zip(items.answers, telling)]
     names = items.ids
+    levels = []
+    for level in range(int(classes.max()) + 1):
+        mine = np.flatnonzero(classes == level)
+        levels.append((mine, Probes([items.words[i] for i in mine], [answers[i] for i in mine], counts) if len(mine) else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "terms", 1 << 20):
@@ -269,26 +351,33 @@ def _search(table: DataFrame, items: Items, weight: np.ndarray, vectors: np.ndar
             blocks, doc = _passages(b, weight, vectors)[2], b.doc
             start = (np.arange(b.total) - b.first[doc]) * BLOCK
             rows, step = [], BLOCK
-            for level in range(int(classes.max()) + 1):
-                mine = np.flatnonzero(classes == level)
-                windows = _pairs(blocks, doc)
-                size = np.linalg.norm(windows, axis=1)
-                live = np.flatnonzero(size > 1e-6) if len(mine) else np.zeros(0, np.int64)
-                for low in range(0, len(live), 1 << 14):
-                    some = live[low:low + (1 << 14)]
-                    near = (windows[some] / size[some, None]) @ own[mine].T
-                    for w, i in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
-                        at, item = int(some[w]), int(mine[i])
+            for mine, probe in levels:
+                if len(mine):
+                    joined = np.append(doc[1:] == doc[:-1], False)
+                    first = np.searchsorted(doc, np.arange(len(b.bounds) - 1))
+                    block = first[b.owner] + b.place // step
+                    windows = _pairs(blocks, doc)
+                    size = np.linalg.norm(windows, axis=1)
+                    live = np.flatnonzero(size > 1e-6)
+                    found = [probe.asked(block, b.term, joined)]
+                    for low in range(0, len(live), 1 << 14):
+                        some = live[low:low + (1 << 14)]
+                        w, i = np.nonzero((windows[some] / size[some, None]) @ own[mine].T >= COSINE)
+                        found.append(some[w] * len(mine) + i)
+                    keys = probe.possible(np.unique(np.concatenate(found)), block, b.term, joined)
+                    for at, i in zip(*(x.tolist() for x in np.divmod(keys, len(mine)))):
+                        item = int(mine[i])
                         d = int(doc[at])
-                        first = int(b.bounds[d] + start[at])
-                        passage = b.terms[first:min(first + 2 * step, int(b.bounds[d + 1]))]
+                        begin = int(b.bounds[d] + start[at])
+                        passage = b.terms[begin:min(begin + 2 * step, int(b.bounds[d + 1]))]
                         passage = passage[passage > 0].tolist()
                         covered = common_subsequence(items.words[item], passage) / len(items.words[item])
                         if covered >= PARAPHRASE:
                             answered = len(answers[item].intersection(passage)) / len(answers[item])
                             kind = "copy" if covered >= COPY else "paraphrase" if answered >= ANSWER else None
                             if kind:
-                                rows.append((d, names[item], float(near[w, i]), covered, answered, kind, int(start[at])))
+                                cosine = float(windows[at] @ own[item] / size[at]) if size[at] > 1e-6 else 0.0
+                                rows.append((d, names[item], cosine, covered, answered, kind, int(start[at])))
                 # blocks of the next class are pairs of this one's
                 pair = start // step % 2 == 0
                 merged = _pairs(blocks, doc)[pair]
@@ -322,7 +411,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
         if not blocks:
             return
         weight = weights(counts, blocks, items)
-        found.append(stage(_search(table, items, weight, singular_vectors(table, items, weight, blocks, rank)), "leaks"))
+        found.append(stage(_search(table, items, weight, singular_vectors(table, items, weight, blocks, rank), counts), "leaks"))
 
     for row in listed.toLocalIterator():
         held.append(row.asDict())
