@@ -56,3 +56,25 @@ def test_every_page_gives_a_document(spark):
     # pages show a document under a heading; a few documents differ from the page by white space only
     same = sum(" ".join(r.text.split("\n", 1)[-1].split()) in {" ".join(t.split()) for t in texts} if i < 20 else r.text.split("\n", 1)[-1] in texts for i, r in enumerate(out))
     assert len(out) == pages.count() and same >= 0.95 * len(out)
+
+
+def test_names_do_not_drop_the_main_part():
+    text = "the words of the page that say what it is about"
+    for page in ("<body class='no-sidebar'><p>{}</p></body>", "<main class='search-results'><p>{}</p></main>", "<article class='post has-comments'><p>{}</p><div class='comments'>first</div></article>",
+                 "<div class='content-with-sidebar'><p>{}</p><div class='sidebar'>other pages</div></div>", "<div class='widget'><div class='share'>send</div><p>{}</p></div>"):
+        assert html.main_text(f"<html>{page}</html>".format(text), None) == text
+    assert html.main_text("<p>one <span class='search-term'>two</span> <b id='alert'>now</b> three</p>", None) == "one two three"
+
+
+def test_ends_beyond_the_depth_close_their_own_elements():
+    n = html.DEPTH + 50
+    assert html.main_text("<article>" + "<div>" * n + "deep" + "</div>" * n + "<p>after</p></article><div>outside</div>", None) == "deep\nafter"
+    nest = "<div>" * n + "deep<nav>menu<div>x</div></nav><p>a<p>b" + "</div>" * n
+    assert html.main_text(f"<body><div><article>{nest}<p>after</p></article></div><p>outside</p></body>", None) == "deep\na\nb\nafter"
+
+
+def test_the_host_decides_on_groups_by_their_names(spark):
+    page = "<body><div class='promo-page'><p>{0} words of the text that go on</p></div><div class='promo'>buy {0}</div></body>"
+    rows = [(i, "http://a.example/", page.format(f"page{i}")) for i in range(6)] + [(9, "http://a.example/", "<body><div class='promo-page'><p>short</p></div><div class='promo'>buy very many of all these things</div></body>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"page{i} words of the text that go on" for i in range(6)} | {9: "short"}

@@ -9,6 +9,10 @@ first; one small wrapper per task and host then meets the others of the host,
 so a hot host moves no pages. The wrapper's main group, chosen on the text
 that all pages of the host put into it, is what is extracted from every page;
 a page without that group is its own wrapper.
+
+What is not text by its element is left out. A group that is so by its names
+alone is left out where the pages of the host put at most half of their text
+into it; a body, main part or article is never left out.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,6 +43,8 @@ HOLDS = frozenset("ul ol dl table tbody thead tfoot tr select".split())  # an im
 # parts of a page that are not its text: by element, and by a word of class, id or role
 NOT_TEXT = frozenset("head nav header footer aside form script style noscript template select button textarea title iframe svg canvas audio video object menu dialog".split())
 NOT_TEXT_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion menu nav navbar navigation navigationbar breadcrumb breadcrumbs sidebar aside header masthead footer footnav cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments commentlist reply replies respond disqus search searchform widget toolbar pagination pager skip complementary contentinfo".split())
+NEVER_BY_NAME = frozenset("html body main article".split())
+ELEMENT, NAMED = 2, 1  # why a node is not text
 MAIN_WORDS = frozenset("article content main post entry story body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
@@ -48,7 +55,7 @@ _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 class Node:
     __slots__ = ("tag", "sig", "items", "drop", "inline")
 
-    def __init__(self, tag: str, sig: str, drop: bool, inline: bool):
+    def __init__(self, tag: str, sig: str, drop: int, inline: bool):
         self.tag, self.sig, self.items, self.drop, self.inline = tag, sig, [], drop, inline
 
 
@@ -56,10 +63,29 @@ def _words(names: str) -> set[str]:
     return {w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()) if w}
 
 
+def _not_text(tag: str, names: str, words: set[str]) -> int:
+    """ELEMENT, NAMED or 0. In a sentence a whole name tells (promo, not search-term)."""
+    if tag in NOT_TEXT:
+        return ELEMENT
+    if tag in NEVER_BY_NAME:
+        return 0
+    told = words & NOT_TEXT_WORDS
+    if told and tag in INLINE:
+        told = any(own and own <= NOT_TEXT_WORDS for own in map(_words, names.split()))
+    return NAMED if told else 0
+
+
 def parse(page: str) -> Node:
     """Tree of block elements; items are nodes, texts, and None for a line break. Any input parses."""
-    root = Node("#root", "#root", False, False)
-    stack, at, end = [root], 0, len(page)
+    root = Node("#root", "#root", 0, False)
+    # every open element, with the node that takes its content: its own, or beyond DEPTH that of an outer one
+    stack, tags, inlines, at, end = [root], ["#root"], [False], 0, len(page)
+    opened: Counter[str] = Counter()
+
+    def close(i: int) -> None:
+        opened.subtract(tags[i:])
+        del stack[i:], tags[i:], inlines[i:]
+
     while at < end:
         token = _TOKEN.match(page, at)
         if token is None:  # an unfinished tag: the rest of it is markup up to the next one
@@ -75,38 +101,40 @@ def parse(page: str) -> Node:
             continue
         tag = name.lower()
         if token.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag] > 0:
+                close(next(i for i in range(len(tags) - 1, 0, -1) if tags[i] == tag))
             continue
         if tag == "br":
             stack[-1].items.append(None)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            over = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            at = over.end() if over else end
             continue
         names = " ".join(v for m in _NAMED.finditer(token.group(3)) for v in m.groups()[1:] if v) if token.group(3) else ""
         words = _words(names) if names else ()
-        drop = tag in NOT_TEXT or any(w in NOT_TEXT_WORDS for w in words)
+        drop = _not_text(tag, names, set(words))
         inline = tag in INLINE
         if inline and not drop or tag in VOID and tag != "hr":
             continue
         for i in range(len(stack) - 1, 0, -1):  # implied ends
-            open_ = stack[i].tag
+            open_ = tags[i]
             if open_ == "p" and tag in ENDS_P or open_ in ENDS_OWN.get(tag, ()):
-                del stack[i:]
+                close(i)
                 break
-            if open_ in HOLDS or not stack[i].inline and open_ not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
+            if open_ in HOLDS or not inlines[i] and open_ not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
                 break
-        if len(stack) > DEPTH and not drop:
-            stack[-1].items.append(None)
-            continue
-        node = Node(tag, tag + "".join(f".{w}" for w in sorted(words)), drop, inline)
-        stack[-1].items.append(node)
+        if len(stack) > DEPTH and drop != ELEMENT:
+            node = stack[-1]
+            node.items.append(None)
+        else:
+            node = Node(tag, tag + "".join(f".{w}" for w in sorted(words)), drop, inline)
+            stack[-1].items.append(node)
         if tag not in VOID and not token.group(3).endswith("/"):
             stack.append(node)
+            tags.append(tag)
+            inlines.append(inline)
+            opened[tag] += 1
         elif tag == "hr":
             stack[-1].items.append(None)
     return root
@@ -114,7 +142,7 @@ def parse(page: str) -> Node:
 
 # ---- wrappers: [signature, flags, characters, items]; an item is a wrapper or [None, flags, characters, text hash or None]
 
-OPTIONAL, REPEATED = 1, 2
+OPTIONAL, REPEATED, UNSURE = 1, 2, 4  # unsure: no text by its names
 
 
 def _fold(items: list) -> list:
@@ -130,12 +158,13 @@ def _fold(items: list) -> list:
 
 
 def stream(node: Node) -> list:
-    """A page's own wrapper. What is not text is left out of it."""
+    """A page's own wrapper. Elements that are not text are left out of it."""
     items = []
     for item in node.items:
         if isinstance(item, Node):
-            if not item.drop:
+            if item.drop != ELEMENT:
                 items.append(stream(item))
+                items[-1][1] |= UNSURE * (item.drop == NAMED)
         elif item is not None and not item.isspace():
             plain = item.strip()
             items.append([None, 0, len(plain), hash_text(plain)])
@@ -175,6 +204,26 @@ def align(a: list, b: list) -> list:
     return [a[0], flags, size, _fold(merged)]
 
 
+def settle(wrapper: list) -> tuple[list, list[list[str]]]:
+    """The wrapper without the unsure groups that hold at most half of the text, and the paths of those that stay."""
+    kept = []
+
+    def walk(node: list, path: list[str]) -> list:
+        items = []
+        for item in node[3]:
+            if item[0] is not None:
+                below = [*path, item[0]]
+                if item[1] & UNSURE:
+                    if item[2] * 2 <= wrapper[2]:
+                        continue
+                    kept.append(below)
+                item = walk(item, below)
+            items.append(item)
+        return [node[0], node[1] & ~UNSURE, sum(i[2] for i in items), items]
+
+    return walk(wrapper, []), kept
+
+
 def _is_main(sig: str) -> int:
     tag, *words = sig.split(".")
     return 3 if tag == "article" else 2 if tag == "main" or "main" in words else 1 if any(w in MAIN_WORDS for w in words) and tag != "body" else 0
@@ -212,7 +261,7 @@ def main_path(wrapper: list) -> list[str]:
 
 def regular_expression(wrapper: list) -> str:
     """The wrapper as a union-free regular expression over tags and #text slots."""
-    sign = {0: "", OPTIONAL: "?", REPEATED: "+", OPTIONAL | REPEATED: "*"}[wrapper[1]]
+    sign = {0: "", OPTIONAL: "?", REPEATED: "+", OPTIONAL | REPEATED: "*"}[wrapper[1] & ~UNSURE]
     if wrapper[0] is None:
         body = "#text" if wrapper[3] is None else f"'{wrapper[3]:08x}'"
         return f"({body}){sign}" if sign else body
@@ -223,7 +272,7 @@ def regular_expression(wrapper: list) -> str:
 def _at(root: Node, path: list[str]) -> list[Node]:
     nodes = [root]
     for sig in path:
-        nodes = [i for n in nodes for i in n.items if isinstance(i, Node) and not i.drop and i.sig == sig]
+        nodes = [i for n in nodes for i in n.items if isinstance(i, Node) and i.drop != ELEMENT and i.sig == sig]
     return nodes
 
 
@@ -256,12 +305,20 @@ def text_of(nodes: list[Node]) -> str:
     return "\n".join(blocks)
 
 
-def main_text(page: str, path: list[str] | None) -> str:
+def main_text(page: str, path: list[str] | None, kept: list[list[str]] | tuple = ()) -> str:
     root = parse(page)
+
+    def keep(paths) -> None:
+        for group in paths:
+            for node in _at(root, group):
+                node.drop = 0
+
+    keep(kept)
     nodes = _at(root, path) if path is not None else []
     if not nodes or not path:
-        own = main_path(stream(root))
-        nodes = _at(root, own)
+        own, more = settle(stream(root))
+        keep(more)
+        nodes = _at(root, main_path(own))
     return text_of(nodes)
 
 
@@ -270,7 +327,7 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) and path (JSON) of every host, over all its pages."""
+    """host, wrapper (JSON) and path (JSON: that of the main group, those of the groups kept in spite of their names) of every host, over all its pages."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded: dict[str, list] = {}
@@ -287,7 +344,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for text in group["wrapper"]:
             one = json.loads(text)
             whole = one if whole is None else align(whole, one)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(whole)], "path": [json.dumps(main_path(whole))]})
+        whole, kept = settle(whole)
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(whole)], "path": [json.dumps([main_path(whole), kept])]})
 
     parts = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(own, "host string, wrapper string")
     return parts.groupBy("host").applyInPandas(join, "host string, wrapper string, path string")
@@ -306,13 +364,13 @@ def extract(pages: DataFrame) -> DataFrame:
     joined = source.join(small(found.select("host", "path")), "host", "left").select("page_id", "url", "host", "path", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, list[str] | None] = {}
+        known: dict[str | None, list] = {}
         for batch in slices(batches, "html"):
             texts = []
             for path, page in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if path not in known:
-                    known[path] = json.loads(path) if path else None
-                texts.append(main_text(page or "", known[path]))
+                    known[path] = json.loads(path) if path else [None, []]
+                texts.append(main_text(page or "", *known[path]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              ["page_id", "url", "host", "text", "n_chars"])
 
