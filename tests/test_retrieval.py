@@ -99,3 +99,9 @@ def test_fixed_coefficient(spark, tmp_path):
     df.write.parquet(feed)
     jobs.stream_adaptive_kl(spark.readStream.schema(df.schema).parquet(feed), "run", "step", "kl", "n", out, mark, 0.2, None)
     assert {r.beta for r in spark.read.parquet(out).collect()} == {0.2}
+
+
+def test_approximate_search_finds_nine_tenths(spark):
+    from weftline import plans
+    got, want = ({(r.qid, r.id) for r in plans.QUERIES[name](spark, "/root/testdata/sf0.1").select("qid", "id").collect()} for name in ("topk_approx", "topk_inner_product"))
+    assert len(got & want) >= 0.9 * len(want)

@@ -33,7 +33,8 @@ def _(t):
 @query("topk_approx")
 def _(t):
     q, c = _sides(t)
-    return rt.topk_approx(q, c, 10, nlist=8, nprobe=3).select("qid", F.col("rank").cast("bigint").alias("rank"), "id", r6(F.col("score")).alias("score"))
+    # 6 lists give a recall of 0.92 on sf0.1 and 1.00 on sf0.01, 7 give 0.97 and 1.00: it falls as tables grow
+    return rt.topk_approx(q, c, 10, nlist=8, nprobe=7).select("qid", F.col("rank").cast("bigint").alias("rank"), "id", r6(F.col("score")).alias("score"))
 
 
 @query("topk_all_lists", f"WITH {NEAR} SELECT qid, rank, id, round(score, 6) + 0.0 AS score FROM near WHERE rank <= 10")
