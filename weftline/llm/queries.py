@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import contamination, html, langid, packing, payload, pii, quality, shards, simhash, suffix
+from . import contamination, html, langid, packing, payload, pii, prefixes, quality, shards, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +82,8 @@ def _(spark, documents, folder):
 @query("op10_language_id")
 def _(spark, documents, folder):
     return langid.identify(documents)
+
+
+@query("op11_prefix_trie", "conversations")
+def _(spark, conversations, folder):
+    return prefixes.prefix_trie(conversations)
