@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import contamination, html, langid, packing, payload, pii, prefixes, quality, shards, simhash, suffix
+from . import contamination, html, langid, overlap, packing, payload, pii, prefixes, quality, shards, simhash, suffix, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,13 @@ def _(spark, documents, folder):
 @query("op11_prefix_trie", "conversations")
 def _(spark, conversations, folder):
     return prefixes.prefix_trie(conversations)
+
+
+@query("op12_spelling_variants")
+def _(spark, documents, folder):
+    return variants.variants(documents)
+
+
+@query("op13_ngram_jaccard")
+def _(spark, documents, folder):
+    return overlap.components(documents)
