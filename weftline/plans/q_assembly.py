@@ -224,21 +224,43 @@ SIZES = "sz AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\
 BATCHED = SIZES + ", b AS (SELECT doc_id, n_tokens, doc_id // 64 AS batch FROM sz)"
 
 
-@query("balance_partitions", f"""WITH {BATCHED}, r AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY n_tokens DESC, doc_id) - 1) % 8 AS turn FROM b)
-SELECT doc_id, n_tokens, batch, CASE WHEN turn < 4 THEN turn ELSE 7 - turn END AS part FROM r""")
+# largest differencing: the two states of widest spread are joined until a batch has one; {p} has batch, i (place by length), n_tokens and k
+DIFFERENCING = """,
+f AS (SELECT batch, k, list({'a': -n_tokens, 'b': -n_tokens, 'c': i, 'parts': list_concat([{'s': -n_tokens, 'm': i, 'ids': [i]}],
+    list_transform(range(k - 1), lambda x: {'s': 0::BIGINT, 'm': -1::BIGINT, 'ids': []::BIGINT[]}))}) AS states FROM p GROUP BY batch, k),
+d AS (SELECT batch, k, list_sort(states) AS states FROM f
+  UNION ALL
+  SELECT batch, k, list_sort(list_append(states[3:], {'a': parts[1].s - parts[k].s, 'b': parts[1].s, 'c': list_min(list_concat([states[1].c], [states[2].c])), 'parts': parts})) FROM (
+    SELECT batch, k, states, list_sort(list_transform(range(1, k + 1), lambda j: {'s': states[1].parts[j].s + states[2].parts[k + 1 - j].s,
+      'm': CASE WHEN states[1].parts[j].m < 0 THEN states[2].parts[k + 1 - j].m WHEN states[2].parts[k + 1 - j].m < 0 THEN states[1].parts[j].m ELSE least(states[1].parts[j].m, states[2].parts[k + 1 - j].m) END,
+      'ids': list_concat(states[1].parts[j].ids, states[2].parts[k + 1 - j].ids)})) AS parts FROM d WHERE len(states) > 1)),
+u AS (SELECT batch, part - 1 AS part, unnest(states[1].parts[part].ids) AS i FROM d, range(1, 1000) r(part) WHERE len(states) = 1 AND part <= k),
+j AS (SELECT p.*, u.part, CASE WHEN p.i % (2 * k) < k THEN p.i % (2 * k) ELSE 2 * k - 1 - p.i % (2 * k) END AS snake FROM p JOIN u USING (batch, i)),
+w AS (SELECT batch FROM
+  (SELECT batch, max(s) - CASE WHEN count(*) < k THEN 0 ELSE min(s) END AS d FROM (SELECT batch, k, part, sum(n_tokens) AS s FROM j GROUP BY 1, 2, 3) GROUP BY batch, k) JOIN
+  (SELECT batch, max(s) - CASE WHEN count(*) < k THEN 0 ELSE min(s) END AS e FROM (SELECT batch, k, snake, sum(n_tokens) AS s FROM j GROUP BY 1, 2, 3) GROUP BY batch, k) USING (batch) WHERE e < d)"""
+
+
+@query("balance_partitions", f"""WITH RECURSIVE {BATCHED}, p AS (SELECT *, 4::BIGINT AS k, row_number() OVER (PARTITION BY batch ORDER BY n_tokens DESC, doc_id) - 1 AS i FROM b){DIFFERENCING}
+SELECT doc_id, n_tokens, batch, CASE WHEN batch IN (SELECT batch FROM w) THEN snake ELSE part END AS part FROM j""")
 def _(t):
     return asm.balance_partitions(_batched(t), "batch", "doc_id", "n_tokens", 4)
 
 
-@query("balance_greedy", f"""WITH {BATCHED}, r AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1) % 8 AS turn FROM b)
-SELECT doc_id, n_tokens, batch, CASE WHEN turn < 4 THEN turn ELSE 7 - turn END AS part FROM r""")
+@query("balance_greedy", f"""WITH RECURSIVE {BATCHED}, p AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS i FROM b),
+g AS (SELECT batch, -1::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS sums, 0 AS lightest FROM p GROUP BY batch
+  UNION ALL
+  SELECT batch, i, list_transform(range(1, 5), lambda j: sums[j] + CASE WHEN j = lightest THEN n_tokens ELSE 0 END), lightest FROM
+    (SELECT g.batch, p.i, sums, n_tokens, list_position(sums, list_min(sums)) AS lightest FROM g JOIN p ON p.batch = g.batch AND p.i = g.i + 1)),
+r AS (SELECT batch, lightest, row_number() OVER (PARTITION BY batch ORDER BY sum(n_tokens) DESC, min(i)) - 1 AS part FROM g JOIN p USING (batch, i) GROUP BY batch, lightest)
+SELECT doc_id, n_tokens, batch, part FROM p JOIN g USING (batch, i) JOIN r USING (batch, lightest)""")
 def _(t):
     return asm.balance_partitions(_batched(t), "batch", "doc_id", "n_tokens", 4, method="given")
 
 
-@query("micro_batches", f"""WITH {BATCHED}, r AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS orig_idx, row_number() OVER (PARTITION BY batch ORDER BY n_tokens DESC, doc_id) - 1 AS i,
-  ceil(sum(n_tokens) OVER (PARTITION BY batch) / 30000.0::DOUBLE)::BIGINT AS k FROM b)
-SELECT doc_id, n_tokens, batch, orig_idx, CASE WHEN i % (2 * k) < k THEN i % (2 * k) ELSE 2 * k - 1 - i % (2 * k) END AS micro FROM r""")
+@query("micro_batches", f"""WITH RECURSIVE {BATCHED}, p AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS orig_idx, row_number() OVER (PARTITION BY batch ORDER BY n_tokens DESC, doc_id) - 1 AS i,
+  greatest(ceil(sum(n_tokens) OVER (PARTITION BY batch) / 30000.0::DOUBLE)::BIGINT, 1) AS k FROM b){DIFFERENCING}
+SELECT doc_id, n_tokens, batch, orig_idx, CASE WHEN batch IN (SELECT batch FROM w) THEN snake ELSE part END AS micro FROM j""")
 def _(t):
     return asm.micro_batches(_batched(t), "batch", "doc_id", "n_tokens", 30000)
 
