@@ -5,10 +5,10 @@ hashes (64 bits). Equal rows are one class, so copies are compared once.
 A pair can reach the similarity only if
 
 * the sizes allow it: ``least * larger <= 100 * smaller``, and
-* the rows share a column among the first ``size - ceil(least/100 * size) + 1``
-  of each, in one order of all columns. Any order will do; here it is that of
-  the hashes, with the columns of many classes (shared passages, common
-  phrases) at its end.
+* the rows share a column among the first ``p = size - ceil(least/100 * size) + 1``
+  of each, in one order of all columns, and k more columns among the first
+  ``p + k``. Any order will do; here it is that of the hashes, with the columns
+  of many classes (shared passages, common phrases) at its end.
 
 Column by column, the classes that share it are candidates. They are not
 listed in pairs: each column has one hub, and the others of the column meet it
@@ -42,7 +42,7 @@ from .words import Words
 ROWS = 256  # rows of a block that meet one hub
 HOT = 32  # classes with a column among their first ones, beyond which the column goes to the end of the order
 HOT_COLUMNS = 1 << 18  # such columns at most; with more of them HOT doubles
-LISTED = 1.5  # columns listed per class, as a multiple of those it needs
+LISTED = 1.4  # columns listed per class, as a multiple of those looked at: some of them may go to the end of the order
 ROUNDS = 6
 SETS = "doc_id bigint, h bigint, n bigint, a bigint, b bigint, grams array<bigint>"
 
@@ -77,6 +77,20 @@ def required(n: np.ndarray, least: int) -> np.ndarray:
     return (least * n + 99) // 100
 
 
+def looked_at(n: np.ndarray, least: int) -> np.ndarray:
+    """First columns of a row of n that are looked at: a quarter more than the n - required + 1 by which a partner must be found."""
+    return np.where(n > 0, np.minimum((5 * (n - required(n, least) + 1) + 3) // 4, n), 0)
+
+
+def looked_at_sql(n: str, least: int) -> str:
+    return f"least((5 * ({n} - ({least} * {n} + 99) div 100 + 1) + 3) div 4, {n})"
+
+
+def in_common_sql(n: str, least: int) -> str:
+    """Columns at least that two linked rows of n or more entries share among those looked at."""
+    return f"({looked_at_sql(n, least)}) - ({n} - ({least} * {n} + 99) div 100)"
+
+
 def incidence(df: DataFrame, words: int, seed: int = 0, least: int | None = None, late: np.ndarray | None = None) -> DataFrame:
     """doc_id, h (text hash), n (set size), a and b (two 64-bit digests of the set), grams of every row.
 
@@ -94,7 +108,7 @@ def incidence(df: DataFrame, words: int, seed: int = 0, least: int | None = None
                 sums = [np.concatenate([[U64(0)], np.cumsum(mix(grams, 2 * seed + k), dtype=U64)]) for k in (101, 102)]
                 a, b = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
             if least is not None:
-                many = np.where(n > 0, n - required(n, least) + 1, 0)
+                many = looked_at(n, least)
                 if late is None:
                     many = np.minimum(np.ceil(LISTED * many).astype(np.int64), n)
                     first = np.zeros(len(n), bool)
@@ -158,7 +172,7 @@ def first_columns(df: DataFrame, rows: DataFrame, classes: DataFrame, words: int
     """
     listed = rows.select(F.col("a").alias("node"), "n", F.posexplode("grams").alias("pos", "col")).select("col", "node", "n", "pos")
     shared = stage(listed.repartition("col").sortWithinPartitions("col", "node").mapInArrow(_shared, "col bigint, node bigint, n bigint, pos int"), "shared")
-    need = F.expr(f"n - ({least} * n + 99) div 100 + 1")
+    need = F.expr(looked_at_sql("n", least))
     spark, late = df.sparkSession, np.zeros(0, U64)
     columns = shared.filter(F.col("pos") < need).select("col", "node", "n")
     for _ in range(4):
@@ -181,10 +195,30 @@ def first_columns(df: DataFrame, rows: DataFrame, classes: DataFrame, words: int
         lacking = places.join(classes.select("node", "rep", "n"), "node").filter(listed_n - F.size("late") < need).select("node", "rep")
         again = stage(lacking, "again")
         moved = incidence(of_rows(df, again.select("rep.doc_id", "rep.h")), words, seed, least, late).select(F.col("a").alias("node"), "n", "grams")
-        taken = moved.dropDuplicates(["node"]).select(F.explode("grams").alias("col"), "node", "n")
+        taken = moved.select(F.explode("grams").alias("col"), "node", "n").distinct()
         kept = ranked.filter(F.col("rank") < need).join(again.select("node"), "node", "left_anti")
         columns = stage(kept.select("col", "node", "n").unionByName(taken), "columns")
-    return columns.join(columns.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1").select("col"), "col")
+    return columns
+
+
+def peel(columns: DataFrame, least: int) -> DataFrame:
+    """``columns`` without the classes that share too few of theirs to have a partner, and without columns of one class.
+
+    Two linked rows share a number of the columns looked at that grows with
+    their sizes, so chance meetings of a few columns end here. Leaving one
+    class out can end others; passes go on while they take a tenth or more.
+    """
+    bound = F.expr(in_common_sql("q", least))
+    before = None
+    while True:
+        shared = columns.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1").select("col")
+        columns = stage(columns.join(shared, "col"), "columns")
+        after = columns.count()
+        if not after or before is not None and after > 0.9 * before:
+            return columns
+        before = after
+        own = columns.groupBy("node").agg(F.count("*").alias("s"), F.first(F.expr(f"({least} * n + 99) div 100")).alias("q"))
+        columns = columns.join(own.filter(F.col("s") >= bound).select("node"), "node").select("col", "node", "n")
 
 
 def products(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
@@ -257,7 +291,8 @@ def links(columns: DataFrame, sets: DataFrame, least: int = 85, rounds: int = RO
         if not still:
             return groups if groups is not None else sets.select("node", F.col("node").alias("root")).limit(0)
         columns = stage(columns.join(mixed.select("col"), "col", "left_semi").select("col", "node", "n", "root"), "open")
-        if before is not None and still > 0.5 * before:
+        # few enough to meet one by one, or no longer fewer by half
+        if still <= columns.count() or before is not None and still > 0.5 * before:
             break
         before = still
     other = columns.select("col", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hr"))
@@ -289,9 +324,9 @@ def components(df: DataFrame, words: int = 4, least: int = 85) -> DataFrame:
         if classes.filter("not one").isEmpty():
             break
         seed += 1  # two different sets with one digest: take another
-    columns = stage(first_columns(df, rows, classes, words, seed, least), "columns")
+    columns = peel(first_columns(df, rows, classes, words, seed, least), least)
     wanted = classes.join(columns.select("node").distinct(), "node", "left_semi").select("rep.doc_id", "rep.h")
-    sets = stage(incidence(of_rows(df, stage(wanted, "wanted")), words, seed).select(F.col("a").alias("node"), "n", "grams").dropDuplicates(["node"]), "sets")
+    sets = stage(incidence(of_rows(df, stage(wanted, "wanted")), words, seed).select(F.col("a").alias("node"), "n", "grams"), "sets")  # repeated rows only repeat links
     groups = stage(links(columns, sets, least), "groups")
     rooted = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("a"), "component_id")
