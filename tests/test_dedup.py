@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import minhash
-from weftline.operators import decontaminate as dc, dedup
+from weftline.operators import decontaminate as dc, dedup, rolling
 
 
 def shingles(t):
@@ -208,3 +208,72 @@ def test_pieces_match_a_work_list(spark, tasks_and_docs):
         kept = want if outcome in ("kept", "trimmed", "split") else [None]
         assert got[i] == [(outcome, f"tasks-{i + 1:010d}-{k:04d}" if x is not None else None, x) for k, x in enumerate(kept)], i
     assert {"kept", "split", "trimmed"} <= seen
+
+
+def plain_pieces(text, grams, lengths, margin=200, least=200, top=13):
+    """Pieces by a work list that splits what is left into words anew."""
+    todo, out = [text], []
+    while todo:
+        t = todo.pop(0)
+        hit = first_hit(t, grams, lengths, top)
+        if hit is None:
+            out.append(t)
+            continue
+        p = hit[0] - margin
+        while p > 0 and t[p] not in ".!?":
+            p -= 1
+        if p > 0 and p + 1 > least:
+            out.append(t[:p + 1])
+        p = hit[0] + len(hit[1]) + margin
+        while p < len(t) and t[p] not in ".!?":
+            p += 1
+        if len(t) - p - 1 > least:
+            todo.append(t[p + 1:])
+    return out
+
+
+@pytest.mark.parametrize("exact", [rolling.EXACT, 0])
+def test_whole_documents_table_against_plain_scans(spark, monkeypatch, exact):
+    """Frequency, pieces and places over all of sf0.001; with no room for the sorted array, by the bits of the table."""
+    monkeypatch.setattr(rolling, "EXACT", exact)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    tasks = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    # every tenth document holds a passage again, cut inside words and across sentences
+    docs |= {d: f"{t} {tasks[d % len(tasks)]}. {t} x{tasks[d % 7]}, {tasks[d % 5]}" for d, t in docs.items() if d % 10 == 0 and t}
+    grams = grams_of(tasks)
+    lengths = sorted({len(g.split()) for g in grams})
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    table = dc.ngram_table(spark.createDataFrame([(t,) for t in tasks], "text string"), "text")
+    want, places = dict.fromkeys(grams, 0), []
+    for d, text in docs.items():
+        w = [x for x, _ in words_of(text or "")]
+        places += [(d, g, i) for n in lengths for i in range(len(w) - n + 1) if (g := " ".join(w[i:i + n])) in grams]
+        t = text or ""
+        while (hit := first_hit(t, grams, lengths, 13)) is not None:
+            want[hit[1]] += 1
+            t = t[hit[0] + len(hit[1]) + 1:]
+    assert {r.ngram: r.freq for r in dc.ngram_frequency(df, "doc_id", "text", table).collect()} == want
+    assert sorted(tuple(r) for r in dc.match_ngrams(df, "doc_id", "text", table).collect()) == sorted(places)
+    got = {}
+    for r in dc.decontaminate(df, "doc_id", "text", table, ["doc_id"]).collect():
+        got.setdefault(r.doc_id, []).append((r.split_id or "", r.outcome, r.text))
+    assert len(got) == len(docs) and sum(want.values()) > 50
+    for d, text in docs.items():
+        pieces = plain_pieces(text or "", grams, lengths)
+        kept = pieces if pieces and len(pieces) <= 10 else [None]
+        assert [t for _, _, t in sorted(got[d])] == ([text] if text is None else kept), d
+
+
+def test_scans_that_go_on_inside_words():
+    """Offsets inside words, at the end, and letters whose lower case is longer."""
+    rnd = random.Random(8)
+    for trial in range(300):
+        text = "".join(rnd.choice(["a", "b", "ab", " ", " ", ", ", "İ" if trial % 3 == 0 else "c", ". "]) for _ in range(60))
+        w = [x for x, _ in words_of(text)]
+        grams = {" ".join(w[i:i + n]) for n in (2, 3) for i in range(0, len(w) - n + 1, 3)} | {"b c", "a b", "b ab c"}
+        grams = {g for g in grams if len(g.split()) > 1}
+        lengths, t, want = sorted({len(g.split()) for g in grams}), text, []
+        while (hit := first_hit(t, grams, lengths, 3)) is not None:
+            want.append(hit[1])
+            t = t[hit[0] + len(hit[1]) + 1:]
+        assert [g for _, _, g in rolling.matches(text, grams, lengths, 3, lambda b, s, q: s + len(q) + 1)] == want

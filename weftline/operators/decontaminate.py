@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.text import words
 from ..session import spread, stage
 from .index import with_row_index
+from .rolling import matches, occurrences
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 
 
 def ngrams_at(found: Column, n: int) -> Column:
@@ -35,9 +35,10 @@ def _lengths(ngrams: DataFrame) -> list[int]:
     return sorted(r[0] for r in ngrams.select("n").distinct().collect())
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast only after counting the rows; larger tables join by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, texts: str) -> DataFrame:
+    """A broadcast side while its arrays of ``texts`` are measured to hold at most BROADCAST_BYTES; more join by shuffle."""
+    held = df.agg(F.sum(F.aggregate(F.col(texts), F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t) + 64))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def match_ngrams(df: DataFrame, key: str, text: str, ngrams: DataFrame) -> DataFrame:
@@ -45,10 +46,8 @@ def match_ngrams(df: DataFrame, key: str, text: str, ngrams: DataFrame) -> DataF
     lengths = _lengths(ngrams)
     if not lengths:
         return df.select(key, F.lit("").alias("ngram"), F.lit(0).alias("word_pos")).limit(0)
-    w = spread(df.select(key, text), key).select(key, words(F.col(text)).alias("_w"))
-    empty = F.array().cast("array<struct<ngram:string,word_pos:int>>")
-    grams = F.concat(*[F.coalesce(ngrams_at(F.col("_w"), n), empty) for n in lengths])
-    return w.select(key, F.inline(grams)).join(_small(ngrams.select("ngram")), "ngram").select(key, "ngram", "word_pos")
+    found = occurrences(spread(df.select(key, text), key), key, text, ngrams.select("ngram"), lengths)
+    return found.join(ngrams.select("ngram"), "ngram").select(key, "ngram", "word_pos")
 
 
 def split_around_match(text: Column, start: Column, length: Column, margin: int = 200) -> tuple[Column, Column]:
@@ -59,64 +58,36 @@ def split_around_match(text: Column, start: Column, length: Column, margin: int
     return left, F.regexp_extract(rest, r"(?s)^[^.!?]*[.!?](.*)$", 1)
 
 
-def _candidates(df: DataFrame, key: str, text: str, ngrams: DataFrame) -> DataFrame:
-    """(key, ngrams) that a scan of the text may meet.
+def _touched(df: DataFrame, key: str, text: str, ngrams: DataFrame) -> DataFrame:
+    """(key, text, _grams) of the texts that a scan may find n-grams in, with these.
 
     Scans may resume inside a word, which changes the first word of an n-gram
-    only, so candidates are matched on all words but the first.
+    only, so candidates are matched on all words but the first. Such texts are
+    few; they leave the pass over the corpus with their text, so the corpus is
+    not joined again.
     """
-    tails = ngrams.select("ngram", F.regexp_replace("ngram", r"^[^ ]+ ", "").alias("_tail"))
-    found = spread(df.select(key, text), key).select(key, words(F.col(text)).alias("_w"))
-    empty = F.array().cast("array<struct<ngram:string,word_pos:int>>")
-    grams = F.concat(*[F.coalesce(ngrams_at(F.col("_w"), n - 1), empty) for n in _lengths(ngrams)])
-    seen = found.select(key, F.explode(F.array_distinct(F.transform(grams, lambda x: x["ngram"]))).alias("_tail"))
-    # at most one entry per word and length of the text
-    return seen.join(_small(tails), "_tail").groupBy(key).agg(F.collect_set("ngram").alias("_grams"))
-
-
-def _first_match(text: str, grams: set[str], lengths: list[int], max_n: int):
-    """(start, ngram) of the first match in scan order, or None."""
-    hits = [(m.group(), m.start()) for m in re.finditer(r"\w+", text.lower())]
-    toks = [h[0] for h in hits]
-    for i in range(len(toks) - max_n + 1):
-        for n in [max_n, *lengths]:
-            seq = " ".join(toks[i:i + n])
-            if seq in grams:
-                return hits[i][1], seq
-    tail = len(toks) - max_n
-    if tail > 0:
-        for n in lengths:
-            if n != max_n:
-                for i in range(tail, len(toks) - n + 1):
-                    seq = " ".join(toks[i:i + n])
-                    if seq in grams:
-                        return hits[i][1], seq
-    return None
-
-
-def _scan(lengths: list[int], max_n: int) -> Callable:
-    """n-grams met in one text, each search resuming behind the last match."""
-    def met(text: str, grams) -> list[str]:
-        out, grams = [], set(grams)
-        while True:
-            hit = _first_match(text, grams, lengths, max_n)
-            if hit is None:
-                return out
-            out.append(hit[1])
-            text = text[hit[0] + len(hit[1]) + 1:]
-    return met
+    tails = stage(ngrams.select("ngram", F.regexp_replace("ngram", r"^[^ ]+ ", "").alias("_tail")), "tails")
+    shorter = [n - 1 for n in _lengths(ngrams)]
+    found = stage(occurrences(spread(df.select(key, text), key), key, text, tails.select(F.col("_tail").alias("ngram")), shorter, True), "touched")
+    listed = found.select(key, F.explode("_found").alias("_tail")).join(tails, "_tail").groupBy(key).agg(F.collect_set("ngram").alias("_grams"))
+    return found.drop("_found").join(listed, key)
 
 
 def ngram_frequency(df: DataFrame, key: str, text: str, ngrams: DataFrame, max_n: int = 13) -> DataFrame:
-    """(ngram, n, freq) of every evaluation n-gram, counted without overlap inside a text."""
+    """(ngram, n, freq) of every evaluation n-gram, counted without overlap inside a text; ``key`` is unique."""
     ngrams = stage(ngrams, "ngrams")
-    met = _scan(_lengths(ngrams), max_n)
+    lengths = _lengths(ngrams)
+    if not lengths:
+        return ngrams.select("ngram", "n", F.lit(0).cast("bigint").alias("freq"))
+
+    def behind(begin: int, start: int, seq: str) -> int:
+        return start + len(seq) + 1
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def scan(texts: pd.Series, grams: pd.Series) -> pd.Series:
-        return pd.Series([met(t, g) for t, g in zip(texts, grams)])
+        return pd.Series([[seq for _, _, seq in matches(t, set(g), lengths, max_n, behind)] for t, g in zip(texts, grams)])
 
-    hit = df.select(key, text).join(_candidates(df, key, text, ngrams), key)
+    hit = _touched(df, key, text, ngrams)
     counts = hit.select(F.explode(scan(F.col(text), F.col("_grams"))).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("freq"))
     return ngrams.join(counts, "ngram", "left").select("ngram", "n", F.coalesce("freq", F.lit(0)).cast("bigint").alias("freq"))
 
@@ -129,23 +100,22 @@ def rare_ngrams(freq: DataFrame, key_threshold: int = 10) -> DataFrame:
 def _pieces(lengths: list[int], max_n: int, margin: int, min_piece: int) -> Callable:
     """Clean pieces of one text in the order they are found."""
     def cut(text: str, grams) -> list[str]:
-        grams, todo, clean = set(grams), [text], []
-        while todo:
-            part = todo.pop(0)
-            hit = _first_match(part, grams, lengths, max_n)
-            if hit is None:
-                clean.append(part)
-                continue
-            start, seq = hit
-            head = part[:max(start - margin, 0) + 1]
+        clean, rest = [], 0  # rest: offset of what is still to be searched; None once it is too short
+
+        def behind(begin: int, start: int, seq: str) -> int | None:
+            nonlocal rest
+            head = text[begin:begin + max(start - begin - margin, 0) + 1]
             end = max(head.rfind(c) for c in ".!?")
-            if end > 0 and start - margin > 0 and end + 1 > min_piece:
-                clean.append(part[:end + 1])
+            if end > 0 and start - begin - margin > 0 and end + 1 > min_piece:
+                clean.append(head[:end + 1])
             after = start + len(seq) + margin
-            ends = [p for p in (part.find(c, after) for c in ".!?") if p >= 0]
-            if ends and len(part) - min(ends) - 1 > min_piece:
-                todo.append(part[min(ends) + 1:])
-        return clean
+            ends = [p for p in (text.find(c, after) for c in ".!?") if p >= 0]
+            rest = min(ends) + 1 if ends and len(text) - min(ends) - 1 > min_piece else None
+            return rest
+
+        for _ in matches(text, set(grams), lengths, max_n, behind):
+            pass
+        return clean if rest is None else [*clean, text[rest:]]
     return cut
 
 
@@ -162,13 +132,15 @@ def decontaminate(df: DataFrame, key: str, text: str, ngrams: DataFrame, order:
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pieces(texts: pd.Series, grams: pd.Series) -> pd.Series:
-        return pd.Series([[t] if g is None else cut(t, g) for t, g in zip(texts, grams)])
+        return pd.Series([cut(t, g) for t, g in zip(texts, grams)])
 
     numbered = with_row_index(df, order, "_pos")
-    marked = numbered.join(_candidates(df, key, text, ngrams), key, "left") if lengths else numbered.withColumn("_grams", F.lit(None))
-    touched = marked.filter("_grams is not null").withColumn("_p", pieces(F.col(text), F.col("_grams")))
-    passed = marked.filter("_grams is null").withColumn("_p", F.array(text))
-    done = touched.unionByName(passed).drop("_grams")
+    if lengths:
+        # few documents: their pieces join the rest, which passes as it is
+        cut_up = stage(_touched(df, key, text, ngrams).select(key, pieces(F.col(text), F.col("_grams")).alias("_p")), "pieces")
+        done = numbered.join(_small(cut_up, "_p"), key, "left").withColumn("_p", F.coalesce("_p", F.array(text)))
+    else:
+        done = numbered.withColumn("_p", F.array(text))
     n = F.size("_p")
     outcome = (
         F.when(n == 0, "ignored").when(n > max_splits, "too_many").when(n > 1, "split")
