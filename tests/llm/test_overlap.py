@@ -63,11 +63,12 @@ def test_documents(spark):
     assert rows_of(overlap.components(docs.repartition(5))) == plain_components(rows)
 
 
-@pytest.mark.parametrize("seed,hot,rounds", [(1, 2, 1), (2, 32, 6), (3, 4, 2)])
-def test_near_copies_shared_passages_and_repeats(spark, monkeypatch, seed, hot, rounds):
-    """Groups at the edge of the similarity, a passage most documents share, chains; few rounds leave pairs to the rest."""
+@pytest.mark.parametrize("seed,hot,rounds,few", [(1, 2, 1, 2), (2, 32, 6, 16), (3, 4, 2, 1)])
+def test_near_copies_shared_passages_and_repeats(spark, monkeypatch, seed, hot, rounds, few):
+    """Groups at the edge of the similarity, a passage most documents share, chains; few rounds leave pairs to blocks of a few rows."""
     monkeypatch.setattr(overlap, "HOT", hot)
-    monkeypatch.setattr(overlap, "ROUNDS", rounds)
+    monkeypatch.setattr(overlap, "FEW", few)
+    monkeypatch.setattr(overlap, "ROWS", 8)
     monkeypatch.setattr(overlap.links, "__defaults__", (85, rounds))
     rng = random.Random(seed)
     passage = " ".join(f"p{i}" for i in range(12))

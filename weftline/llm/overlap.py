@@ -10,16 +10,18 @@ A pair can reach the similarity only if
   ``p + k``. Any order will do; here it is that of the hashes, with the columns
   of many classes (shared passages, common phrases) at its end.
 
-Column by column, the classes that share it are candidates. They are not
-listed in pairs: each column has one hub, and the others of the column meet it
-in blocks. A block is the product of the block's rows with the hub's: the
-shared entries are summed up per row, and rows whose sum stays below the bound
-of both sizes are dropped. Classes that are linked by then need no further
-comparison inside their component. Hubs change from round to round; when a
-round no longer halves the number of pairs that lie in different components
-and have not met, those that are left are compared one by one, in blocks of
-the same product. So every link between components is found, and a group of
-thousands of near copies costs a few products per member, not one per pair.
+Column by column, the classes that share it are candidates; pairs that share
+too few of the columns looked at for their sizes are dropped. Columns of many
+classes are not listed in pairs: each has one hub, and the others meet it in
+blocks. A block is the product of the block's rows with the hub's: the shared
+entries are summed up per row, and rows whose sum stays below the bound of both
+sizes are dropped. Classes that are linked by then need no further comparison
+inside their component. Hubs change from round to round; when a round no
+longer halves the number of open pairs, the classes of the columns left are
+sorted by component and meet block by block, in products of two blocks of rows,
+but for blocks of one and the same component. So every link between components
+is found, and a group of thousands of near copies is compared with its few
+outsiders, not with itself.
 
 Sets are made from the texts when they are needed, for the classes that need
 them, rather than kept: they are larger than the texts.
@@ -30,11 +32,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.dedup import connected_groups
+from ..operators.index import with_group_index
 from ..session import stage
 from .common import U64, documents, mix, ragged, release, slices, small, text_key
 from .words import Words
@@ -43,6 +47,7 @@ ROWS = 256  # rows of a block that meet one hub
 HOT = 32  # classes with a column among their first ones, beyond which the column goes to the end of the order
 HOT_COLUMNS = 1 << 18  # such columns at most; with more of them HOT doubles
 LISTED = 1.4  # columns listed per class, as a multiple of those looked at: some of them may go to the end of the order
+FEW = 16  # classes of a column that meet in pairs
 ROUNDS = 6
 SETS = "doc_id bigint, h bigint, n bigint, a bigint, b bigint, grams array<bigint>"
 
@@ -257,50 +262,112 @@ def products(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return held.select("hub", "block", "first", "node", "n", "grams").mapInArrow(multiply, "hub bigint, node bigint")
 
 
+def plausible(pairs: DataFrame, own: DataFrame, least: int) -> DataFrame:
+    """The (hub, node) of ``pairs`` that share as many of the columns looked at as two linked rows of their sizes must."""
+    def side(name: str, mark: str) -> DataFrame:
+        return own.select(F.col("node").alias(name), F.expr(in_common_sql("n", least)).alias(f"k{mark}"), F.col("cols").alias(f"c{mark}"))
+
+    both = pairs.join(side("hub", "a"), "hub").join(side("node", "b"), "node")
+    return both.filter(F.size(F.array_intersect("ca", "cb")) >= F.least("ka", "kb")).select("hub", "node")
+
+
+def _fits(x: str, y: str, least: int) -> Column:
+    return (least * F.col(x) <= 100 * F.col(y)) & (least * F.col(y) <= 100 * F.col(x))
+
+
 def links(columns: DataFrame, sets: DataFrame, least: int = 85, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the classes that have a link.
 
     ``columns`` has col, node and n; ``sets`` the node, n and grams of its
-    classes. Every round gives a column the hub that a hash of the round names
-    among its classes. The others outside the hub's component and within its
-    size bound meet it, then the hub is done with in this column. Columns of
-    one class or one component are done. What the rounds leave is compared in
-    full.
+    classes. Classes meet in pairs in columns of at most FEW of them. Others
+    have a hub, named by a hash of the round among the column's classes, which
+    the classes outside its component and within its size bound meet; then the
+    hub is done with in this column. Columns of one component are done. What
+    the rounds leave is compared in blocks.
     """
-    edges: list[DataFrame] = []
-    groups, before = None, None
-
-    def fits(x: str, y: str) -> Column:
-        return (least * F.col(x) <= 100 * F.col(y)) & (least * F.col(y) <= 100 * F.col(x))
-
-    columns = stage(columns.select("col", "node", "n", F.col("node").alias("root")), "open")
+    own = stage(columns.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("col").alias("cols")), "own")
+    sized = stage(columns.join(columns.groupBy("col").agg(F.count("*").alias("m")), "col"), "sized")
+    few = sized.filter(F.col("m") <= FEW).drop("m")
+    other = few.select("col", F.col("node").alias("hub"), F.col("n").alias("hn"))
+    met = few.join(other, "col").filter((F.col("hub") < F.col("node")) & _fits("n", "hn", least)).select("hub", "node").distinct()
+    edges = [stage(products(stage(plausible(met, own, least), "met"), sets, least), "linked")]
+    groups = stage(connected_groups(edges[0], "hub", "node"), "groups")
+    many = stage(sized.filter(F.col("m") > FEW).drop("m"), "many")
+    if many.isEmpty():
+        return groups
+    before = None
     for step in range(rounds):
-        hubs = columns.groupBy("col").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(step))).alias("h"))
-        faced = stage(columns.join(hubs, "col").filter("node <> h.node").select("col", "node", "n", "root", "h"), "faced")
-        met = stage(faced.filter((F.col("root") != F.col("h.root")) & fits("n", "h.n")).select(F.col("h.node").alias("hub"), "node").distinct(), "met")
-        columns = faced.select("col", "node", "n", "root")
-        if not met.isEmpty():
-            edges.append(stage(products(met, sets, least), "linked"))
-            groups = stage(connected_groups(_all(edges), "hub", "node"), "groups")
-            columns = columns.drop("root").join(groups, "node", "left").select("col", "node", "n", F.coalesce("root", "node").alias("root"))
-        columns = stage(columns, "rooted")
-        mixed = columns.groupBy("col", "root").agg(F.count("*").alias("k")).groupBy("col").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        rooted = stage(_rooted(many, groups), "rooted")
+        mixed = rooted.groupBy("col", "root").agg(F.count("*").alias("k")).groupBy("col").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"))
         mixed = stage(mixed.filter("m * m > same"), "mixed")
         # pairs of a column in different components that have not met
         still = mixed.agg(F.sum(F.expr("(m * m - same) div 2"))).first()[0]
         if not still:
-            return groups if groups is not None else sets.select("node", F.col("node").alias("root")).limit(0)
-        columns = stage(columns.join(mixed.select("col"), "col", "left_semi").select("col", "node", "n", "root"), "open")
-        # few enough to meet one by one, or no longer fewer by half
-        if still <= columns.count() or before is not None and still > 0.5 * before:
+            return groups
+        rooted = rooted.join(mixed.select("col"), "col", "left_semi")
+        if before is not None and still > 0.5 * before:
             break
         before = still
-    other = columns.select("col", F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("root").alias("hr"))
-    rest = columns.join(other, "col").filter((F.col("root") < F.col("hr")) & fits("n", "hn")).select("hub", "node").distinct()
-    edges.append(stage(products(stage(rest, "rest"), sets, least), "linked"))
+        hubs = rooted.groupBy("col").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(step))).alias("h"))
+        faced = stage(rooted.join(hubs, "col").filter("node <> h.node").select("col", "node", "n", "root", "h"), "faced")
+        met = faced.filter((F.col("root") != F.col("h.root")) & _fits("n", "h.n", least)).select(F.col("h.node").alias("hub"), "node").distinct()
+        edges.append(stage(products(stage(plausible(met, own, least), "met"), sets, least), "linked"))
+        groups = stage(connected_groups(_all(edges), "hub", "node"), "groups")
+        many = faced.select("col", "node", "n")
+    rooted = stage(_rooted(many, groups), "rooted")
+    edges.append(stage(block_products(rooted, sets, least), "linked"))
     return connected_groups(_all(edges), "hub", "node")
 
 
+def block_products(rooted: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """Links between classes of different components that share a column of (col, node, n, root).
+
+    Classes that hang together by columns form a cluster. Its classes are
+    sorted by component and cut into blocks of ROWS; two blocks meet unless
+    both lie in one component, so a component that holds most of a cluster
+    never meets itself. A pair of blocks is one product of their rows; of the
+    links of a row, one to each component of the other block is kept.
+    """
+    stars = rooted.join(rooted.groupBy("col").agg(F.min("node").alias("first")), "col").filter("node <> first").select("first", "node").distinct()
+    clusters = connected_groups(stars, "first", "node").withColumnRenamed("root", "cluster")
+    nodes = stage(rooted.select("node", "n", "root").distinct().join(clusters, "node"), "nodes")
+    placed = with_group_index(nodes, ["cluster"], ["root", "node"], "at").withColumn("block", F.expr(f"at div {ROWS}"))
+    placed = stage(placed.select("cluster", "block", "node", "n", "root"), "placed")
+    blocks = placed.groupBy("cluster", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("short"), F.max("n").alias("long"))
+    blocks = stage(blocks, "blocks")
+    a = blocks.select("cluster", *[F.col(c).alias(f"{c}1") for c in ("block", "low", "high", "short", "long")])
+    b = blocks.select("cluster", *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high", "short", "long")])
+    one = (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))
+    meets = a.join(b, "cluster").filter((F.col("block1") <= F.col("block2")) & ~one & (least * F.col("short1") <= 100 * F.col("long2")) & (least * F.col("short2") <= 100 * F.col("long1")))
+    meets = stage(meets.select("cluster", "block1", "block2"), "meets")
+    sides = meets.select("cluster", "block1", "block2", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("block1").alias("block")), F.struct(F.lit(1).alias("side"), F.col("block2").alias("block")))).alias("s"))
+    sides = sides.filter((F.col("s.side") == 0) | (F.col("block1") < F.col("block2"))).select("cluster", "block1", "block2", "s.side", "s.block")
+    rows = sides.join(placed, ["cluster", "block"]).select("cluster", "block1", "block2", "side", "node", "root")
+    full = rows.join(sets.select("node", "n", "grams"), "node")
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "node"], ignore_index=True)
+        node, root, n = [pdf[c].to_numpy(np.int64) for c in ("node", "root", "n")]
+        left = np.flatnonzero(pdf["side"].to_numpy() == 0)
+        right = np.flatnonzero(pdf["side"].to_numpy() == 1) if (pdf["side"] == 1).any() else left
+        # the left rows by column: a sparse matrix whose products with a row are sums over its columns
+        cols = np.concatenate([pdf["grams"].iloc[i] for i in left])
+        owner = np.repeat(np.arange(len(left)), n[left])
+        order = np.argsort(cols, kind="stable")
+        cols, owner = cols[order], owner[order]
+        out = []
+        for r in right.tolist():
+            row = np.sort(np.asarray(pdf["grams"].iloc[r], np.int64))
+            start, stop = np.searchsorted(cols, row, side="left"), np.searchsorted(cols, row, side="right")
+            sums = np.bincount(owner[ragged(start, stop - start)], minlength=len(left))
+            linked = np.flatnonzero((100 * sums >= least * (n[left] + n[r] - sums)) & (root[left] != root[r]))
+            _, first = np.unique(root[left][linked], return_index=True)
+            out += [(node[left[x]], node[r]) for x in linked[first].tolist()]
+        return pd.DataFrame(out, columns=["hub", "node"], dtype="int64")
+
+    return full.groupBy("cluster", "block1", "block2").applyInPandas(multiply, "hub bigint, node bigint")
+
+
 def _all(edges: list[DataFrame]) -> DataFrame:
     out = edges[0]
     for more in edges[1:]:
@@ -308,6 +375,11 @@ def _all(edges: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _rooted(columns: DataFrame, groups: DataFrame) -> DataFrame:
+    """(col, node, n) with the component of each class so far."""
+    return columns.join(groups, "node", "left").select("col", "node", "n", F.coalesce("root", "node").alias("root"))
+
+
 def components(df: DataFrame, words: int = 4, least: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
 
