@@ -21,9 +21,10 @@ import pyarrow.compute as pc
 from .common import ragged
 
 END = 0
-KEEP = 300_000  # words remembered by a worker between batches; a full memory starts afresh, results never depend on it
+KEEP = 200_000  # words of a generation of a worker's memory, which has two; results never depend on it
 
 _SPACE = "\\t-\\r "
+_SIGNS = frozenset(",.;:!?")
 _PIECES = re.compile(rf" ?[^\W\d_]+(?=[!-&(-/:-@\[-`{{-~']|$)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
 # white space and blanks beyond the plain ones, on which Python and the tokenizer may differ
 _ODD_SIGNS = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
@@ -54,25 +55,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.words = self.tokenizer.model, _byte_letters(), {}
+        self.letters, self.words, self.old = _byte_letters(), {}, {}
+        self.tokenize, self.space = self.tokenizer.model.tokenize, self.letters[32]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(self.words) >= KEEP:
+            # the older half goes; words that are met again move to the younger one
+            self.old, self.words = self.words, {}
+        self.words[word] = ids
+        return ids
+
+    def _known(self, word: str) -> bytes | None:
+        ids = self.words.get(word)
+        if ids is None and (ids := self.old.get(word)) is not None:
+            self._keep(word, ids)
+        return ids
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a run of letters behind at most one space, which is exactly one pre-token."""
+        if word.isascii():
+            spelled = self.space + word[1:] if word[0] == " " else word
+        else:
+            spelled = word.encode().decode("latin-1").translate(self.letters)
+        return self._keep(word, array("I", [t.id for t in self.tokenize(spelled)]).tobytes())
+
     def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
+        known = self._known(word)
         if known is None:
-            # one run of letters behind at most one space is exactly one pre-token
             if word.lstrip(" ").isalpha() and len(word) < 64:
-                spelled = word.encode().decode("latin-1").translate(self.letters)
-                known = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            else:
-                known = self.whole(word)
-            if len(self.words) >= KEEP:
-                self.words.clear()
-            self.words[word] = known
+                return self._letters(word)
+            known = self._keep(word, self.whole(word))
         return known
 
+    def _part(self, word: str, led: str) -> bytes:
+        """Ids of ``led`` (a space or nothing) and a part that holds no odd sign, met for the first time."""
+        if (known := self._known(led + word)) is not None:
+            return known
+        if len(word) < 63:
+            if word.isalpha():
+                return self._letters(led + word)
+            # letters and one sign behind them are two pre-tokens
+            if word[-1:] in _SIGNS and word[:-1].isalpha():
+                letters = led + word[:-1]
+                return (self._known(letters) or self._letters(letters)) + self._word(word[-1])
+        return self.part(led + word)
+
     def part(self, part: str) -> bytes:
         """Ids of a part that holds no odd sign."""
         return b"".join([self._word(w) for w in _PIECES(part)])
@@ -99,11 +129,10 @@ class Encoder:
         used = np.flatnonzero(asked)
         asked[used] = np.arange(len(used))
         place = asked[key]
-        made, known = [], self.words.get
+        made = []
         for k in used.tolist():
-            word = words[k >> 1] if k & 1 else " " + words[k >> 1]
-            ids = known(word)
-            made.append(self.part(word) if ids is None else ids)
+            word, led = words[k >> 1], "" if k & 1 else " "
+            made.append(self.words.get(led + word) or self._part(word, led))
         made.append(array("I", [END]).tobytes())
         for i in np.flatnonzero(odd).tolist():
             made.append(self.whole(texts[i].as_py()))
