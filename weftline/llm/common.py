@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,26 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Name what a worker remembers between tasks of ``owner``; a task of another owner drops it by ``clear``."""
+    _HELD[owner] = clear
+
+
+def drop_others(owner: str) -> None:
+    """Workers outlive their tasks, and one stage's vocabulary or model is of no use to the next one's."""
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if others:
+        release()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 6 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about ``limit`` bytes of ``column``; a longer row comes alone, whole."""
+    drop_others(owner)
     for batch in batches:
         if not batch.num_rows:
             continue

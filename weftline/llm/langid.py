@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, documents, mix, slices
+from .common import U64, documents, hold, mix, slices
 from .words import Words
 
 MARK = "▁"
@@ -57,6 +57,7 @@ class Pieces:
     def of(cls, path: str) -> "Pieces":
         if path not in cls._known:
             cls._known[path] = cls(path)
+            hold("langid", cls._known.clear)
         return cls._known[path]
 
     def _hash(self, piece: str) -> np.ndarray:
@@ -173,7 +174,7 @@ def train(df: DataFrame, vocabulary: str, rounds: int = 1) -> tuple[list[str], n
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces, sums = Pieces.of(vocabulary), {}
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", owner="langid"):
                 coded = batch.column(1).dictionary_encode()
                 which = coded.indices.to_numpy(zero_copy_only=False)
                 words = Words(pc.utf8_lower(batch.column(0)))
@@ -209,7 +210,7 @@ def predict(df: DataFrame, langs: list[str], table: np.ndarray, vocabulary: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(vocabulary)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="langid"):
             texts = batch.column(1).fill_null("")
             letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
             best, share = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))

@@ -206,7 +206,7 @@ def cut_pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None =
     vocabulary = vocabulary or vocabulary_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="tokens"):
             ids, bounds = encoder(vocabulary).encode(batch.column(1))
             size = np.diff(bounds)
             many = -(-size // capacity)

@@ -108,7 +108,7 @@ def _writer(folder: str, vocabulary: str, width: int):
         where, root = _files(folder)
         own = f"{root}/.{shard:05d}.{uuid.uuid4().hex}"
         out = None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="tokens"):
             if out is None:
                 where.create_dir(root, recursive=True)
                 out = where.open_output_stream(own)

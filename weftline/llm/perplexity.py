@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import fresh_path, stage
-from .common import U64, mix, slices
+from .common import U64, hold, mix, slices
 from .words import Words
 
 ORDER = 4
+HELD_GRAMS = 500_000  # distinct grams a task sums up before it hands them on
 START, STOP = "\x02", "\x03"
 _FACTORS = mix(np.arange(1, ORDER + 1), 5) | U64(1)
 HELD = 256 << 20  # bytes of model that a worker keeps in memory; a larger model is searched file by file
@@ -74,7 +75,13 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             windows = np.concatenate([grams, np.stack([points[ends - b] for b in range(ORDER - 1, -1, -1)], axis=1)])
             keys, first, at = np.unique(key, return_index=True, return_inverse=True)
             grams, sums = windows[first], np.bincount(at, weights=weight)
-        for low in range(0, len(keys), 100_000):
+            if len(keys) > HELD_GRAMS:
+                yield from told(grams, sums)
+                keys, grams, sums = keys[:0], grams[:0], sums[:0]
+        yield from told(grams, sums)
+
+    def told(grams: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(grams), 100_000):
             part = grams[low:low + 100_000].astype("<u4").tobytes().decode("utf-32-le")
             yield pa.RecordBatch.from_arrays([pa.array([part[i:i + ORDER] for i in range(0, len(part), ORDER)]), pa.array(sums[low:low + 100_000].astype(np.int64))], ["g", "c"])
 
@@ -155,6 +162,7 @@ class Model:
         if folder not in cls._known:
             cls._known.clear()
             cls._known[folder] = cls(folder)
+            hold("perplexity", cls._known.clear)
         return cls._known[folder]
 
     def _tables(self, files: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged
+from .common import hold, ragged
 
 END = 0
 KEEP = 200_000  # words of a generation of a worker's memory, which has two; results never depend on it
@@ -163,6 +163,7 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder of a file; its word memory lives on between batches and tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        hold("tokens", _ENCODERS.clear)
     return _ENCODERS[path]
 
 
