@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import minhash
-from weftline.operators import decontaminate as dc, dedup, rolling
+from weftline.functions import text as tx
+from weftline.operators import decontaminate as dc, dedup, rolling, setjoin
 
 
 def shingles(t):
@@ -277,3 +278,43 @@ def test_scans_that_go_on_inside_words():
             want.append(hit[1])
             t = t[hit[0] + len(hit[1]) + 1:]
         assert [g for _, _, g in rolling.matches(text, grams, lengths, 3, lambda b, s, q: s + len(q) + 1)] == want
+
+
+@pytest.mark.parametrize("threshold,block", [(0.3, 2), (0.5, 1024), (0.8, 3), (1.0, 1024)])
+def test_similarity_join_against_all_pairs(spark, monkeypatch, threshold, block):
+    """Random sets with common and rare elements, copies, empty and null ones; small blocks cut the common elements."""
+    monkeypatch.setattr(setjoin, "BLOCK", block)
+    rnd = random.Random(6)
+    sets = []
+    for i in range(120):
+        if i and rnd.random() < 0.6:
+            made = set(rnd.choice(sets)) ^ {f"e{rnd.randrange(200)}" for _ in range(rnd.randrange(0, 4))}
+        else:
+            made = {f"e{rnd.randrange(200)}" for _ in range(rnd.randrange(0, 14))}
+        sets.append(sorted(made | ({"the"} if rnd.random() < 0.9 else set())))
+    rows = [*enumerate(sets), (500, None), (501, [])]
+    pairs, members = setjoin.similarity_join(spark.createDataFrame(rows, "k long, e array<string>"), "k", F.col("e"), threshold)
+    first, want = {}, {}
+    for k, e in rows:
+        if e:
+            first.setdefault(frozenset(e), k)
+    for a, i in first.items():
+        for b, j in first.items():
+            if i < j and len(a & b) / len(a | b) >= threshold - 1e-12:
+                want[i, j] = round(len(a & b) / len(a | b), 9)
+    assert {(r.left, r.right): round(r.sim, 9) for r in pairs.collect()} == want
+    assert {r.key: r.node for r in members.collect()} == {k: first[frozenset(e)] for k, e in rows if e}
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_recall_of_bucket_pairs_against_the_exact_join(spark, folder):
+    """Pairs of distinct texts over 0.5 that the buckets list, and those that end in one group, against all there are."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").dropDuplicates(["text"])
+    exact, members = setjoin.similarity_join(docs, "doc_id", tx.shingles(F.col("text"), 5), 0.5)
+    true = {(r.left, r.right) for r in exact.filter("sim > 0.5").collect()}
+    pairs = dedup.near_duplicate_pairs(docs, "doc_id", "text").persist()
+    listed = {(r.main, r.other) for r in pairs.collect()}
+    roots = {r.node: r.root for r in dedup.connected_groups(pairs, "main", "other").collect()}
+    grouped = sum(a in roots and roots[a] == roots.get(b) for a, b in true)
+    print(folder, len(true), len(true & listed), grouped)
+    assert len(true) >= 20 and grouped / len(true) >= 0.9

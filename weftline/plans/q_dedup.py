@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import minhash, text as tx
-from ..operators import decontaminate as dc, dedup
+from ..operators import decontaminate as dc, dedup, setjoin
 from ..operators.index import with_row_index
 from ..session import stage
 from . import views
@@ -46,18 +46,36 @@ def _(t):
     return views.documents(t).select("doc_id", F.size(tx.shingles(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("set_overlap", """
-WITH i AS (SELECT text AS item, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n FROM benchmark),
-w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower(item), '[\\p{L}\\p{N}_]+')) AS b FROM documents JOIN i ON doc_id % n = i)
-SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 6) AS by_union,
- round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE END, 6) AS by_min,
- round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / greatest(len(a), len(b))::DOUBLE END, 6) AS by_max FROM w""")
+OVERLAP = """WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS a FROM documents),
+i AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS b FROM benchmark),
+x AS (SELECT doc_id, item_id, count(*) AS x FROM (SELECT doc_id, unnest(a) AS w FROM d) JOIN (SELECT item_id, unnest(b) AS w FROM i) USING (w) GROUP BY ALL)
+SELECT doc_id, item_id, round(x / (len(a) + len(b) - x)::DOUBLE, 6) AS by_union, round(x / least(len(a), len(b))::DOUBLE, 6) AS by_min, round(x / greatest(len(a), len(b))::DOUBLE, 6) AS by_max
+FROM x JOIN d USING (doc_id) JOIN i USING (item_id)"""
+
+
+@query("set_overlap", OVERLAP)
+def _(t):
+    # every document with every item that shares a word, by an inverted index of the items
+    def listed(df, key, size):
+        return df.select(key, F.array_distinct(tx.words(F.col("text"))).alias("w")).select(key, F.size("w").alias(size), F.explode("w").alias("w"))
+    items = listed(t.benchmark, "item_id", "nb")
+    met = listed(views.documents(t), "doc_id", "na").join(items, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("x"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    base = {"union": F.col("na") + F.col("nb") - F.col("x"), "min": F.least("na", "nb"), "max": F.greatest("na", "nb")}
+    return met.select("doc_id", "item_id", *[r6(F.col("x") / b).alias(f"by_{m}") for m, b in base.items()])
+
+
+@query("set_similarity_join", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS node, s FROM s WHERE len(s) > 0),
+c AS (SELECT node, s, len(s) AS n FROM m WHERE doc_id = node),
+e AS (SELECT node, n, unnest(s) AS g FROM c),
+x AS (SELECT a.node AS l, b.node AS r, a.n AS na, b.n AS nb, count(*) AS x FROM e a JOIN e b ON a.g = b.g AND a.node < b.node AND 2 * a.n >= b.n AND 2 * b.n >= a.n GROUP BY ALL)
+SELECT 'link' AS kind, l AS node, r AS other, round(x / (na + nb - x)::DOUBLE, 6) AS sim FROM x WHERE x / (na + nb - x)::DOUBLE >= 0.5
+UNION ALL SELECT 'member', node, doc_id, 1.0 FROM m""")
 def _(t):
-    # every document against one item, every item in turn
-    a, n = F.array_distinct(tx.words(F.col("text"))), t.benchmark.count()
-    items = with_row_index(t.benchmark.select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("b")), ["item_id"], "i").select("i", "b")
-    d = views.documents(t).select("doc_id", a.alias("a"), (F.col("doc_id") % n).alias("i")).join(items, "i")
-    return d.select("doc_id", *[r6(tx.jaccard(F.col("a"), F.col("b"), m)).alias(f"by_{m}") for m in ("union", "min", "max")])
+    pairs, members = setjoin.similarity_join(views.documents(t), "doc_id", setjoin.word_shingles(tx.words(F.col("text")), 3), 0.5)
+    links = pairs.select(F.lit("link").alias("kind"), F.col("left").alias("node"), F.col("right").alias("other"), r6(F.col("sim")).alias("sim"))
+    return links.unionByName(members.select(F.lit("member").alias("kind"), "node", F.col("key").alias("other"), F.lit(1.0).alias("sim")))
 
 
 @query("minhash_signatures", f"WITH single AS (SELECT * FROM documents), {SIGS} SELECT doc_id, string_agg(m::VARCHAR, ',' ORDER BY k) AS sig FROM sig GROUP BY 1")
