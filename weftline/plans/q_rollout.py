@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rollout as ro, tokens as tk
+from ..operators import affine, rollout as ro, tokens as tk
 from ..operators.index import with_row_index
 from . import views
 from .registry import joined, query, r6
@@ -184,21 +184,43 @@ def _back(x, factor):
   UNION ALL SELECT b.id, b.t, b.{x} + {factor} * back.y FROM back JOIN base b ON b.id = back.id AND b.t = back.t - 1)"""
 
 
-@query("gae", f"""WITH RECURSIVE {LT}, base AS (SELECT *, r + 0.99 * coalesce(lead(v) OVER (PARTITION BY id ORDER BY t), 0) - v AS d FROM long_tokens),
+GAE = f"""WITH RECURSIVE {LT}, base AS (SELECT *, r + 0.99 * coalesce(lead(v) OVER (PARTITION BY id ORDER BY t), 0) - v AS d FROM long_tokens),
 {_back('d', '0.99 * 0.95')}, j AS (SELECT id, t, m, y, y + v AS ret FROM back JOIN long_tokens USING (id, t)), {STATS.format(x='y', src='j')}
-SELECT id, t, round({WHITE.format(x='y')}, 6) + 0.0 AS advantages, round(ret, 6) + 0.0 AS returns FROM j, w""")
+SELECT id, t, round({WHITE.format(x='y')}, 6) + 0.0 AS advantages, round(ret, 6) + 0.0 AS returns FROM j, w"""
+
+
+@query("gae", GAE)
 def _(t):
     return _tokens(tk.gae(views.token_view(t), "rewards", "vals", "mask", 0.99, 0.95), "advantages", "returns")
 
 
-@query("reinforce_pp", f"""WITH RECURSIVE {LT}, base AS (SELECT * FROM long_tokens),
+REINFORCE = f"""WITH RECURSIVE {LT}, base AS (SELECT * FROM long_tokens),
 back AS (SELECT id, t, r AS y, m FROM base b WHERE t = (SELECT max(t) FROM base c WHERE c.id = b.id)
   UNION ALL SELECT b.id, b.t, b.r + 0.9 * back.y * back.m, b.m FROM back JOIN base b ON b.id = back.id AND b.t = back.t - 1),
-{STATS.format(x='y', src='back')} SELECT id, t, round({WHITE.format(x='y')} * m, 6) + 0.0 AS advantages, round(y, 6) + 0.0 AS returns FROM back, w""")
+{STATS.format(x='y', src='back')} SELECT id, t, round({WHITE.format(x='y')} * m, 6) + 0.0 AS advantages, round(y, 6) + 0.0 AS returns FROM back, w"""
+
+
+@query("reinforce_pp", REINFORCE)
 def _(t):
     return _tokens(tk.reinforce_pp(views.token_view(t), "rewards", "mask", 0.9), "advantages", "returns")
 
 
+def _token_rows(t):
+    return tk.explode_tokens(views.token_view(t), ["id"], r="rewards", v="vals", m="mask").withColumn("t", F.col("t").cast("bigint"))
+
+
+@query("gae_token_rows", GAE)
+def _(t):
+    out = affine.gae_rows(_token_rows(t), ["id"], "t", "r", "v", "m", 0.99, 0.95)
+    return out.select("id", "t", r6(F.col("advantages")).alias("advantages"), r6(F.col("returns")).alias("returns"))
+
+
+@query("reinforce_pp_token_rows", REINFORCE)
+def _(t):
+    out = affine.reinforce_pp_rows(_token_rows(t), ["id"], "t", "r", "m", 0.9)
+    return out.select("id", "t", r6(F.col("advantages")).alias("advantages"), r6(F.col("returns")).alias("returns"))
+
+
 @query("remax", f"""WITH {LT}, s AS (SELECT id, t, m, sum(r * m) OVER (PARTITION BY id ORDER BY t DESC) AS ret, first(v) OVER (PARTITION BY id ORDER BY t) AS b FROM long_tokens)
 SELECT id, t, round(ret - b * m, 6) + 0.0 AS advantages, round(ret, 6) + 0.0 AS returns FROM s""")
 def _(t):
