@@ -105,3 +105,28 @@ def test_approximate_search_finds_nine_tenths(spark):
     from weftline import plans
     got, want = ({(r.qid, r.id) for r in plans.QUERIES[name](spark, "/root/testdata/sf0.1").select("qid", "id").collect()} for name in ("topk_approx", "topk_inner_product"))
     assert len(got & want) >= 0.9 * len(want)
+
+
+def _clustered(spark, n, seed=3):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(40, 16))
+    x = middles[rng.integers(0, 40, n)] + 0.12 * rng.normal(size=(n, 16))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>"), x
+
+
+def test_lists_are_exact_and_scan_a_falling_share(spark):
+    """The same rows as the whole scan, ties and short tables included; the share of rows scanned falls with the size."""
+    shares = []
+    for n in (300, 3000):
+        corpus, x = _clustered(spark, n)
+        qs = spark.createDataFrame([(i, (x[i * 7] * (1 if i % 2 else 0.5)).tolist()) for i in range(30)] + [(99, [0.0] * 16)], "qid long, qvec array<double>")
+        got, scanned = rt.Lists(corpus).search(qs, 5)
+        want = {(r.qid, r["rank"]): (r.id, round(r.score, 9)) for r in rt.topk_inner_product(qs, corpus, 5).collect()}
+        assert {(r.qid, r["rank"]): (r.id, round(r.score, 9)) for r in got.collect()} == want
+        # the zero vector ties with everything and has to see every list
+        assert scanned.filter("qid = 99").agg(F.sum("n")).first()[0] == n
+        shares.append(scanned.filter("qid <> 99").agg(F.sum("n")).first()[0] / (30 * n))
+    assert shares[1] < shares[0] < 1 and shares[1] < 0.4
+    few = corpus.limit(3)
+    assert rt.Lists(few, 2).search(qs, 5)[0].count() == 3 * 31
+    assert rt.Lists(corpus.limit(0)).search(qs, 5)[0].count() == 0

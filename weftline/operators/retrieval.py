@@ -7,6 +7,7 @@ of a list, topic or table, and only the wanted rows of a block are emitted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -141,6 +142,78 @@ def topk_approx(queries: DataFrame, corpus: DataFrame, k: int, nlist: int, nprob
     return _ranked(_blocked(q, c, lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double"), k)
 
 
+class Lists:
+    """Inverted lists of a corpus (id, vec) whose searches are exact.
+
+    Their number follows the root of the table. A list keeps its centroid, the
+    largest distance r of a member from it, and its rows; no inner product of a
+    query q with a member exceeds q . centroid + |q| * r. A query first
+    scans the lists of the highest bounds that hold k rows between them; the
+    k-th score found there rules out every list whose bound is below it, and
+    only the others are scanned. Centroids and list sizes are one row per list.
+    """
+
+    def __init__(self, corpus: DataFrame, nlist: int | None = None, seed: int = 1):
+        rows = corpus.count()
+        self.rows = rows
+        if not rows:
+            self.placed = corpus.select("id", "vec", F.lit(0).alias("list"), F.lit(0.0).alias("far"))
+            return
+        wanted = nlist or max(1, math.isqrt(rows))
+        # 64 rows a list train the centroids
+        centers = train_centroids(corpus, wanted, min(1.0, 64 * wanted / rows), seed)
+
+        @F.pandas_udf("list int, far double")
+        def assign(vec: pd.Series) -> pd.DataFrame:
+            x = np.stack(vec.to_numpy()).astype(np.float64)
+            d = (centers ** 2).sum(axis=1)[None, :] - 2 * x @ centers.T
+            near = np.argmin(d, axis=1)
+            return pd.DataFrame({"list": near.astype(np.int32), "far": np.sqrt(((x - centers[near]) ** 2).sum(axis=1))})
+
+        placed = corpus.select("id", "vec", assign("vec").alias("_a")).select("id", "vec", "_a.list", "_a.far")
+        self.placed = stage(placed, "lists")
+        told = self.placed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("r")).toPandas().sort_values("list")
+        self.names, self.sizes, self.radius = told["list"].to_numpy(np.int32), told["n"].to_numpy(np.int64), told["r"].to_numpy(np.float64)
+        self.centers = centers[self.names]
+
+    def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """(qid, rank, id, score) as :func:`topk_inner_product` gives them, and (qid, list, n) of the lists scanned, n their rows."""
+        if not self.rows:
+            none = queries.select("qid", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("score")).limit(0)
+            return none, none.select("qid", F.lit(0).alias("list"), F.lit(0).cast("bigint").alias("n"))
+        names, sizes, radius, centers = self.names, self.sizes, self.radius, self.centers
+
+        def ordered(vec: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Bounds, lists from the highest on, and how many of them the first scan takes."""
+            q = np.stack(vec.to_numpy()).astype(np.float64)
+            bound = q @ centers.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :]
+            order = np.argsort(-bound, axis=1, kind="stable")
+            return bound, order, 1 + np.minimum((np.cumsum(sizes[order], axis=1) < k).sum(axis=1), len(names) - 1)
+
+        @F.pandas_udf("array<int>")
+        def first(vec: pd.Series) -> pd.Series:
+            _, order, many = ordered(vec)
+            return pd.Series([names[o[:m]] for o, m in zip(order, many)])
+
+        @F.pandas_udf("array<int>")
+        def others(vec: pd.Series, least: pd.Series) -> pd.Series:
+            bound, order, many = ordered(vec)
+            # rounding must not rule out a list that ties
+            floor = least.fillna(-np.inf).to_numpy(np.float64) - 1e-9 * (1 + np.abs(least.fillna(0).to_numpy(np.float64)))
+            return pd.Series([names[[i for i in o[m:] if b[i] >= f]] for b, o, m, f in zip(bound, order, many, floor)])
+
+        def scan(asked: DataFrame) -> DataFrame:
+            return _blocked(asked, self.placed.select("id", "vec", "list"), lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double")
+
+        asked = queries.select("qid", "qvec", F.explode(first("qvec")).alias("list"))
+        found = stage(_ranked(scan(asked), k), "first")
+        least = found.filter(F.col("rank") == k).select("qid", F.col("score").alias("_least"))
+        more = stage(queries.join(least, "qid", "left").select("qid", "qvec", F.explode(others("qvec", "_least")).alias("list")), "others")
+        held = queries.sparkSession.createDataFrame(pd.DataFrame({"list": names, "n": sizes}))
+        scanned = asked.unionByName(more).select("qid", "list").join(F.broadcast(held), "list").select("qid", "list", "n")
+        return _ranked(found.select("qid", "id", "score").unionByName(scan(more)), k), scanned
+
+
 def unit(vec: Column) -> Column:
     """Vector over its length."""
     from ..functions.arrays import let

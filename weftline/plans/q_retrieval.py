@@ -44,6 +44,13 @@ def _(t):
     return rt.topk_approx(q, c, 10, nlist=8, nprobe=8).select("qid", F.col("rank").cast("bigint").alias("rank"), "id", r6(F.col("score")).alias("score"))
 
 
+@query("topk_lists", f"WITH {NEAR} SELECT qid, rank, id, round(score, 6) + 0.0 AS score FROM near WHERE rank <= 10")
+def _(t):
+    # as many lists as the root of the table; bounds rule out those that hold nothing better
+    q, c = _sides(t)
+    return rt.Lists(c).search(q, 10)[0].select("qid", F.col("rank").cast("bigint").alias("rank"), "id", r6(F.col("score")).alias("score"))
+
+
 CAUSAL = NEAR + """, sd AS (SELECT DISTINCT chunk_id // 4 AS sample_id, dataset_idx, doc_id FROM chunks),
 ok AS (SELECT qid AS chunk_id, id, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM near JOIN chunks c ON c.chunk_id = near.id
   WHERE rank <= 40 AND NOT EXISTS (SELECT 1 FROM sd WHERE sd.sample_id = near.qid // 4 AND sd.dataset_idx = c.dataset_idx AND sd.doc_id = c.doc_id)),
