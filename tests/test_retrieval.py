@@ -130,3 +130,34 @@ def test_lists_are_exact_and_scan_a_falling_share(spark):
     few = corpus.limit(3)
     assert rt.Lists(few, 2).search(qs, 5)[0].count() == 3 * 31
     assert rt.Lists(corpus.limit(0)).search(qs, 5)[0].count() == 0
+
+
+def test_a_batch_that_runs_again_gives_the_same_rows(spark, tmp_path):
+    """Several runs, one with most rows; the last batch loses its commit and is run a second time from the same state."""
+    schema = "run long, o long, k long, kl double"
+    rows = [(0 if i % 5 else i % 3, i, i, (i % 7) / 20) for i in range(90)]
+    df = spark.createDataFrame(rows, schema)
+    outs, marks = ([str(tmp_path / f"{n}{i}") for i in range(2)] for n in ("out", "mark"))
+
+    def start():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
+        jobs.stream_accept_buffer(stream, "run", "o", "k", 8, outs[0], marks[0])
+        jobs.stream_adaptive_kl(stream, "run", "o", "kl", "k", outs[1], marks[1], 0.2, 0.1, 100.0)
+
+    def results():
+        return [sorted(tuple(r) for r in spark.read.parquet(o).collect()) for o in outs]
+
+    for part in (range(0, 31), range(31, 40), range(40, 90)):
+        spark.createDataFrame([rows[i] for i in part], schema).write.mode("append").parquet(str(tmp_path / "feed"))
+        start()
+    before = results()
+    for mark in marks:
+        for name in ("2", ".2.crc"):
+            (tmp_path / mark / "commits" / name).unlink()
+    start()
+    assert results() == before
+    kept = {(r.run, r.step, r.key) for r in spark.read.parquet(outs[0]).collect()}
+    assert kept == {(r.run, r.step, r.k) for r in jobs.accept_buffer(df, "run", "o", "k", 8).collect()}
+    betas = {(r.run, r.step): r.beta for r in spark.read.parquet(outs[1]).collect()}
+    for r in jobs.adaptive_kl(df, "run", "o", "kl", "k", 0.2, 0.1, 100.0).collect():
+        assert betas[r.run, r.o] == pytest.approx(r.beta)

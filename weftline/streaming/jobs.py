@@ -6,14 +6,11 @@ available and can be started again on the same folder, where it goes on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.index import same_keys, with_group_index, with_group_totals
 from ..operators.rollout import group_responses
+from ..session import stage
 
 
 def _run(writer, checkpoint: str) -> None:
@@ -45,31 +42,49 @@ def kl_factor(kl: Column, target: float, horizon: float, n: Column) -> Column:
     return 1 + F.least(F.greatest(kl / target - 1, F.lit(-0.2)), F.lit(0.2)) * n / horizon
 
 
+def _slot(path: str, batch: int) -> str:
+    return f"{path}/slot={batch % 2}"
+
+
+def _held(df: DataFrame, path: str, batch: int, schema: str) -> DataFrame:
+    """The state that the batch before left; none for the first one.
+
+    State is a table in two slots that take turns: a batch reads the slot of
+    the one before it and writes the other, so a batch that is run again finds
+    what it found the first time.
+    """
+    spark = df.sparkSession
+    return spark.read.schema(schema).parquet(_slot(path, batch - 1)) if batch else spark.createDataFrame([], schema)
+
+
 def stream_adaptive_kl(steps: DataFrame, run: str, step: str, kl: str, n: str, out: str, checkpoint: str,
                        init: float, target: float | None, horizon: float = 10000.0) -> None:
     """(run, step, beta): the coefficient after every step, sequential per run; fixed without a target.
 
     Only one number per run is kept. Steps of a run must not arrive later than
-    their successors; inside a batch they are sorted.
+    their successors; inside a batch they are sorted. A batch is worked on by
+    :func:`adaptive_kl`, so the steps of one run spread over tasks.
     """
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        beta = state.get[0] if state.exists else init
-        rows = pd.concat(list(batches)).sort_values("step")
-        betas = []
-        for value, count in zip(rows["kl"], rows["n"]):
-            if target is not None:
-                beta *= 1 + min(max(value / target - 1, -0.2), 0.2) * count / horizon
-            betas.append(beta)
-        state.update((beta,))
-        yield pd.DataFrame({"run": key[0], "step": rows["step"].to_numpy(), "beta": betas})
-
     typed = steps.select(F.col(run).cast("bigint").alias("run"), F.col(step).cast("bigint").alias("step"), F.col(kl).cast("double").alias("kl"), F.col(n).cast("bigint").alias("n"))
-    betas = typed.groupBy("run").applyInPandasWithState(update, "run long, step long, beta double", "beta double", "append", GroupStateTimeout.NoTimeout)
-    _run(betas.writeStream.outputMode("append").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")), checkpoint)
+    kept = f"{checkpoint}/held"
+
+    def update(df: DataFrame, batch: int) -> None:
+        held = _held(df, kept, batch, "run bigint, held double")
+        known = same_keys(df, held, ["run"], "left").withColumn("held", F.coalesce("held", F.lit(init)))
+        if target is None:
+            betas = known.select("run", "step", F.col("held").alias("beta"))
+        else:
+            betas = adaptive_kl(known, "run", "step", "kl", "n", F.col("held"), target, horizon).select("run", "step", "beta")
+        betas.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        done = df.sparkSession.read.schema("run bigint, step bigint, beta double").parquet(f"{out}/batch={batch}")
+        last = done.groupBy("run").agg(F.max_by("beta", "step").alias("held"))
+        same_keys(held, last.select("run"), ["run"], "left_anti").unionByName(last).write.mode("overwrite").parquet(_slot(kept, batch))
 
+    _run(typed.writeStream.outputMode("append").foreachBatch(update), checkpoint)
 
-def adaptive_kl(steps: DataFrame, run: str, step: str, kl: str, n: str, init: float, target: float, horizon: float = 10000.0) -> DataFrame:
-    """Batch form of :func:`stream_adaptive_kl`.
+
+def adaptive_kl(steps: DataFrame, run: str, step: str, kl: str, n: str, init: float | Column, target: float, horizon: float = 10000.0) -> DataFrame:
+    """Batch form of :func:`stream_adaptive_kl`; ``init`` may be a column that is the same for all steps of a run.
 
     The update only multiplies, so the coefficient is the start times a running
     product inside the run. A step with a low KL and n beyond 5 x horizon turns
@@ -80,28 +95,36 @@ def adaptive_kl(steps: DataFrame, run: str, step: str, kl: str, n: str, init: fl
     minus, none = (F.col("_f") < 0).cast("double"), (F.col("_f") == 0).cast("double")
     run_sum = with_group_totals(factor, [run], [F.col(step)], {"_size": size, "_minus": minus, "_none": none}, kind="double")
     sign = F.when((F.col("_minus") + minus) % 2 == 1, -1.0).otherwise(1.0)
-    beta = F.when(F.col("_none") + none > 0, 0.0).otherwise(sign * init * F.exp(F.col("_size") + size))
+    start = init if isinstance(init, Column) else F.lit(init)
+    beta = F.when(F.col("_none") + none > 0, 0.0).otherwise(sign * start * F.exp(F.col("_size") + size))
     return run_sum.withColumn("beta", beta).drop("_f", "_size", "_minus", "_none")
 
 
 def stream_accept_buffer(groups: DataFrame, run: str, order: str, key: str, target: int, out: str, checkpoint: str) -> None:
     """(run, step, key): accepted rows in arrival order, exactly ``target`` per step, the rest carried over.
 
-    The state of a run is its step number and fewer than ``target`` carried keys.
+    The state of a run is its step number and fewer than ``target`` carried
+    rows. Places inside a run come from group positions, so the rows of one
+    run spread over tasks.
     """
-    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values(["order", "key"])
-        held += [int(k) for k in rows["key"]]
-        full = len(held) // target
-        used = held[:full * target]
-        state.update((step + full, held[full * target:]))
-        if used:
-            yield pd.DataFrame({"run": group[0], "step": [step + i // target for i in range(len(used))], "key": used})
-
     typed = groups.select(F.col(run).cast("bigint").alias("run"), F.col(order).cast("bigint").alias("order"), F.col(key).cast("bigint").alias("key"))
-    steps = typed.groupBy("run").applyInPandasWithState(update, "run long, step long, key long", "step long, held array<long>", "append", GroupStateTimeout.NoTimeout)
-    _run(steps.writeStream.outputMode("append").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")), checkpoint)
+    kept, schema = f"{checkpoint}/held", "run bigint, step bigint, order bigint, key bigint, carried boolean"
+
+    def update(df: DataFrame, batch: int) -> None:
+        held = _held(df, kept, batch, schema)
+        rows = df.select("run", "order", "key", F.lit(1).alias("new")).unionByName(held.filter("carried").select("run", "order", "key", F.lit(0).alias("new")))
+        placed = stage(with_group_index(rows, ["run"], [F.col("new"), F.col("order"), F.col("key")], "_i"), "buffer")
+        counts = placed.groupBy("run").agg(F.count("*").alias("_n"))
+        steps = held.filter("not carried").select("run", "step")
+        known = same_keys(counts, steps, ["run"], "left").select("run", F.coalesce("step", F.lit(0)).alias("_step"), F.floor(F.col("_n") / target).alias("_full"))
+        numbered = stage(same_keys(placed, known, ["run"]).withColumn("_rest", F.col("_i") - F.col("_full") * target), "numbered")
+        numbered.filter("_rest < 0").select("run", (F.col("_step") + F.floor(F.col("_i") / target)).alias("step"), "key").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        left = numbered.filter("_rest >= 0").select("run", F.lit(None).cast("bigint").alias("step"), F.col("_rest").alias("order"), "key", F.lit(True).alias("carried"))
+        after = known.select("run", (F.col("_step") + F.col("_full")).alias("step")).unionByName(same_keys(steps, known.select("run"), ["run"], "left_anti"))
+        numbers = after.select("run", "step", F.lit(None).cast("bigint").alias("order"), F.lit(None).cast("bigint").alias("key"), F.lit(False).alias("carried"))
+        left.unionByName(numbers).write.mode("overwrite").parquet(_slot(kept, batch))
+
+    _run(typed.writeStream.outputMode("append").foreachBatch(update), checkpoint)
 
 
 def accept_buffer(groups: DataFrame, run: str, order: str, key: str, target: int, k: int | None = None) -> DataFrame:
