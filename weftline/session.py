@@ -14,10 +14,10 @@ _LOCAL_ROOT: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
-def local_session(cores: int = 8, name: str = "weftline") -> SparkSession:
+def local_session(cores: int = 8, name: str = "weftline", more: dict[str, str] | None = None) -> SparkSession:
     """Session for tests and the bench; clusters bring their own."""
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=more or {}).master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
