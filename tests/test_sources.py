@@ -1,9 +1,11 @@
 """Readers and writers: bad input, duplicate keys, shifted ids, resumable blocks."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from weftline.sources import files
+from weftline.sources import files, keyed_json
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
 
@@ -59,3 +61,32 @@ def test_wide_prompts_split_into_blocks(spark):
 def test_blocks_written_short_are_missing(spark):
     done = spark.createDataFrame([(0, 4), (4, 3)], "block_start long, n_rows long")
     assert [(r.block_start, r.block_end) for r in files.missing_blocks(spark, 10, 4, done).orderBy("block_start").collect()] == [(4, 8), (8, 10)]
+
+
+def test_keyed_json_with_metrics_and_failed_tasks(spark, tmp_path):
+    """Keys with slashes and nulls, a sum per key; a job whose task fails leaves nothing that is read."""
+    path, schema = str(tmp_path / "out"), "id long, key string, score double, text string"
+    rows = [(i, ["a/b", "c", None][i % 3], i * 0.5, f"té\n{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    broken = df.withColumn("id", F.when(F.col("id") == 37, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        keyed_json.write_keyed_json(broken, path, "key", ["score"])
+    assert keyed_json.read_keyed_json(spark, path, schema).count() == 0
+    keyed_json.write_keyed_json(df, path, "key", ["score"])
+    back = keyed_json.read_keyed_json(spark, path, schema)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+    metrics = json.loads((tmp_path / "out" / "metrics.json").read_text())
+    assert metrics == {k: {"rows": 20, "score": sum(r[2] for r in rows if r[1] == v)} for k, v in (("a_b", "a/b"), ("c", "c"), ("_null", None))}
+
+
+def test_keyed_json_stream_commits_a_batch_once(spark, tmp_path):
+    feed, path, mark = (str(tmp_path / n) for n in ("feed", "out", "mark"))
+    for part in (range(0, 10), range(10, 25)):
+        spark.createDataFrame([(i, f"k{i % 2}") for i in part], "id long, key string").write.mode("append").parquet(feed)
+        keyed_json.stream_keyed_json(spark.readStream.schema("id long, key string").parquet(feed), path, "key", mark, ["id"]).awaitTermination()
+    # the last batch loses its commit in the checkpoint and is run again
+    for name in ("1", ".1.crc"):
+        (tmp_path / "mark" / "commits" / name).unlink()
+    keyed_json.stream_keyed_json(spark.readStream.schema("id long, key string").parquet(feed), path, "key", mark, ["id"]).awaitTermination()
+    assert sorted(r.id for r in keyed_json.read_keyed_json(spark, path, "id long, key string").collect()) == list(range(25))
+    assert json.loads((tmp_path / "out" / "batch=1" / "metrics.json").read_text()) == {"k0": {"rows": 8, "id": sum(range(10, 25, 2))}, "k1": {"rows": 7, "id": sum(range(11, 25, 2))}}

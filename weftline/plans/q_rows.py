@@ -8,7 +8,7 @@ from ..functions import text as tx, urls
 from ..operators import chats, cleaning, rows
 from ..operators.index import with_row_index
 from ..session import fresh_path
-from ..sources import files
+from ..sources import files, keyed_json
 from . import views
 from .registry import joined, query
 
@@ -60,6 +60,19 @@ def _(t):
     return t.spark.read.schema("doc_id long, text string, key_safe string").json(path)
 
 
+@query("keyed_json", """SELECT lang || '_' || source AS key_safe, count(*) AS n, sum(length(text))::BIGINT AS chars, count(*) AS told_rows, sum(n_chars)::BIGINT AS told_chars
+FROM documents GROUP BY 1""")
+def _(t):
+    # what the committed files hold beside what the metrics file tells
+    path = fresh_path(t.spark, "keyed")
+    rows = t.documents.select("doc_id", "text", "n_chars", F.concat_ws("/", "lang", "source").alias("key"))
+    keyed_json.write_keyed_json(rows, path, "key", ["n_chars"])
+    back = keyed_json.read_keyed_json(t.spark, path, "doc_id long, text string, n_chars long, key string")
+    held = back.groupBy(F.replace("key", F.lit("/"), F.lit("_")).alias("key_safe")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    told = t.spark.read.text(f"{path}/metrics.json", wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<rows:bigint,n_chars:bigint>>")).alias("key_safe", "m"))
+    return held.join(told.select("key_safe", F.col("m.rows").alias("told_rows"), F.col("m.n_chars").alias("told_chars")), "key_safe")
+
+
 @query("merge_jsonl", "SELECT doc_id, lang FROM documents UNION ALL SELECT item_id, 'bench' FROM benchmark")
 def _(t):
     a, b, out = (fresh_path(t.spark, n) for n in ("a", "b", "merged"))
