@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import grading as gr, text as tx
+from ..functions.numeric import values_equal
 from ..operators import scoring as sc, tokens as tk
 from ..session import fresh_path
 from . import views
@@ -115,6 +116,39 @@ def _(t):
     return views.answers(t).select("conv_id", "turn", gr.answers_equal(gr.boxed_answer(F.col("response")), F.col("truth")).alias("same"))
 
 
+def num_sql(x: str) -> str:
+    x = f"trim({x})"
+    amount = f"CASE WHEN regexp_matches({x}, '^\\$[0-9]') THEN substr({x}, 2) WHEN regexp_matches({x}, '^[0-9]+(\\.[0-9]+)?\\\\?%$') THEN regexp_replace({x}, '\\\\?%$', '') ELSE {x} END"
+    digits = f"replace(replace({amount}, '{{,}}', ''), ',', '')"
+    pi = r"'^([-+]?[0-9]*\.?[0-9]*)\\pi$'"
+    based = r"'^([-+]?[0-9]+)(\.[0-9]+)?_.+$'"
+    plain = r"'^[-+]?([0-9][0-9,]*\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$'"
+    factor = f"regexp_extract({x}, {pi}, 1)"
+    return (f"CASE WHEN regexp_matches({x}, {pi}) THEN CASE WHEN {factor} IN ('', '+') THEN 1.0 WHEN {factor} = '-' THEN -1.0 ELSE try_cast({factor} AS DOUBLE) END * pi() "
+            f"WHEN regexp_matches({x}, {based}) THEN try_cast(regexp_extract({x}, {based}, 1) AS DOUBLE) WHEN regexp_matches({digits}, {plain}) THEN try_cast({digits} AS DOUBLE) END")
+
+
+def same_sql(a: str, b: str) -> str:
+    m, n = f"({num_sql(a)})", f"({num_sql(b)})"
+    close = " OR ".join(f"{m} = {n} * {f} OR abs({m} - {n} * {f}) <= 1e-4::DOUBLE * greatest(abs({m}), abs({n} * {f}))" for f in ("1.0::DOUBLE", "0.01::DOUBLE", "100.0::DOUBLE"))
+    return f"(lower(trim({a})) = lower(trim({b})) OR replace({a}, ' ', '') = replace({b}, ' ', '') OR coalesce({close}, false))"
+
+
+LISTED = r"'^[(\[].*[)\]]$'"
+INNER = "CASE WHEN regexp_matches({x}, " + LISTED.replace("{", "{{") + ") THEN substr({x}, 2, length({x}) - 2) ELSE {x} END"
+EDGE = "CASE WHEN regexp_matches({x}, " + LISTED.replace("{", "{{") + ") THEN substr({x}, 1, 1) || right({x}, 1) ELSE '' END"
+
+
+@query("values_equal", f"""WITH {A}, v AS (SELECT conv_id, turn, trim(a) AS g, trim(truth) AS t FROM {BASE}),
+p AS (SELECT *, string_split({INNER.format(x='g')}, ',') AS gp, string_split({INNER.format(x='t')}, ',') AS tp, {EDGE.format(x='g')} AS ge, {EDGE.format(x='t')} AS te,
+  regexp_replace(g, '[{{}}()\\[\\]]', '', 'g') AS gb, regexp_replace(t, '[{{}}()\\[\\]]', '', 'g') AS tb FROM v),
+e AS (SELECT conv_id, turn, bool_and({same_sql('x.g', 'x.t')}) AS each FROM (SELECT conv_id, turn, unnest(list_transform(range(1, len(gp) + 1), lambda i: {{'g': gp[i], 't': tp[i]}})) AS x FROM p WHERE len(gp) = len(tp) AND len(tp) > 1) GROUP BY ALL)
+SELECT conv_id, turn, coalesce(g <> '' AND ({same_sql('g', 't')} OR (({num_sql('g')}) IS NULL OR ({num_sql('t')}) IS NULL) AND
+  ((ge = te AND coalesce(each, false)) OR (NOT contains(g, ',') AND NOT contains(t, ',') AND {same_sql('gb', 'tb')}))), false) AS same FROM p LEFT JOIN e USING (conv_id, turn)""")
+def _(t):
+    return views.answers(t).select("conv_id", "turn", values_equal(gr.boxed_answer(F.col("response")), F.col("truth")).alias("same"))
+
+
 MATH = "(SELECT *, coalesce(n1, u1) = coalesce(n2, u2) OR e1 = e2 AS ok FROM " + chain_sql(chain_sql(chain_sql(chain_sql(chain_sql(chain_sql(
     BASE, "a", "u1", UNWRAP), "u1", "n1", norm_sql(False)), "truth", "u2", UNWRAP), "u2", "n2", norm_sql(False)), "a", "e1", EXPR), "truth", "e2", EXPR) + ")"
 
