@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import contamination, html, langid, overlap, packing, payload, pii, prefixes, quality, shards, simhash, suffix, variants
+from . import contamination, html, langid, overlap, packing, payload, pii, prefixes, quality, shards, simhash, suffix, twins, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,16 +84,16 @@ def _(spark, documents, folder):
     return langid.identify(documents)
 
 
-@query("op11_prefix_trie", "conversations")
+@query("op11_prefix_trie", "conversations", twins.PREFIX_TRIE)
 def _(spark, conversations, folder):
     return prefixes.prefix_trie(conversations)
 
 
-@query("op12_spelling_variants")
+@query("op12_spelling_variants", sql=twins.SPELLING_VARIANTS)
 def _(spark, documents, folder):
     return variants.variants(documents)
 
 
-@query("op13_ngram_jaccard")
+@query("op13_ngram_jaccard", sql=twins.NGRAM_JACCARD)
 def _(spark, documents, folder):
     return overlap.components(documents)
