@@ -1,7 +1,6 @@
 import random
 import re
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
