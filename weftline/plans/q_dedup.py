@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import minhash, text as tx
 from ..operators import decontaminate as dc, dedup, setjoin
-from ..operators.index import with_row_index
 from ..session import stage
 from . import views
 from .registry import joined, query, r6
