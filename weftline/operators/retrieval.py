@@ -1,8 +1,8 @@
 """Vector search, neighbours, retrieved samples and retrieval evaluation.
 
-Scores are computed as matrix products of bounded blocks. Rows are hashed to
-blocks, so every task holds at most one block of each side whatever the size
-of a list, topic or table, and only the wanted rows of a block are emitted.
+Rows are hashed to blocks, so every task holds at most one block of each side
+whatever the size of a list, topic or table. Inside a task scores are matrix
+products of small tiles, and only the wanted rows of a block are emitted.
 """
 
 from __future__ import annotations
@@ -15,10 +15,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import digest
-from ..session import stage
+from ..session import spread, stage
 
-QUERY_BLOCK = 2048
-CORPUS_BLOCK = 16384
+# What a task holds of either side: each row of one side is sent to every block of the other
+QUERY_BLOCK = 32768
+CORPUS_BLOCK = 32768
+# What is scored at once: 32 MB of scores
+TILE = 2048
+# Few rows are cut further, into so many blocks a side, to give all cores work
+LEAST_BLOCKS = 6
+
+
+def _blocks(rows: int, size: int) -> int:
+    return max(-(-rows // size), min(-(-rows // TILE), LEAST_BLOCKS), 1)
 
 
 def _blocked(queries: DataFrame, corpus: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -30,11 +39,13 @@ def _blocked(queries: DataFrame, corpus: DataFrame, fn: Callable[[pd.DataFrame,
     if "list" not in queries.columns:
         # one list: its numbers of blocks are two constants
         queries, corpus = queries.withColumn("list", F.lit(0)), corpus.withColumn("list", F.lit(0))
-        nq, nc = (max(-(-side.count() // size), 1) for side, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
+        nq, nc = (_blocks(side.count(), size) for side, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
 
         def counted(side):
             return side.withColumns({"_q": F.lit(nq).cast("bigint"), "_c": F.lit(nc).cast("bigint")})
     else:
+        # the two sides of a list meet by the hash of its name, which depends on the type
+        corpus = corpus.withColumn("list", F.col("list").cast(queries.schema["list"].dataType))
         # one row per list
         sizes = queries.groupBy("list").agg(F.count("*").alias("_nq")).join(corpus.groupBy("list").agg(F.count("*").alias("_nc")), "list")
         cuts = stage(sizes.select("list", F.ceil(F.col("_nq") / QUERY_BLOCK).alias("_q"), F.ceil(F.col("_nc") / CORPUS_BLOCK).alias("_c")), "cuts")
@@ -55,25 +66,66 @@ def _blocked(queries: DataFrame, corpus: DataFrame, fn: Callable[[pd.DataFrame,
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(run, schema)
 
 
-def _scores(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-    return np.stack(left["qvec"].to_numpy()).astype(np.float64) @ np.stack(right["vec"].to_numpy()).astype(np.float64).T
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
+def _tiles(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, first column and scores of every tile."""
+    for row in range(0, len(left), TILE):
+        for col in range(0, len(right), TILE):
+            yield row, col, left[row:row + TILE] @ right[col:col + TILE].T
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest scores of every row, ties by column."""
-    k = min(k, scores.shape[1])
-    if k < scores.shape[1]:
-        # everything that reaches the k-th score, so ties at the edge stay exact
-        edge = np.partition(scores, -k, axis=1)[:, -k]
-        scores = np.where(scores >= edge[:, None], scores, -np.inf)
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+class _Best:
+    """The ``k`` best rows of every query seen so far, ties by id.
 
+    A tile gives only what reaches the k-th score its query has by then.
+    """
 
-def _best_rows(left, right, scores, k) -> pd.DataFrame:
-    picked = _best(scores, k)
-    rows = np.repeat(np.arange(len(left)), picked.shape[1])
-    cols = picked.ravel()
-    return pd.DataFrame({"qid": left["qid"].to_numpy()[rows], "id": right["id"].to_numpy()[cols], "score": scores[rows, cols]})
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score = np.full((n, k), -np.inf)
+        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.held = np.zeros(n, dtype=np.int64)
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """``scores`` of the queries ``at`` with the rows ``ids``."""
+        floor = self.score[at, -1]
+        if scores.shape[1] > self.k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(np.where(np.isnan(scores), -np.inf, scores), -self.k, axis=1)[:, -self.k])
+        rows, cols = np.nonzero(scores >= floor[:, None])
+        if not len(rows):
+            return
+        touched, place = np.unique(rows, return_inverse=True)
+        old = at[touched]
+        kept = np.arange(self.k) < self.held[old][:, None]
+        row = np.concatenate([np.nonzero(kept)[0], place])
+        score = np.concatenate([self.score[old][kept], scores[rows, cols]])
+        name = np.concatenate([self.id[old][kept], ids[cols]])
+        order = np.lexsort((name, -score, row))
+        row, score, name = row[order], score[order], name[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        top = rank < self.k
+        self.score[old[row[top]], rank[top]], self.id[old[row[top]], rank[top]] = score[top], name[top]
+        self.held[old] = np.minimum(np.bincount(row, minlength=len(old)), self.k)
+
+    def rows(self, qid: np.ndarray) -> Iterator[pd.DataFrame]:
+        """(qid, id, score), some queries at a time."""
+        for low in range(0, len(qid), TILE):
+            part = slice(low, low + TILE)
+            row, rank = np.nonzero(np.arange(self.k) < self.held[part, None])
+            yield pd.DataFrame({"qid": qid[part][row], "id": self.id[part][row, rank], "score": self.score[part][row, rank]})
+
+
+def _best_of(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best rows of a block for every query of a block."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        best, ids = _Best(len(left), k), right["id"].to_numpy(np.int64)
+        for row, col, scores in _tiles(_matrix(left["qvec"]), _matrix(right["vec"])):
+            best.add(np.arange(row, row + len(scores)), ids[col:col + TILE], scores)
+        return pd.concat(best.rows(left["qid"].to_numpy(np.int64)), ignore_index=True)
+    return run
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -87,20 +139,18 @@ QUERY_BYTES = 64 << 20  # a query side up to this size is sent to the corpus, wh
 
 def _scanned(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The k best of every query from each partition of the corpus, for queries that fit a task."""
-    sent = queries.select("qid", "qvec").toPandas().sort_values("qid", ignore_index=True)
+    sent = queries.select("qid", F.col("qvec").cast("array<double>").alias("qvec")).toArrow().combine_chunks()
+    qid = sent["qid"].to_numpy().astype(np.int64)
+    qvec = sent["qvec"].combine_chunks().flatten().to_numpy().reshape(len(qid), -1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        best = _Best(len(qid), k)
         for batch in batches:
-            for low in range(0, len(batch), CORPUS_BLOCK):
-                part = batch.iloc[low:low + CORPUS_BLOCK].sort_values("id", ignore_index=True)
-                found = _best_rows(sent, part, _scores(sent, part), k)
-                if best is not None:
-                    found = pd.concat([best, found]).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid", sort=False).head(k)
-                best = found
-        if best is not None:
-            yield best
-    return corpus.select("id", "vec").mapInPandas(run, "qid long, id long, score double")
+            ids = batch["id"].to_numpy(np.int64)
+            for row, col, scores in _tiles(qvec, _matrix(batch["vec"]) if len(batch) else np.empty((0, qvec.shape[1]))):
+                best.add(np.arange(row, row + len(scores)), ids[col:col + TILE], scores)
+        yield from best.rows(qid)
+    return spread(corpus.select("id", "vec"), "id").mapInPandas(run, "qid long, id long, score double")
 
 
 def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -112,7 +162,7 @@ def topk_inner_product(queries: DataFrame, corpus: DataFrame, k: int) -> DataFra
     size = queries.agg(F.sum(F.size("qvec").cast("bigint") * 8 + 16)).first()[0] or 0
     if 0 < size <= QUERY_BYTES:
         return _ranked(_scanned(queries, corpus, k), k)
-    return _ranked(_blocked(queries, corpus, lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double"), k)
+    return _ranked(_blocked(queries, corpus, _best_of(k), "qid long, id long, score double"), k)
 
 
 def train_centroids(corpus: DataFrame, nlist: int, fraction: float, seed: int = 1) -> np.ndarray:
@@ -139,7 +189,7 @@ def topk_approx(queries: DataFrame, corpus: DataFrame, k: int, nlist: int, nprob
     centers = train_centroids(corpus, nlist, fraction, seed)
     c = corpus.withColumn("list", F.element_at(nearest_lists(F.col("vec"), centers, 1), 1))
     q = queries.withColumn("list", F.explode(nearest_lists(F.col("qvec"), centers, nprobe)))
-    return _ranked(_blocked(q, c, lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double"), k)
+    return _ranked(_blocked(q, c, _best_of(k), "qid long, id long, score double"), k)
 
 
 class Lists:
@@ -175,43 +225,95 @@ class Lists:
         told = self.placed.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("r")).toPandas().sort_values("list")
         self.names, self.sizes, self.radius = told["list"].to_numpy(np.int32), told["n"].to_numpy(np.int64), told["r"].to_numpy(np.float64)
         self.centers = centers[self.names]
+        self.bundle = _bundles(self.sizes, min(CORPUS_BLOCK, -(-rows // LEAST_BLOCKS)))
 
     def search(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """(qid, rank, id, score) as :func:`topk_inner_product` gives them, and (qid, list, n) of the lists scanned, n their rows."""
+        """(qid, rank, id, score) as :func:`topk_inner_product` gives them, and (qid, list, n) of the lists scanned, n their rows.
+
+        A query goes once to every bundle of lists that holds one it needs, and the task there picks the lists.
+        """
         if not self.rows:
             none = queries.select("qid", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("score")).limit(0)
             return none, none.select("qid", F.lit(0).alias("list"), F.lit(0).cast("bigint").alias("n"))
-        names, sizes, radius, centers = self.names, self.sizes, self.radius, self.centers
+        names, sizes, radius, centers, bundle = self.names, self.sizes, self.radius, self.centers, self.bundle
 
-        def ordered(vec: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Bounds, lists from the highest on, and how many of them the first scan takes."""
-            q = np.stack(vec.to_numpy()).astype(np.float64)
-            bound = q @ centers.T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, :]
-            order = np.argsort(-bound, axis=1, kind="stable")
-            return bound, order, 1 + np.minimum((np.cumsum(sizes[order], axis=1) < k).sum(axis=1), len(names) - 1)
+        def bounds(q: np.ndarray, some: slice = slice(None)) -> np.ndarray:
+            return q @ centers[some].T + np.sqrt((q * q).sum(axis=1))[:, None] * radius[None, some]
 
-        @F.pandas_udf("array<int>")
-        def first(vec: pd.Series) -> pd.Series:
-            _, order, many = ordered(vec)
-            return pd.Series([names[o[:m]] for o, m in zip(order, many)])
+        def tiled(vec: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+            for low in range(0, len(vec), TILE):
+                yield low, _matrix(vec.iloc[low:low + TILE])
 
-        @F.pandas_udf("array<int>")
-        def others(vec: pd.Series, least: pd.Series) -> pd.Series:
-            bound, order, many = ordered(vec)
-            # rounding must not rule out a list that ties
+        def within(first: pd.Series) -> np.ndarray:
+            """Lists of the first scan, marked."""
+            mask = np.zeros((len(first), len(names)), dtype=bool)
+            mask[np.repeat(np.arange(len(first)), first.map(len).to_numpy(np.int64)), np.searchsorted(names, np.concatenate(first.to_list()))] = True
+            return mask
+
+        def left_out(q: np.ndarray, first: pd.Series, least: pd.Series, some: slice = slice(None)) -> np.ndarray:
+            """Lists beyond the first scan that may hold something better; rounding must not rule out one that ties."""
             floor = least.fillna(-np.inf).to_numpy(np.float64) - 1e-9 * (1 + np.abs(least.fillna(0).to_numpy(np.float64)))
-            return pd.Series([names[[i for i in o[m:] if b[i] >= f]] for b, o, m, f in zip(bound, order, many, floor)])
+            return (bounds(q, some) >= floor[:, None]) & ~within(first)[:, some]
 
-        def scan(asked: DataFrame) -> DataFrame:
-            return _blocked(asked, self.placed.select("id", "vec", "list"), lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double")
+        @F.pandas_udf("array<int>")
+        def highest(vec: pd.Series) -> pd.Series:
+            """Lists of the highest bounds that hold k rows."""
+            found = []
+            for _, q in tiled(vec):
+                order = np.argsort(-bounds(q), axis=1, kind="stable")
+                many = 1 + np.minimum((np.cumsum(sizes[order], axis=1) < k).sum(axis=1), len(names) - 1)
+                found += [names[o[:m]] for o, m in zip(order, many)]
+            return pd.Series(found)
 
-        asked = queries.select("qid", "qvec", F.explode(first("qvec")).alias("list"))
-        found = stage(_ranked(scan(asked), k), "first")
-        least = found.filter(F.col("rank") == k).select("qid", F.col("score").alias("_least"))
-        more = stage(queries.join(least, "qid", "left").select("qid", "qvec", F.explode(others("qvec", "_least")).alias("list")), "others")
-        held = queries.sparkSession.createDataFrame(pd.DataFrame({"list": names, "n": sizes}))
-        scanned = asked.unionByName(more).select("qid", "list").join(F.broadcast(held), "list").select("qid", "list", "n")
-        return _ranked(found.select("qid", "id", "score").unionByName(scan(more)), k), scanned
+        @F.pandas_udf("array<int>")
+        def others(vec: pd.Series, first: pd.Series, least: pd.Series) -> pd.Series:
+            found = []
+            for low, q in tiled(vec):
+                found += [names[w] for w in left_out(q, first.iloc[low:low + TILE], least.iloc[low:low + TILE])]
+            return pd.Series(found)
+
+        @F.pandas_udf("array<int>")
+        def bundles_of(lists: pd.Series) -> pd.Series:
+            return lists.map(lambda found: np.unique(bundle[np.searchsorted(names, found)]))
+
+        def scan(asked: DataFrame, again: bool) -> DataFrame:
+            def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                best, ids, vectors = _Best(len(left), k), right["id"].to_numpy(np.int64), _matrix(right["vec"])
+                place = np.searchsorted(names, right["held"].to_numpy(np.int32))
+                some = slice(place.min(), place.max() + 1)
+                for low in range(0, len(left), TILE):
+                    part = left.iloc[low:low + TILE]
+                    q = _matrix(part["qvec"])
+                    wanted = left_out(q, part["first"], part["least"], some) if again else within(part["first"])[:, some]
+                    for one in np.unique(place):
+                        asking, mine = np.flatnonzero(wanted[:, one - some.start]), np.flatnonzero(place == one)
+                        if len(asking):
+                            for _, col, scores in _tiles(q[asking], vectors[mine]):
+                                best.add(low + asking, ids[mine[col:col + TILE]], scores)
+                return pd.concat(best.rows(left["qid"].to_numpy(np.int64)), ignore_index=True)
+            sent = asked.select("qid", "qvec", "first", "least", F.explode("into").alias("list"))
+            rows = self.placed.withColumnRenamed("list", "held").join(F.broadcast(known), "held").select("id", "vec", "held", F.col("bundle").alias("list"))
+            return _blocked(sent, rows, run, "qid long, id long, score double")
+
+        known = queries.sparkSession.createDataFrame(pd.DataFrame({"held": names, "n": sizes, "bundle": bundle}), "held int, n long, bundle int")
+        # staged, so that both scans go by the same lists
+        asked = stage(queries.select("qid", "qvec", highest("qvec").alias("first")), "asked")
+        found = stage(_ranked(scan(asked.select("*", F.lit(None).cast("double").alias("least"), bundles_of("first").alias("into")), False), k), "first")
+        told = asked.join(found.filter(F.col("rank") == k).select("qid", F.col("score").alias("least")), "qid", "left")
+        more = told.select("*", others("qvec", "first", "least").alias("others"))
+        every = more.select("qid", F.explode(F.concat("first", "others")).alias("held")).join(F.broadcast(known), "held")
+        again = scan(more.withColumn("into", bundles_of("others")), True)
+        return _ranked(found.select("qid", "id", "score").unionByName(again), k), every.select("qid", F.col("held").alias("list"), "n")
+
+
+def _bundles(sizes: np.ndarray, most: int) -> np.ndarray:
+    """Neighbouring lists in bundles of ``most`` rows, larger lists alone."""
+    out, number, rows = np.zeros(len(sizes), dtype=np.int32), 0, 0
+    for i, n in enumerate(sizes):
+        if rows and rows + n > most:
+            number, rows = number + 1, 0
+        out[i], rows = number, rows + n
+    return out
 
 
 def unit(vec: Column) -> Column:
@@ -235,7 +337,7 @@ def similar_examples(queries: DataFrame, examples: DataFrame, k: int = 10) -> Da
     ``queries`` holds (qid, qvec, topic), ``examples`` (id, vec, topic).
     """
     q, c = queries.withColumnRenamed("topic", "list"), examples.withColumnRenamed("topic", "list")
-    best = _ranked(_blocked(q, c, lambda a, b: _best_rows(a, b, _scores(a, b), k), "qid long, id long, score double"), k)
+    best = _ranked(_blocked(q, c, _best_of(k), "qid long, id long, score double"), k)
     held = best.groupBy("qid").agg(F.count("*").alias("_n"))
     return best.join(held, "qid").select("qid", (F.col("_n") - F.col("rank") + 1).alias("pos"), "id", "score")
 
@@ -247,15 +349,26 @@ def diverse_examples(queries: DataFrame, examples: DataFrame, k: int = 10) -> Da
     block where its lowest example lies cannot be among the k lowest overall.
     """
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        scores = _scores(a, b)
+        b = b.sort_values(["topic", "id"], ignore_index=True)
         topics, which = np.unique(b["topic"].to_numpy(), return_inverse=True)
-        parts = []
-        low = np.stack([scores[:, which == i].min(axis=1) for i in range(len(topics))], axis=1)
-        first = np.stack([np.flatnonzero(which == i)[scores[:, which == i].argmin(axis=1)] for i in range(len(topics))], axis=1)
-        for row in range(len(a)):
-            for i in np.argsort(low[row], kind="stable")[:k] if len(topics) <= k else np.flatnonzero(low[row] <= np.partition(low[row], k - 1)[k - 1]):
-                parts.append((a["qid"].iloc[row], int(topics[i]), int(b["id"].iloc[first[row, i]]), float(low[row, i])))
-        return pd.DataFrame(parts, columns=["qid", "topic", "id", "score"])
+        ids, qid, left, right, parts = b["id"].to_numpy(np.int64), a["qid"].to_numpy(np.int64), _matrix(a["qvec"]), _matrix(b["vec"]), []
+        some = max(1, min(TILE, TILE * TILE // len(topics)))
+        for row in range(0, len(left), some):
+            q = left[row:row + some]
+            low, first, every = np.full((len(q), len(topics)), np.inf), np.zeros((len(q), len(topics)), dtype=np.int64), np.arange(len(q))
+            for _, col, scores in _tiles(q, right):
+                here = which[col:col + scores.shape[1]]
+                starts = np.flatnonzero(np.diff(here, prepend=-1))
+                for start, end in zip(starts, [*starts[1:], len(here)]):
+                    at = scores[:, start:end].argmin(axis=1)
+                    value, topic = scores[every, start + at], here[start]
+                    # the tiles of a topic come in the order of their ids
+                    lower = value < low[:, topic]
+                    low[lower, topic], first[lower, topic] = value[lower], ids[col + start + at[lower]]
+            reach = np.partition(low, k - 1, axis=1)[:, k - 1:k] if len(topics) > k else np.inf
+            rows, cols = np.nonzero(low <= reach)
+            parts.append(pd.DataFrame({"qid": qid[row + rows], "topic": topics[cols], "id": first[rows, cols], "score": low[rows, cols]}))
+        return pd.concat(parts, ignore_index=True)
     lows = _blocked(queries.select("qid", "qvec"), examples, run, "qid long, topic long, id long, score double")
     per = lows.groupBy("qid", "topic").agg(F.min(F.struct("score", "id")).alias("_m")).select("qid", "_m.id", "_m.score")
     order = Window.partitionBy("qid").orderBy("score", "id")
@@ -325,12 +438,14 @@ def retrieval_rank_stats(pairs: DataFrame, batch: str, ks: list[int]) -> DataFra
     are counts of better contexts, summed over blocks; scores stay in the task.
     """
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        own = np.einsum("ij,ij->i", np.stack(a["qvec"].to_numpy()), np.stack(a["own"].to_numpy()))
-        s = _scores(a, b)
-        mine = a["qid"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]
-        # the own score may differ in the last digit between the two products
-        better = (s > own[:, None]) & ~mine
-        return pd.DataFrame({"qid": a["qid"], "better": better.sum(axis=1)})
+        left, qid, ids = _matrix(a["qvec"]), a["qid"].to_numpy(), b["id"].to_numpy()
+        own, better = np.einsum("ij,ij->i", left, _matrix(a["own"])), np.zeros(len(a), dtype=np.int64)
+        for row, col, s in _tiles(left, _matrix(b["vec"])):
+            here = slice(row, row + len(s))
+            mine = qid[here, None] == ids[None, col:col + s.shape[1]]
+            # the own score may differ in the last digit between the two products
+            better[here] += ((s > own[here, None]) & ~mine).sum(axis=1)
+        return pd.DataFrame({"qid": qid, "better": better})
     q = pairs.select(F.col("id").alias("qid"), "qvec", F.col("vec").alias("own"), F.col(batch).alias("list"))
     c = pairs.select("id", "vec", F.col(batch).alias("list"))
     ranks = _blocked(q, c, run, "qid long, better long").groupBy("qid").agg(F.sum("better").alias("rank"))
