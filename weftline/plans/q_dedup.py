@@ -143,8 +143,7 @@ WITH d AS (SELECT doc_id, lower(text) AS low, {WORDS} AS w, string_split_regex(l
 e AS (SELECT doc_id, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, unnest(range(0, len(w))) AS i FROM d)
 SELECT doc_id, i, word, (sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word))::BIGINT AS start FROM e""")
 def _(t):
-    return views.documents(t).select("doc_id", F.posexplode(tx.words_with_positions(F.col("text"))).alias("i", "_w")).select(
-        "doc_id", F.col("i").cast("bigint").alias("i"), "_w.word", F.col("_w.start").cast("bigint").alias("start"))
+    return tx.word_rows(views.documents(t), "doc_id", "text")
 
 
 @query("split_around_match", f"""WITH {MATCHES}, {OFFSET},
