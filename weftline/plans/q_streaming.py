@@ -64,7 +64,7 @@ def _sized(t):
 
 
 def _told(df, step):
-    return df.select("run", F.col(step).alias("step"), F.signum("beta").cast("int").alias("sign"), r6(F.log(F.abs("beta"))).alias("log_beta"))
+    return df.select("run", F.col(step).alias("step"), "sign", r6(F.col("log_beta")).alias("log_beta"))
 
 
 @query("stream_adaptive_kl", BETA)

@@ -59,45 +59,63 @@ def _held(df: DataFrame, path: str, batch: int, schema: str) -> DataFrame:
 
 def stream_adaptive_kl(steps: DataFrame, run: str, step: str, kl: str, n: str, out: str, checkpoint: str,
                        init: float, target: float | None, horizon: float = 10000.0) -> None:
-    """(run, step, beta): the coefficient after every step, sequential per run; fixed without a target.
+    """(run, step, beta, sign, log_beta): the coefficient after every step, sequential per run; fixed without a target.
 
-    Only one number per run is kept. Steps of a run must not arrive later than
-    their successors; inside a batch they are sorted. A batch is worked on by
-    :func:`adaptive_kl`, so the steps of one run spread over tasks.
+    Only the sign and the logarithm of one number per run are kept, since a
+    long run leaves the range of doubles. Steps of a run must not arrive later
+    than their successors; inside a batch they are sorted. A batch is worked on
+    by :func:`adaptive_kl`, so the steps of one run spread over tasks.
     """
     typed = steps.select(F.col(run).cast("bigint").alias("run"), F.col(step).cast("bigint").alias("step"), F.col(kl).cast("double").alias("kl"), F.col(n).cast("bigint").alias("n"))
-    kept = f"{checkpoint}/held"
+    kept, told = f"{checkpoint}/held", ["run", "step", "beta", "sign", "log_beta"]
 
     def update(df: DataFrame, batch: int) -> None:
-        held = _held(df, kept, batch, "run bigint, held double")
-        known = same_keys(df, held, ["run"], "left").withColumn("held", F.coalesce("held", F.lit(init)))
+        held = _held(df, kept, batch, "run bigint, held_sign int, held_log double")
+        first = F.lit(init)
+        known = same_keys(df, held, ["run"], "left").withColumns({
+            "held_sign": F.coalesce("held_sign", F.signum(first).cast("int")), "held_log": F.coalesce("held_log", _size(first))})
         if target is None:
-            betas = known.select("run", "step", F.col("held").alias("beta"))
+            betas = known.select("run", "step", first.cast("double").alias("beta"), F.col("held_sign").alias("sign"), F.col("held_log").alias("log_beta"))
         else:
-            betas = adaptive_kl(known, "run", "step", "kl", "n", F.col("held"), target, horizon).select("run", "step", "beta")
-        betas.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        done = df.sparkSession.read.schema("run bigint, step bigint, beta double").parquet(f"{out}/batch={batch}")
-        last = done.groupBy("run").agg(F.max_by("beta", "step").alias("held"))
+            betas = _followed(known, "run", "step", "kl", "n", F.col("held_sign"), F.col("held_log"), target, horizon)
+        betas.select(*told).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        done = df.sparkSession.read.schema("run bigint, step bigint, beta double, sign int, log_beta double").parquet(f"{out}/batch={batch}")
+        last = done.groupBy("run").agg(F.max_by(F.struct("sign", "log_beta"), "step").alias("_l")).select("run", F.col("_l.sign").alias("held_sign"), F.col("_l.log_beta").alias("held_log"))
         same_keys(held, last.select("run"), ["run"], "left_anti").unionByName(last).write.mode("overwrite").parquet(_slot(kept, batch))
 
     _run(typed.writeStream.outputMode("append").foreachBatch(update), checkpoint)
 
 
+def _size(x: Column) -> Column:
+    """Logarithm of the magnitude; minus infinity for zero."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(F.abs(x)))
+
+
 def adaptive_kl(steps: DataFrame, run: str, step: str, kl: str, n: str, init: float | Column, target: float, horizon: float = 10000.0) -> DataFrame:
     """Batch form of :func:`stream_adaptive_kl`; ``init`` may be a column that is the same for all steps of a run.
 
     The update only multiplies, so the coefficient is the start times a running
     product inside the run. A step with a low KL and n beyond 5 x horizon turns
     its sign, so magnitude (as logarithms), signs and zeros are carried apart.
+    ``beta`` is a double and leaves its range on long runs; ``sign`` and
+    ``log_beta`` (minus infinity for zero) hold its value all the same.
     """
+    start = init if isinstance(init, Column) else F.lit(init)
+    return _followed(steps, run, step, kl, n, F.signum(start).cast("int"), _size(start), target, horizon)
+
+
+def _followed(steps: DataFrame, run: str, step: str, kl: str, n: str, sign: Column, log: Column, target: float, horizon: float) -> DataFrame:
     factor = steps.withColumn("_f", kl_factor(F.col(kl), target, horizon, F.col(n)))
     size = F.when(F.col("_f") == 0, 0.0).otherwise(F.log(F.abs("_f")))
-    minus, none = (F.col("_f") < 0).cast("double"), (F.col("_f") == 0).cast("double")
-    run_sum = with_group_totals(factor, [run], [F.col(step)], {"_size": size, "_minus": minus, "_none": none}, kind="double")
-    sign = F.when((F.col("_minus") + minus) % 2 == 1, -1.0).otherwise(1.0)
-    start = init if isinstance(init, Column) else F.lit(init)
-    beta = F.when(F.col("_none") + none > 0, 0.0).otherwise(sign * start * F.exp(F.col("_size") + size))
-    return run_sum.withColumn("beta", beta).drop("_f", "_size", "_minus", "_none")
+    minus, none = (F.col("_f") < 0).cast("int"), (F.col("_f") == 0).cast("int")
+    # fixed point: doubles added one after the other would lose the ninth decimal in some 100,000 steps
+    run_sum = with_group_totals(factor, [run], [F.col(step)], {"_size": size, "_minus": minus, "_none": none}, kind="decimal(38,18)")
+    gone = F.col("_none") + none > 0
+    turned = F.when((F.col("_minus") + minus) % 2 == 1, -1).otherwise(1)
+    found = run_sum.withColumns({
+        "sign": F.when(gone, 0).otherwise(sign * turned).cast("int"),
+        "log_beta": F.when(gone, F.lit(float("-inf"))).otherwise(log + (F.col("_size") + size.cast("decimal(38,18)")).cast("double"))})
+    return found.withColumn("beta", F.col("sign") * F.exp("log_beta")).drop("_f", "_size", "_minus", "_none")
 
 
 def stream_accept_buffer(groups: DataFrame, run: str, order: str, key: str, target: int, out: str, checkpoint: str) -> None:
