@@ -27,7 +27,7 @@ def signature(text: Column, num_perm: int = 100, ngram: int = 5) -> Column:
     """
     a, b = (np.array(x, dtype=np.int64)[:, None] for x in coefficients(num_perm))
 
-    def one(s: str | None):
+    def one(s: str | None, wide: np.ndarray, narrow: np.ndarray):
         if s is None:
             return None
         codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
@@ -38,19 +38,32 @@ def signature(text: Column, num_perm: int = 100, ngram: int = 5) -> Column:
         for i in range(ngram):
             h = (h * BASE + codes[i:i + n]) % PRIME
         h = np.unique(h)
-        low = np.full(num_perm, PRIME, dtype=np.int64)
+        low, high = np.full(num_perm, PRIME, dtype=np.uint32), np.zeros(num_perm, dtype=np.uint32)
         for at in range(0, len(h), 512):
-            x = a * h[None, at:at + 512] + b
-            # remainder by 2**31 - 1 without a division
-            x = (x & PRIME) + (x >> 31)
-            x = (x & PRIME) + (x >> 31)
-            x[x == PRIME] = 0
-            low = np.minimum(low, x.min(axis=1))
+            part = h[None, at:at + 512]
+            x, y = wide[0][:, :part.shape[1]], wide[1][:, :part.shape[1]]
+            z, carry = narrow[0][:, :part.shape[1]], narrow[1][:, :part.shape[1]]
+            np.multiply(a, part, out=x)
+            x += b
+            # remainder by 2**31 - 1 without a division; once folded it fits 32 bits
+            np.right_shift(x, 31, out=y)
+            x &= PRIME
+            np.add(x, y, out=z, casting="unsafe")
+            np.right_shift(z, 31, out=carry)
+            z &= PRIME
+            z += carry
+            np.minimum(low, z.min(axis=1), out=low)
+            np.maximum(high, z.max(axis=1), out=high)
+        # 2**31 - 1 itself stands for zero
+        low[high == PRIME] = 0
+        low = low.astype(np.int64)
         return low
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def minhash(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        # scratch of one batch, small enough to stay in the processor's cache
+        wide, narrow = np.empty((2, num_perm, 512), dtype=np.int64), np.empty((2, num_perm, 512), dtype=np.uint32)
+        return texts.map(lambda s: one(s, wide, narrow))
 
     return minhash(text)
 
