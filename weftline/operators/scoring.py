@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import signal
 from collections.abc import Callable, Iterator
@@ -129,12 +130,19 @@ def grade_multi(responses: Column, truth: Column, source: Column, scorers: list[
 def hashed_words(dim: int = 64) -> Callable[[], Callable[[pd.Series], list]]:
     """Deterministic stand-in embedder: signed counts of word digests, unit length."""
     def load():
+        @functools.lru_cache(maxsize=1 << 14)
+        def place(word: str) -> tuple[int, float]:
+            d = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+            return d % dim, 1.0 if d >> 31 else -1.0
+
         def embed(texts: pd.Series) -> list:
             out = np.zeros((len(texts), dim))
             for i, t in enumerate(texts):
+                signs = [0.0] * dim
                 for w in t.lower().split():
-                    d = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
-                    out[i, d % dim] += 1.0 if d >> 31 else -1.0
+                    at, sign = place(w)
+                    signs[at] += sign
+                out[i] = signs
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return list(out / np.where(norms == 0, 1, norms))
         return embed
