@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -238,10 +239,12 @@ def span_corruption(df: DataFrame, key: str, tokens: str, target: int, max_len:
             n = len(dec) + 1
             if len(enc) > max_len or n > max_len_dec:
                 raise ValueError("the sample does not fit its padded length")
-            out.append((enc + [pad] * (max_len - len(enc)), [bos] + dec + [pad] * (max_len_dec - n),
-                        dec + [eos] + [-1] * (max_len_dec - n), [1] * n + [0] * (max_len_dec - n)))
+            made = (enc + [pad] * (max_len - len(enc)), [bos] + dec + [pad] * (max_len_dec - n),
+                    dec + [eos] + [-1] * (max_len_dec - n), [1] * n + [0] * (max_len_dec - n))
+            # eight bytes a number: lists of a whole batch would hold an object each
+            out.append(tuple(np.array(x, dtype=np.int64) for x in made))
         return pd.DataFrame(out, columns=[f.name for f in fields])
-    made = df.withColumn("truncated", F.size(tokens) > target).withColumn("_s", corrupt(F.col(key), F.col(tokens)))
+    made = df.withColumn("truncated", F.size(tokens) > target).withColumn("_s", corrupt(F.col(key), F.slice(tokens, 1, target)))
     return made.select(*df.columns, "truncated", *[F.col(f"_s.{f.name}") for f in fields])
 
 
