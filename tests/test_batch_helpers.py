@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import minhash
+from weftline.functions.wordpiece import wordpiece
 from weftline.operators import objectives as ob, scoring as sc
 
 
@@ -57,3 +58,11 @@ def test_only_the_tokens_that_count_reach_the_worker(spark):
     kept = [x for x in row.text_enc if 10 <= x < 1000]
     gone = [x for x in row.text_dec if 10 <= x < 1000]
     assert row.truncated and sorted(kept + gone) == list(range(10, 60)) and len(row.text_enc) == 64 and len(row.labels) == 32
+
+
+def test_pieces_are_sorted_natively(spark):
+    docs = spark.createDataFrame([(1, "ab a b ab " * 6), (2, None), (3, "zz ab")], "k long, t string")
+    vocab = spark.createDataFrame([("a",), ("##b",), ("b",)], "piece string")
+    made = wordpiece(docs, "k", "t", vocab)
+    assert "array_sort" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.pieces for r in made.collect()} == {1: ["a", "##b", "a", "b", "a", "##b"] * 6, 2: [], 3: ["[UNK]", "a", "##b"]}

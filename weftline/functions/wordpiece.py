@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .arrays import let
 from .text import blank_tokens
 
 
@@ -19,7 +20,8 @@ def _walk(word: Column, matches: Column, unknown: str) -> Column:
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     walked = F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), first, step)
-    return F.when(walked.at == F.length(word), walked.out).otherwise(F.array(F.lit(unknown)))
+    # walked once, though both fields are read
+    return let(walked, lambda w: F.when(w.at == F.length(word), w.out).otherwise(F.array(F.lit(unknown))))
 
 
 def wordpiece(docs: DataFrame, key: str, text: str, vocab: DataFrame, piece: str = "piece", unknown: str = "[UNK]", max_chars: int = 200) -> DataFrame:
@@ -39,5 +41,6 @@ def wordpiece(docs: DataFrame, key: str, text: str, vocab: DataFrame, piece: str
     maps = best.groupBy("_w").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_n"))).alias("_m"))
     cut = maps.select("_w", _walk(F.col("_w"), F.col("_m"), unknown).alias("_pieces"))
     placed = words.join(cut, "_w", "left").withColumn("_pieces", F.coalesce("_pieces", F.array(F.lit(unknown))))
-    joined = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_pieces"))).alias("_all")).select(F.col(key).alias("_key"), F.flatten(F.col("_all._pieces")).alias("pieces"))
+    # sort_array compares natively, array_sort by an interpreted function
+    joined = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_pieces"))).alias("_all")).select(F.col(key).alias("_key"), F.flatten(F.col("_all._pieces")).alias("pieces"))
     return docs.select(key).join(joined, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"))
