@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from weftline.llm import perplexity, quality
@@ -111,3 +113,16 @@ def test_verdicts(spark):
     out = quality.keep(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == sorted(d for d, r in rows.items() if r.kept)
     assert quality.judge(df.limit(0)).count() == 0
+
+
+def test_memory_of_counting_grams_does_not_follow_the_batch():
+    """6 MB of words that are all different, as one batch: counted whole, and with few of its characters spelled out at once."""
+    rng = random.Random(3)
+    words = [f"{rng.getrandbits(36):x}" for _ in range(600_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words[i:i + 200]) for i in range(0, len(words), 200)])], ["text"])
+    tracemalloc.start()
+    total = sum(sum(out.column(1).to_pylist()) for out in perplexity._counted(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == sum(len(w) + 1 for w in words)
+    assert peak < 200e6

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.index import with_row_index
 from ..session import stage
-from .common import documents, slices
+from .common import documents, drop_others, slices
 from .tokens import crc, encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -247,6 +247,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Dat
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(at: pd.Series) -> pd.DataFrame:
+        drop_others("packing")  # the ids are written by now
         x = at.to_numpy(np.int64)
         i = np.searchsorted(slots["first"], x, side="right") - 1
         nth, many = x - slots["first"][i], slots["many"][i]

@@ -23,6 +23,7 @@ from .words import Words
 
 ORDER = 4
 HELD_GRAMS = 500_000  # distinct grams a task sums up before it hands them on
+SLICE = 1 << 20  # bytes of text whose words are spelled out at once
 START, STOP = "\x02", "\x03"
 _FACTORS = mix(np.arange(1, ORDER + 1), 5) | U64(1)
 HELD = 256 << 20  # bytes of model that a worker keeps in memory; a larger model is searched file by file
@@ -57,35 +58,37 @@ def _string_hash(grams: list[str], size: int) -> np.ndarray:
     return _hash(points, np.arange(len(grams)) * size + size - 1, size) if size else np.zeros(len(grams), U64)
 
 
+def _told(grams: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(grams), 100_000):
+        part = grams[low:low + 100_000].astype("<u4").tobytes().decode("utf-32-le")
+        yield pa.RecordBatch.from_arrays([pa.array([part[i:i + ORDER] for i in range(0, len(part), ORDER)]), pa.array(sums[low:low + 100_000].astype(np.int64))], ["g", "c"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """g and c of the words of the batches; a gram of a text takes some 60 bytes at once, so slices are short."""
+    keys, grams, sums = np.zeros(0, U64), np.zeros((0, ORDER), np.uint32), np.zeros(0)
+    for batch in slices(batches, "text", SLICE):
+        words = Words(batch.column(0))
+        if not len(words.codes):
+            continue
+        often = np.bincount(words.codes, minlength=len(words.unique))
+        seen = np.flatnonzero(often)
+        points = _spelled(words.unique.take(pa.array(seen)).to_pylist())
+        ends, owner = _ends(points)
+        key = np.concatenate([keys, _hash(points, ends, ORDER)])
+        weight = np.concatenate([sums, often[seen][owner].astype(float)])
+        windows = np.concatenate([grams, np.stack([points[ends - b] for b in range(ORDER - 1, -1, -1)], axis=1)])
+        keys, first, at = np.unique(key, return_index=True, return_inverse=True)
+        grams, sums = windows[first], np.bincount(at, weights=weight)
+        if len(keys) > HELD_GRAMS:
+            yield from _told(grams, sums)
+            keys, grams, sums = keys[:0], grams[:0], sums[:0]
+    yield from _told(grams, sums)
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
     """g (4 characters) and c over all words of the single column ``text``; summed per task before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, grams, sums = np.zeros(0, U64), np.zeros((0, ORDER), np.uint32), np.zeros(0)
-        for batch in slices(batches, "text"):
-            words = Words(batch.column(0))
-            if not len(words.codes):
-                continue
-            often = np.bincount(words.codes, minlength=len(words.unique))
-            seen = np.flatnonzero(often)
-            points = _spelled(words.unique.take(pa.array(seen)).to_pylist())
-            ends, owner = _ends(points)
-            key = np.concatenate([keys, _hash(points, ends, ORDER)])
-            weight = np.concatenate([sums, often[seen][owner].astype(float)])
-            windows = np.concatenate([grams, np.stack([points[ends - b] for b in range(ORDER - 1, -1, -1)], axis=1)])
-            keys, first, at = np.unique(key, return_index=True, return_inverse=True)
-            grams, sums = windows[first], np.bincount(at, weights=weight)
-            if len(keys) > HELD_GRAMS:
-                yield from told(grams, sums)
-                keys, grams, sums = keys[:0], grams[:0], sums[:0]
-        yield from told(grams, sums)
-
-    def told(grams: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for low in range(0, len(grams), 100_000):
-            part = grams[low:low + 100_000].astype("<u4").tobytes().decode("utf-32-le")
-            yield pa.RecordBatch.from_arrays([pa.array([part[i:i + ORDER] for i in range(0, len(part), ORDER)]), pa.array(sums[low:low + 100_000].astype(np.int64))], ["g", "c"])
-
-    return texts.select("text").mapInArrow(count, "g string, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(_counted, "g string, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _discounts(order: DataFrame) -> list[float]:

@@ -57,7 +57,7 @@ def measures(df: DataFrame, model: str, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = perplexity.Model.of(model)
-        for batch in slices(batches, "text", owner="perplexity"):
+        for batch in slices(batches, "text", perplexity.SLICE, "perplexity"):
             texts = pa.array(batch.column(1).fill_null(""), pa.large_string())
             words = Words(texts)
             chars = pc.utf8_length(words.unique).to_numpy(zero_copy_only=False)
