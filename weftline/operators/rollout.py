@@ -138,7 +138,8 @@ def pairwise_accuracy(df: DataFrame, uid: str, order: list[str], score: str, acc
     """
     levels = stage(with_group_index(df.select(uid, acc).distinct(), [uid], [F.col(acc)], "_rank"), "levels")
     bits = levels.groupBy(uid).agg(F.ceil(F.log2(F.max("_rank") + 1)).cast("int").alias("_bits"))
-    ranked = same_keys(same_keys(df.select(uid, *order, score, acc), levels, [uid, acc]), bits, [uid])
+    # one row per accuracy of a group takes its number of bits along, so the rows are joined once
+    ranked = same_keys(df.select(uid, *order, score, acc), same_keys(levels, bits, [uid]), [uid, acc])
     nodes = ranked.filter("_bits > 0").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
     nodes = nodes.withColumn("_node", F.expr("shiftright(_rank, _b + 1)")).withColumn("_up", F.expr("shiftright(_rank, _b) & 1") == 1)
     low = ~F.col("_up")
@@ -150,7 +151,7 @@ def pairwise_accuracy(df: DataFrame, uid: str, order: list[str], score: str, acc
         F.sum(F.when(F.col("_up"), F.col(acc))).alias("_s1"), F.sum(F.when(low, F.col(acc))).alias("_s0"))
     sums = per.groupBy(uid).agg(F.sum("_good").alias("_num"), F.sum(F.col("_s1") * F.col("_n0") - F.col("_s0") * F.col("_n1")).alias("_den"))
     share = F.when(F.col("_den") > 0, F.coalesce("_num", F.lit(0.0)) / F.col("_den")).otherwise(0.5)
-    return df.select(uid).distinct().join(sums, uid, "left").select(uid, share.alias("pair_acc"))
+    return bits.select(uid).join(sums, uid, "left").select(uid, share.alias("pair_acc"))
 
 
 def ce_preference_loss(df: DataFrame, score_sum: Column, acc: Column, beta: float) -> DataFrame:

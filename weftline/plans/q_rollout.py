@@ -126,7 +126,7 @@ def _(t):
 g AS (SELECT uid, CASE WHEN sum(abs(da)) = 0 THEN 0.5 ELSE sum(CASE WHEN (ds > 0) = (da > 0) THEN abs(da) ELSE 0 END) / sum(abs(da)) END AS acc FROM p GROUP BY uid),
 u AS (SELECT DISTINCT uid FROM rollouts) SELECT uid, round(coalesce(acc, 0.5), 6) AS pair_acc FROM u LEFT JOIN g USING (uid)""")
 def _(t):
-    return ro.pairwise_accuracy(views.rollouts(t, indexed=True), "uid", ["sample_idx"], "rm_score", "score").withColumn("pair_acc", r6(F.col("pair_acc")))
+    return ro.pairwise_accuracy(views.rollouts(t, ordered=True), "uid", views.ROLLOUT_ORDER, "rm_score", "score").withColumn("pair_acc", r6(F.col("pair_acc")))
 
 
 @query("pairwise_accuracy_graded", f"""WITH {R}, q AS (SELECT uid, sample_idx, rm_score, (score + format_score) / 2 AS grade FROM rollouts),
@@ -134,8 +134,8 @@ p AS (SELECT a.uid, a.rm_score - b.rm_score AS ds, a.grade - b.grade AS da FROM
 g AS (SELECT uid, CASE WHEN sum(abs(da)) = 0 THEN 0.5 ELSE sum(CASE WHEN (ds > 0) = (da > 0) THEN abs(da) ELSE 0 END) / sum(abs(da)) END AS acc FROM p GROUP BY uid),
 u AS (SELECT DISTINCT uid FROM rollouts) SELECT round(avg(coalesce(acc, 0.5)), 6) AS pair_acc FROM u LEFT JOIN g USING (uid)""")
 def _(t):
-    df = views.rollouts(t, indexed=True).withColumn("grade", (F.col("score") + F.col("format_score")) / 2)
-    return ro.pairwise_accuracy(df, "uid", ["sample_idx"], "rm_score", "grade").agg(r6(F.avg("pair_acc")).alias("pair_acc"))
+    df = views.rollouts(t, ordered=True).withColumn("grade", (F.col("score") + F.col("format_score")) / 2)
+    return ro.pairwise_accuracy(df, "uid", views.ROLLOUT_ORDER, "rm_score", "grade").agg(r6(F.avg("pair_acc")).alias("pair_acc"))
 
 
 @query("ce_preference_loss", f"WITH {R}, p AS (SELECT 1 / (1 + exp(-3.0 * rm_score * resp_len)) AS p, score FROM rollouts) SELECT round(avg(-(score * greatest(ln(p), -100) + (1 - score) * greatest(CASE WHEN p = 1 THEN -100 ELSE ln(1 - p) END, -100))), 5) AS loss FROM p")
