@@ -1,11 +1,20 @@
 """Costly steps that a query shares between its parts are run once."""
 
+import re
+
 from weftline import plans
 from weftline.operators import index
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_chunks_are_cut_once(spark):
+    merged = plans.QUERIES["merge_chunk_tables"](spark, SMALL)
+    # the three parts read the chunks that were written, and cut none themselves
+    assert not re.search(r"Generate explode", merged._jdf.queryExecution().optimizedPlan().toString())
+    assert {r.kind for r in merged.select("kind").distinct().collect()} == {"sampled", "train", "valid"}
+
+
 def test_rows_are_ranged_once_for_pairwise_accuracy(spark, monkeypatch):
     placed, calls = index._placed, []
     monkeypatch.setattr(index, "_placed", lambda df, order: calls.append(df.columns) or placed(df, order))

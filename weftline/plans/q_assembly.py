@@ -326,8 +326,9 @@ SELECT 'sampled' AS kind, dataset_idx, doc_id, token_start FROM v WHERE rn <= n_
 UNION ALL SELECT 'train', dataset_idx, doc_id, token_start FROM v WHERE doc_id < n_docs_train UNION ALL SELECT 'valid', dataset_idx, doc_id, token_start FROM v WHERE doc_id >= n_docs_train""")
 def _(t):
     docs = _datasets(t)
-    chunks = _chunks(docs).drop("tokens")
-    counts = _counts(t, docs, chunks)
+    # cut once, as the counts and every part read them; the parts share the counts
+    chunks = stage(_chunks(docs).drop("tokens"), "chunks")
+    counts = stage(_counts(t, docs, chunks), "counts")
     parts = [asm.merge_chunk_tables(chunks, counts, k).select(F.lit(k).alias("kind"), "dataset_idx", "doc_id", F.col("token_start").cast("bigint").alias("token_start"))
              for k in ("sampled", "train", "valid")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
