@@ -2,8 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from weftline import plans
-from weftline.operators import index
+from weftline.operators import index, setjoin
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,3 +25,20 @@ def test_rows_are_ranged_once_for_pairwise_accuracy(spark, monkeypatch):
         assert plans.QUERIES[name](spark, SMALL).count() > 0
         # distinct accuracies of a group, and the rows
         assert len(calls) == 2
+
+
+def test_sets_are_written_twice_at_most_and_copies_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c", "b", "a"]), (3, ["a", "b", "c", "d"]), (4, []), (5, ["x"])], "doc_id long, s array<string>")
+    written, stage = [], setjoin.stage
+    monkeypatch.setattr(setjoin, "stage", lambda df, label="stage": written.append((label, df.columns)) or stage(df, label))
+    pairs, members = setjoin.similarity_join(df, "doc_id", F.col("s"), 0.5)
+    assert [tuple(r) for r in pairs.collect()] == [(1, 3, 0.75)]
+    assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 1), (3, 3), (5, 5)}
+    # as read, and one of each class
+    assert [label for label, names in written if "elements" in names or "token" in names and label == "tokens"] == ["sets", "classes"]
+
+
+def test_a_key_of_two_sets_names_one_class(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["x", "y"]), (2, ["q"])], "doc_id long, s array<string>")
+    sets, members = setjoin.classes(df, "doc_id", F.col("s"))
+    assert sorted(r.node for r in sets.collect()) == [1, 2] and members.count() == 3

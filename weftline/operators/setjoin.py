@@ -31,21 +31,24 @@ def word_shingles(words: Column, n: int) -> Column:
 
 
 def classes(df: DataFrame, key: str, elements: Column) -> tuple[DataFrame, DataFrame]:
-    """(node, n, elements) of the distinct sets, named by their smallest key, and (key, node) of all rows with a set.
+    """(node, n, elements) of the distinct sets, named by their smallest key and staged, and (key, node) of all rows with a set.
 
     Elements are 64-bit hashes; rows with an empty or null set have none.
     """
     hashed = df.select(F.col(key).alias("key"), F.array_sort(F.transform(F.array_distinct(elements), lambda e: F.xxhash64(e))).alias("elements"))
     rows = stage(hashed.filter(F.size("elements") > 0).withColumn("digest", F.sha2(F.concat_ws(",", F.transform("elements", lambda e: e.cast("string"))), 256)), "sets")
-    named = stage(rows.groupBy("digest").agg(F.min("key").alias("node")), "classes")
-    members = rows.select("key", "digest").join(named, "digest").select("key", "node")
-    reps = rows.join(named, (rows["digest"] == named["digest"]) & (rows["key"] == named["node"])).select("node", F.size("elements").alias("n"), "elements").dropDuplicates(["node"])
+    # equal sets have equal elements, so they travel once, with the name of their class
+    held = stage(rows.groupBy("digest").agg(F.min("key").alias("node"), F.first("elements").alias("elements")), "classes")
+    members = rows.select("key", "digest").join(held.select("digest", "node"), "digest").select("key", "node")
+    reps = held.select("node", F.size("elements").alias("n"), "elements")
+    if held.groupBy("node").count().filter("count > 1").limit(1).count():  # a key with two sets
+        reps = stage(reps.dropDuplicates(["node"]), "classes")
     return reps, members
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """Distinct (left, right) that pass the prefix, size and position bounds; left has fewer elements, or the smaller name."""
-    tokens = stage(sets.select("node", "n", F.explode("elements").alias("token")), "tokens")
+    tokens = sets.select("node", "n", F.explode("elements").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("f"))
     # an element of one set comes first in the order and joins nothing
     shared = tokens.join(counts.filter("f > 1"), "token")
@@ -69,7 +72,6 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
 def similarity_join(df: DataFrame, key: str, elements: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(left, right, sim) of all pairs of classes with similarity of at least ``threshold``, left < right, and (key, node) of their members."""
     sets, members = classes(df, key, elements)
-    sets = stage(sets, "classes")
     pairs = stage(candidates(sets, threshold), "pairs")
     a = sets.select(F.col("node").alias("left"), F.col("elements").alias("_a"))
     b = sets.select(F.col("node").alias("right"), F.col("elements").alias("_b"))
