@@ -93,3 +93,36 @@ def test_lowest_of_topics_over_tiles(points, tile, monkeypatch):
     for i in range(60):
         ends = [min((j for j in range(60) if j % 7 == topic), key=lambda j: (s[i, j], j)) for topic in range(7)]
         assert got[i] == sorted(ends, key=lambda j: (s[i, j], j))[:4]
+
+
+@pytest.mark.parametrize("width", [10, 700, 739])
+def test_sets_of_columns_rule_out_nothing_that_counts(width):
+    rng = np.random.default_rng(width)
+    scores = rng.integers(-40, 40, (25, width)).astype(float)
+    scores[0], scores[1, 3:], scores[2, ::2], scores[3], scores[4, :5] = np.nan, np.nan, -np.inf, 1.0, np.inf
+    best = rt._Best(30, 6)
+    for ids, part in ((np.arange(width), scores), (np.arange(width, 2 * width), scores[:, ::-1])):
+        best.add(np.arange(25) + 5, ids, part)
+    both = np.concatenate([scores, scores[:, ::-1]], axis=1)
+    rows = pd.concat(best.rows(np.arange(30)))
+    for i in range(25):
+        want = sorted(np.flatnonzero(~np.isnan(both[i])), key=lambda j: (-both[i, j], j))[:6]
+        assert rows[rows.qid == i + 5]["id"].tolist() == want
+    # a floor that is known already leaves little to be looked into, as does the floor of the first scores
+    wide = rng.normal(size=(50, 64 * rt.FOLD))
+    assert len(rt._reaching(wide, np.full(50, -np.inf), 8)[0]) < 50 * 8 * 2
+    assert len(rt._reaching(wide, np.full(50, 9.0), 8)[0]) == 0
+
+
+def test_pairs_of_blocks_do_not_queue_in_a_few_tasks(points, monkeypatch):
+    from pyspark import TaskContext
+    monkeypatch.setattr(rt, "TILE", 64)
+
+    def where(left, right):
+        return pd.DataFrame({"task": [TaskContext.get().partitionId()], "n": [len(left) * len(right)]})
+    df = points[1]
+    met = rt._blocked(df.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), df.select("id", "vec"), where, "task long, n long")
+    got = met.collect()
+    assert len(got) == 36 and sum(r.n for r in got) == 1500 * 1500
+    # 4 partitions are set
+    assert len({r.task for r in got}) > 20

@@ -22,8 +22,11 @@ QUERY_BLOCK = 32768
 CORPUS_BLOCK = 32768
 # What is scored at once: 32 MB of scores
 TILE = 2048
+# Columns that are told apart by the largest of them first
+FOLD = 32
 # Few rows are cut further, into so many blocks a side, to give all cores work
 LEAST_BLOCKS = 6
+MOST_TASKS = 2000
 
 
 def _blocks(rows: int, size: int) -> int:
@@ -41,6 +44,8 @@ def _blocked(queries: DataFrame, corpus: DataFrame, fn: Callable[[pd.DataFrame,
         queries, corpus = queries.withColumn("list", F.lit(0)), corpus.withColumn("list", F.lit(0))
         nq, nc = (_blocks(side.count(), size) for side, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
 
+        pairs = nq * nc
+
         def counted(side):
             return side.withColumns({"_q": F.lit(nq).cast("bigint"), "_c": F.lit(nc).cast("bigint")})
     else:
@@ -49,6 +54,7 @@ def _blocked(queries: DataFrame, corpus: DataFrame, fn: Callable[[pd.DataFrame,
         # one row per list
         sizes = queries.groupBy("list").agg(F.count("*").alias("_nq")).join(corpus.groupBy("list").agg(F.count("*").alias("_nc")), "list")
         cuts = stage(sizes.select("list", F.ceil(F.col("_nq") / QUERY_BLOCK).alias("_q"), F.ceil(F.col("_nc") / CORPUS_BLOCK).alias("_c")), "cuts")
+        pairs = cuts.agg(F.sum(F.col("_q") * F.col("_c"))).first()[0] or 0
 
         def counted(side):
             return side.join(cuts, "list")
@@ -58,6 +64,9 @@ def _blocked(queries: DataFrame, corpus: DataFrame, fn: Callable[[pd.DataFrame,
         return marked.withColumn(f"{other}b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))).drop("_q", "_c")
     q, c = spread(queries, "qid", "_q", "_c"), spread(corpus, "id", "_c", "_q")
     keys = ["list", "_qb", "_cb"]
+    # pairs of blocks are few and costly: more partitions than pairs, so that hardly two share a task while others wait
+    tasks = max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4 * pairs, MOST_TASKS))
+    q, c = q.repartition(tasks, *keys), c.repartition(tasks, *keys)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
@@ -77,6 +86,39 @@ def _tiles(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, np.n
             yield row, col, left[row:row + TILE] @ right[col:col + TILE].T
 
 
+def _strips(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """As tiles of the same size, but few rows by many columns, so that a query is seldom asked again."""
+    cols = max(1, min(len(right), 16 * TILE))
+    rows = max(1, TILE * TILE // cols)
+    for col in range(0, len(right), cols):
+        across = np.ascontiguousarray(right[col:col + cols].T)
+        for row in range(0, len(left), rows):
+            yield row, col, left[row:row + rows] @ across
+
+
+def _reaching(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores that may be among the k best of their row and reach its floor.
+
+    The k-th largest maximum of some sets of columns is a lower bound of the
+    k-th score, and only sets whose maximum reaches it are looked into.
+    """
+    n, width = scores.shape
+    sets = width // FOLD
+    if sets < 2 * k:
+        if width > k and np.isneginf(floor).any():
+            floor = np.maximum(floor, np.partition(np.where(np.isnan(scores), -np.inf, scores), -k, axis=1)[:, -k])
+        return np.nonzero(scores >= floor[:, None])
+    folded = scores[:, :sets * FOLD].reshape(n, FOLD, sets)
+    top = np.fmax.reduce(folded, axis=1)
+    if np.isneginf(floor).any():
+        floor = np.maximum(floor, np.partition(np.where(np.isnan(top), -np.inf, top), -k, axis=1)[:, -k])
+    # a set without a number reaches nothing
+    at, which = np.nonzero(top >= floor[:, None])
+    inside, place = np.nonzero(folded[at, :, which] >= floor[at, None])
+    rest, tail = np.nonzero(scores[:, sets * FOLD:] >= floor[:, None])
+    return np.concatenate([at[inside], rest]), np.concatenate([place * sets + which[inside], sets * FOLD + tail])
+
+
 class _Best:
     """The ``k`` best rows of every query seen so far, ties by id.
 
@@ -91,10 +133,7 @@ class _Best:
 
     def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores`` of the queries ``at`` with the rows ``ids``."""
-        floor = self.score[at, -1]
-        if scores.shape[1] > self.k and np.isneginf(floor).any():
-            floor = np.maximum(floor, np.partition(np.where(np.isnan(scores), -np.inf, scores), -self.k, axis=1)[:, -self.k])
-        rows, cols = np.nonzero(scores >= floor[:, None])
+        rows, cols = _reaching(scores, self.score[at, -1], self.k)
         if not len(rows):
             return
         touched, place = np.unique(rows, return_inverse=True)
@@ -122,8 +161,8 @@ def _best_of(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """The k best rows of a block for every query of a block."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         best, ids = _Best(len(left), k), right["id"].to_numpy(np.int64)
-        for row, col, scores in _tiles(_matrix(left["qvec"]), _matrix(right["vec"])):
-            best.add(np.arange(row, row + len(scores)), ids[col:col + TILE], scores)
+        for row, col, scores in _strips(_matrix(left["qvec"]), _matrix(right["vec"])):
+            best.add(np.arange(row, row + len(scores)), ids[col:col + scores.shape[1]], scores)
         return pd.concat(best.rows(left["qid"].to_numpy(np.int64)), ignore_index=True)
     return run
 
@@ -147,8 +186,8 @@ def _scanned(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
         best = _Best(len(qid), k)
         for batch in batches:
             ids = batch["id"].to_numpy(np.int64)
-            for row, col, scores in _tiles(qvec, _matrix(batch["vec"]) if len(batch) else np.empty((0, qvec.shape[1]))):
-                best.add(np.arange(row, row + len(scores)), ids[col:col + TILE], scores)
+            for row, col, scores in _strips(qvec, _matrix(batch["vec"]) if len(batch) else np.empty((0, qvec.shape[1]))):
+                best.add(np.arange(row, row + len(scores)), ids[col:col + scores.shape[1]], scores)
         yield from best.rows(qid)
     return spread(corpus.select("id", "vec"), "id").mapInPandas(run, "qid long, id long, score double")
 
