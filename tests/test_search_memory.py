@@ -126,3 +126,17 @@ def test_pairs_of_blocks_do_not_queue_in_a_few_tasks(points, monkeypatch):
     assert len(got) == 36 and sum(r.n for r in got) == 1500 * 1500
     # 4 partitions are set
     assert len({r.task for r in got}) > 20
+
+
+def test_neighbours_are_searched_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def search(batches):
+        for batch in batches:
+            asked.add(len(batch))
+            yield batch
+    near = spark.createDataFrame([(c, r, (c + r) % 8) for c in range(8) for r in range(1, 5)], "chunk_id long, rank int, neighbor_id long")
+    chunks = spark.createDataFrame([(c, 0, c // 2) for c in range(8)], "chunk_id long, dataset_idx long, doc_id long")
+    own = chunks.select(F.floor(F.col("chunk_id") / 2).alias("sample_id"), "dataset_idx", "doc_id")
+    got = rt.causal_neighbors(near.mapInPandas(search, near.schema), own, chunks, 2, k_save=3)
+    assert got.count() == 24 and asked.value == 32

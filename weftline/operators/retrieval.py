@@ -422,6 +422,8 @@ def causal_neighbors(neighbors: DataFrame, sample_docs: DataFrame, chunks: DataF
     ``neighbors`` holds (chunk_id, rank, neighbor_id) with missing ids below 0,
     ``sample_docs`` (sample_id, dataset_idx, doc_id), ``chunks`` (chunk_id, dataset_idx, doc_id).
     """
+    # staged, as both the neighbours and the chunks that have any are read from it: a search is not run twice
+    neighbors = stage(neighbors.select("chunk_id", "rank", "neighbor_id"), "neighbors")
     db = chunks.select(F.col("chunk_id").alias("neighbor_id"), "dataset_idx", "doc_id")
     real = neighbors.filter("neighbor_id >= 0").join(db, "neighbor_id").withColumn("sample_id", F.floor(F.col("chunk_id") / per_sample))
     allowed = real.join(sample_docs.select("sample_id", "dataset_idx", "doc_id").distinct(), ["sample_id", "dataset_idx", "doc_id"], "left_anti")
