@@ -149,3 +149,25 @@ def test_masks(spark):
     row = df.select(tk.eos_mask(F.col("ids"), [99, 7]).alias("e"), tk.position_ids(F.col("m")).alias("p"),
                     tk.remove_pad(F.col("ids"), F.col("m")).alias("k"), tk.expand_to_token(F.lit(2.5), F.col("m")).alias("x")).first()
     assert (row.e, row.p, row.k, row.x) == ([1, 1, 1, 1, 0, 0], [0, 0, 0, 1, 1], [99, 5], [0.0, 2.5, 0.0, 0.0, 0.0])
+
+
+def test_tasks_of_guidance_follow_the_rows(spark, monkeypatch):
+    from weftline import session
+    monkeypatch.setattr(session, "ROWS_A_TASK", 64, raising=False)
+    # half of the prompts are accepted without guidance, the others with hints
+    rows = [(u, v, float(i < (4 if v == "hint" or u % 2 else 0)), i) for u in range(400) for v in ("plain", "hint") for i in range(8)]
+    df = spark.createDataFrame(rows, "uid long, variant string, score double, n long")
+    got, _ = ro.adaptive_guidance(df, "uid", "variant", "score", "n", {"plain": (0.1, 0.9), "hint": (0.1, 0.9)}, 0.0, 50, k=3)
+    held = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    # 200 re-rolled prompts are cut to 198
+    assert sum(r["count"] for r in held) == 200 * 8 + 198 * 8
+    # 4 partitions are set: 400 rows each of a variant
+    assert len(held) > 40 and max(r["count"] for r in held) < 250
+    assert {r.uid for r in got.filter("not on_policy").select("uid").distinct().collect()} == set(range(0, 396, 2))
+
+
+def test_rerolls_are_cut_by_names_too(spark):
+    df = spark.createDataFrame([(f"p{u}", float(u < 2), 1) for u in (0, 10, 2, 33, 4, 5, 6)] + [("p1", 1.0, 1), ("p1", 0.0, 1), (None, 0.0, 1)], "uid string, score double, n long")
+    got = {r.uid: r.reroll for r in ro.accept_groups(df, "uid", "score", "n", 0.2, 0.8, 0.1, k=3).collect()}
+    # in order: None, p10, p2, p33, p4, p5, p6; the last one is left out
+    assert sorted(u for u, reroll in got.items() if reroll) == ["p10", "p2", "p33", "p4", "p5"]

@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import stage
-from .index import attach_group, same_keys, with_group_index, with_group_totals, with_row_index
+from ..session import spread_rows, stage
+from .index import attach_group, same_keys, with_group_index, with_group_totals
 
 
 def grpo_advantage(df: DataFrame, uid: str, score: str, use_std: bool = True, eps: float = 1e-6) -> DataFrame:
@@ -43,6 +43,12 @@ def accept_groups(df: DataFrame, uid: str, score: str, resp_len: str, lo: float
     nothing below ``k``. When no group is accepted the whole batch is
     re-rolled. Without the accuracy filter nothing is re-rolled.
     """
+    return _accept(spread_rows(df, df.count(), uid), uid, score, resp_len, lo, hi, reroll_threshold, max_len, k, filter_accuracy)
+
+
+def _accept(df: DataFrame, uid: str, score: str, resp_len: str, lo: float, hi: float, reroll_threshold: float | None,
+            max_len: int | None, k: int, filter_accuracy: bool = True) -> DataFrame:
+    """As :func:`accept_groups`, for rows that lie in partitions by prompt."""
     truncated = F.max(F.coalesce(F.col(resp_len) >= max_len, F.lit(False))) if max_len is not None else F.lit(False)
     groups = df.groupBy(uid).agg(F.avg(score).alias("acc"), truncated.alias("truncated"))
     inside = F.col("acc").between(lo, hi) if filter_accuracy else F.lit(True)
@@ -54,12 +60,19 @@ def accept_groups(df: DataFrame, uid: str, score: str, resp_len: str, lo: float
     keep = lows // k * k
     if keep == lows:
         return groups.withColumnRenamed("_low", "reroll")
-    chosen = with_row_index(groups.filter("_low").select(uid), [uid], "_pos").filter(F.col("_pos") < keep).select(uid, F.lit(True).alias("reroll"))
-    return groups.drop("_low").join(chosen, uid, "left").withColumn("reroll", F.coalesce("reroll", F.lit(False)))
+    # the last ones in uid order, fewer than k, are left out: all from the least of them on
+    cut = groups.filter("_low").select(uid).orderBy(F.col(uid).desc()).limit(lows - keep).agg(F.min(uid)).first()[0]
+    return groups.withColumn("reroll", F.col("_low") & F.coalesce(F.col(uid) < F.lit(cut), F.lit(False))).drop("_low")
 
 
 def accepted_rows(df: DataFrame, groups: DataFrame, uid: str) -> DataFrame:
-    return df.join(groups.filter("accepted").select(uid), uid, "left_semi")
+    """Rows of accepted prompts; ``groups`` holds a prompt once."""
+    return _of_prompts(df, groups.filter("accepted"), uid)
+
+
+def _of_prompts(df: DataFrame, prompts: DataFrame, uid: str) -> DataFrame:
+    # an inner join on purpose: a semi join would be moved in front of the partitions that the rows were given
+    return df.join(prompts.select(uid), uid).select(*df.columns)
 
 
 def adaptive_guidance(df: DataFrame, uid: str, variant: str, score: str, resp_len: str, bounds: dict[str, tuple[float, float]],
@@ -70,12 +83,14 @@ def adaptive_guidance(df: DataFrame, uid: str, variant: str, score: str, resp_le
     prompts the one before sent to be re-rolled.
     """
     wanted, rows, counts = None, [], []
+    # one row per variant
+    sizes = {r[0]: r[1] for r in df.filter(F.col(variant).isin(*bounds)).groupBy(variant).agg(F.count("*")).collect()}
     for i, (name, (lo, hi)) in enumerate(bounds.items()):
-        part = df.filter(F.col(variant) == name)
-        if wanted is not None:
-            part = part.join(wanted, uid, "left_semi")
-        groups = accept_groups(part, uid, score, resp_len, lo, hi, reroll_threshold, max_len, k)
-        rows.append(accepted_rows(part, groups, uid).withColumn("on_policy", F.lit(i == 0)))
+        own = spread_rows(df.filter(F.col(variant) == name), sizes.get(name, 0), uid)
+        part = own if wanted is None else _of_prompts(own, wanted, uid)
+        groups = _accept(part, uid, score, resp_len, lo, hi, reroll_threshold, max_len, k)
+        # groups hold wanted prompts only
+        rows.append(accepted_rows(own, groups, uid).withColumn("on_policy", F.lit(i == 0)))
         counts.append(part.agg(F.countDistinct(uid).alias("prompts"), F.avg(score).alias("accuracy")).withColumn("variant", F.lit(name))
                       .withColumn("accepted_groups", F.lit(groups.filter("accepted").count())))
         wanted = groups.filter("reroll").select(uid)
