@@ -171,3 +171,14 @@ def test_rerolls_are_cut_by_names_too(spark):
     got = {r.uid: r.reroll for r in ro.accept_groups(df, "uid", "score", "n", 0.2, 0.8, 0.1, k=3).collect()}
     # in order: None, p10, p2, p33, p4, p5, p6; the last one is left out
     assert sorted(u for u, reroll in got.items() if reroll) == ["p10", "p2", "p33", "p4", "p5"]
+
+
+def test_indexed_rows_are_written_once_and_narrow(spark, monkeypatch):
+    from weftline import plans
+    from weftline.operators import index
+    placed, written = index._placed, []
+    monkeypatch.setattr(index, "_placed", lambda df, order, *more: written.append(placed(df, order, *more)) or written[-1])
+    mixed = plans.QUERIES["mixin_correct"](spark, "/root/testdata/sf0.001")
+    assert set(written[0].columns) == {"uid", "score", "resp_len", "variant", "_v_sample_idx", "_at", "_part"}
+    # what follows reads the numbered rows, and numbers none itself
+    assert len(written) == 3 and all("l_tax" not in w._jdf.queryExecution().optimizedPlan().toString() for w in [mixed, *written])

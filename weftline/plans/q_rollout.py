@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import affine, rollout as ro, tokens as tk
 from ..operators.index import with_row_index
+from ..session import stage
 from . import views
 from .registry import joined, query, r6
 
@@ -149,7 +150,8 @@ o AS (SELECT uid, score AS o_score, resp_len AS o_len, row_number() OVER (PARTIT
 SELECT n.uid, sample_idx, CASE WHEN n.score <> 1 AND o_len IS NOT NULL THEN o_score ELSE score END AS score, CASE WHEN n.score <> 1 AND o_len IS NOT NULL THEN o_len ELSE resp_len END AS resp_len,
   n.score <> 1 AND o_len IS NOT NULL AS replaced FROM n LEFT JOIN o ON o.uid = n.uid AND o.k = n.k""")
 def _(t):
-    df = views.rollouts(t, indexed=True).select("uid", "sample_idx", "score", "resp_len", "variant")
+    # staged, as right, wrong and old rows are read from it, and wrong and old ones twice to be ranged
+    df = stage(views.rollouts(t, indexed=True, only=["score", "resp_len", "variant"]).filter("variant <> 'cot'"), "rollouts")
     new, old = df.filter("variant = 'hint'").drop("variant"), df.filter("variant = 'plain'").drop("variant")
     return ro.mixin_correct(new, old, "uid", ["sample_idx"], "score", ["score", "resp_len"])
 

@@ -318,7 +318,7 @@ def _(t):
 
 @query("shuffle_groups", f"WITH {views.ROLLOUTS} SELECT uid, sample_idx, row_number() OVER (ORDER BY md5('5|' || uid), uid, sample_idx) - 1 AS pos FROM rollouts")
 def _(t):
-    return rows.shuffle_groups(views.rollouts(t, indexed=True).select("uid", "sample_idx"), 5, "uid", ["sample_idx"])
+    return rows.shuffle_groups(views.rollouts(t, indexed=True, only=[]), 5, "uid", ["sample_idx"])
 
 
 @query("sample_generations", "SELECT conv_id, turn, text FROM conversations ORDER BY md5('42|' || text || '|' || conv_id || '|' || turn), text, conv_id, turn LIMIT 20")
