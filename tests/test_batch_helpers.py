@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import minhash
+from weftline.functions import minhash, wordpiece as wp
 from weftline.functions.wordpiece import wordpiece
 from weftline.operators import objectives as ob, scoring as sc
 
@@ -66,3 +66,30 @@ def test_pieces_are_sorted_natively(spark):
     made = wordpiece(docs, "k", "t", vocab)
     assert "array_sort" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert {r.k: r.pieces for r in made.collect()} == {1: ["a", "##b", "a", "b", "a", "##b"] * 6, 2: [], 3: ["[UNK]", "a", "##b"]}
+
+
+WORDS = [(1, "Unaffable xyz un ## ##able"), (2, None), (3, " \n"), (4, "u" * 300 + " unable İß 😀un 😀"), (5, "un " * 700)]
+CUT = {1: ["un", "##aff", "##able", "[UNK]", "un", "[UNK]", "##able"], 2: [], 3: [], 4: ["[UNK]", "un", "##able", "[UNK]", "😀", "##un", "😀"], 5: ["un"] * 700}
+
+
+@pytest.mark.parametrize("largest", [wp.PIECES, 0])
+def test_words_are_cut_the_same_by_a_held_and_by_a_joined_vocabulary(spark, monkeypatch, largest):
+    monkeypatch.setattr(wp, "PIECES", largest)
+    monkeypatch.setattr(wp, "WORDS", 4)
+    monkeypatch.setattr(wp, "KEEP", 2)
+    docs = spark.createDataFrame(WORDS, "k long, t string").coalesce(1)
+    vocab = spark.createDataFrame([("un",), ("##aff",), ("##able",), ("##a",), ("##un",), ("😀",), (None,), ("un",)], "piece string")
+    assert {r.k: r.pieces for r in wordpiece(docs, "k", "t", vocab).collect()} == CUT
+    # rows of one key share the pieces of all of them, place by place
+    twice = spark.createDataFrame([(7, "un 😀"), (7, "unable"), (None, "un"), (None, "x"), (8, "un")], "k long, t string")
+    got = sorted(((r.k, r.pieces) for r in wordpiece(twice, "k", "t", vocab).collect()), key=str)
+    shared = (7, ["un", "un", "##able", "😀"])
+    assert got == sorted([shared, shared, (8, ["un"]), (None, ["[UNK]", "un"]), (None, ["[UNK]", "un"])], key=str)
+    none = spark.createDataFrame([], "piece string")
+    assert wordpiece(docs.filter("k = 1"), "k", "t", none).first().pieces == ["[UNK]"] * 5
+
+
+def test_words_of_documents_are_not_shuffled(spark):
+    docs = spark.createDataFrame(WORDS, "k long, t string")
+    made = wordpiece(docs, "k", "t", spark.createDataFrame([("un",)], "piece string"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
