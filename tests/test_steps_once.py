@@ -1,10 +1,14 @@
 """Costly steps that a query shares between its parts are run once."""
 
+import itertools
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline import plans
+from weftline.functions import text as tx
 from weftline.operators import index, setjoin
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,3 +46,47 @@ def test_a_key_of_two_sets_names_one_class(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (1, ["x", "y"]), (2, ["q"])], "doc_id long, s array<string>")
     sets, members = setjoin.classes(df, "doc_id", F.col("s"))
     assert sorted(r.node for r in sets.collect()) == [1, 2] and members.count() == 3
+
+
+def test_elements_of_one_set_are_not_kept_or_joined(spark, monkeypatch):
+    rows = [(k, [f"{k}-{i}" for i in range(20)] + (["p", "q"] * 15 if k < 4 else [])) for k in range(40)]
+    rows += [(100, [f"1-{i}" for i in range(20)] + ["p"])]
+    written, stage = {}, setjoin.stage
+
+    def staged(df, label="stage"):
+        written[label] = stage(df, label)
+        return written[label]
+    monkeypatch.setattr(setjoin, "stage", staged)
+    pairs, _ = setjoin.similarity_join(spark.createDataFrame(rows, "k long, e array<string>"), "k", F.col("e"), 0.5)
+    assert [(r.left, r.right, round(r.sim, 6)) for r in pairs.collect()] == [(1, 100, round(21 / 22, 6))]
+    held = {r.node: len(r.elements) for r in written["classes"].collect()}
+    assert held == {0: 2, 1: 22, 2: 2, 3: 2, 100: 21}
+
+
+@pytest.mark.parametrize("copies", [setjoin.COPIES, 0])
+def test_sets_in_many_slices_and_blocks(spark, monkeypatch, copies):
+    """Text keys, copies left out in both ways, a set beyond a block, a key of two sets, a null key."""
+    for name, value in (("TOKENS", 16), ("BLOCK", 3), ("COPIES", copies)):
+        monkeypatch.setattr(setjoin, name, value)
+    rnd = random.Random(3)
+    sets = [sorted({f"e{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 12))}) for _ in range(60)]
+    sets += [[f"x{i}" for i in range(40)], [f"x{i}" for i in range(30)]] + sets[:9]
+    rows = [(f"k{i:03}", s) for i, s in enumerate(sets)] + [(None, sets[0]), (None, ["only"]), ("k003", sets[3])]
+    pairs, members = setjoin.similarity_join(spark.createDataFrame(rows, "k string, e array<string>"), "k", F.col("e"), 0.5)
+    first = {}
+    for k, s in rows:
+        if k is not None:
+            first.setdefault(frozenset(s), k)
+    want = {(min(i, j), max(i, j)): round(len(a & b) / len(a | b), 9) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if 2 * len(a & b) >= len(a | b)}
+    assert len(want) > 5 and ("k060", "k061") in want
+    got = [(r.left, r.right, round(r.sim, 9)) for r in pairs.collect()]
+    assert {(a, b): s for a, b, s in got} == want and len(got) == len(want)
+    named = sorted(((r.key, r.node) for r in members.collect()), key=str)
+    assert named == sorted(((k, first.get(frozenset(s))) for k, s in rows), key=str)
+
+
+def test_shingles_of_words_are_hashes_of_distinct_runs(spark):
+    texts = [(1, "a b c a b c a"), (2, "a b"), (3, ""), (4, None), (5, "b a c")]
+    made = {r.k: r.s for r in spark.createDataFrame(texts, "k long, t string").select("k", setjoin.word_shingles(tx.words(F.col("t")), 3).alias("s")).collect()}
+    assert {k: len(set(s or [])) for k, s in made.items()} == {1: 3, 2: 1, 3: 0, 4: 0, 5: 1}
+    assert len(made[1]) == 3 and not set(made[5]) & set(made[1])

@@ -8,76 +8,203 @@ candidates, and elements that most sets have never pair anything. An element of
 many prefixes is cut into blocks that meet block by block, so no task lists it
 alone. Equal sets are one class: the join lists pairs of classes, and the
 members of a class beside it.
+
+Most elements are in one set only. They come first in the order, pair nothing
+and are no part of an overlap, so they leave after they are counted: the sets of
+a batch go to slices of the element space as sorted, packed numbers (some 7
+bytes an element), and only elements of two sets or more come back.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let
-from ..session import spread_pairs, stage
+from ..session import stage
 
 BLOCK = 1024
+TOKENS = 1 << 21  # elements that a task counts at once
+COPIES = 1 << 19  # rows to leave out that tasks hold
+_KINDS = (np.uint64, np.uint16, np.uint32)  # a packed element: its hash, the place of its set, in how many sets it is
 
 
 def word_shingles(words: Column, n: int) -> Column:
-    """Distinct runs of ``n`` words; a shorter text is one run, an empty one has none."""
+    """Hashes of the distinct runs of ``n`` words; a shorter text is one run, an empty one has none."""
     def runs(w: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
-        return F.when(F.size(w) >= n, F.array_distinct(made)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        made = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_distinct(made)).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
     # the words are found once, not once per run
     return let(words, runs)
 
 
 def classes(df: DataFrame, key: str, elements: Column) -> tuple[DataFrame, DataFrame]:
-    """(node, n, elements) of the distinct sets, named by their smallest key and staged, and (key, node) of all rows with a set.
+    """(node, n, elements) of the distinct sets, named by their smallest key, and (key, node) of all rows with a set.
+
+    Elements are 64-bit hashes; rows with an empty or null set have none. Sets
+    are written once and stay where they are: copies are found by digest.
+    """
+    hashed = df.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e)))).alias("elements"))
+    digest = F.struct(F.xxhash64("elements").alias("a"), F.xxhash64(F.lit(1), "elements").alias("b"))
+    rows = stage(hashed.filter(F.size("elements") > 0).select("key", digest.alias("digest"), F.size("elements").alias("n"), "elements"), "sets")
+    names = stage(rows.groupBy("digest").agg(F.min("key").alias("node")), "names")
+    members = rows.select("key", "digest").join(names, "digest").select("key", "node")
+    # a key with two sets names one of them
+    named = names.filter("node IS NOT NULL").groupBy(F.col("node").alias("key")).agg(F.min("digest").alias("digest"))
+    copies = stage(rows.filter("key IS NOT NULL").select("key", "digest").join(named, ["key", "digest"], "left_anti"), "copies")
+    n = copies.count()
+    left_out = F.broadcast(copies) if n <= COPIES else copies
+    reps = rows.filter("key IS NOT NULL")
+    reps = (reps.join(left_out, ["key", "digest"], "left_anti") if n else reps).select(F.col("key").alias("node"), "n", "elements")
+    repeated = not rows.groupBy("key").count().filter("count > 1").isEmpty()
+    if repeated:  # the same set twice under one key
+        reps = reps.dropDuplicates(["node"])
+    # rows that were moved may come in another order when a task is repeated
+    return stage(reps, "sets") if repeated or n > COPIES else reps, members
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns byte by byte, compressed: the first is sorted and kept as differences, whose high bytes are zero."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in (first, *columns[1:])]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(table: pa.Table, kinds: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all packed rows, one after the other, and the number of entries of each row."""
+    counts = table["count"].to_numpy()
+    parts = [[np.empty(0, k)] for k in kinds]
+    for n, packed in zip(counts.tolist(), table["packed"]):
+        raw = pa.decompress(packed.as_buffer(), n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd")
+        at = 0
+        for k, (kind, out) in enumerate(zip(kinds, parts)):
+            size = np.dtype(kind).itemsize
+            column = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+            out.append(column if k else np.cumsum(column, dtype=kind))
+            at += n * size
+    return [np.concatenate(p) for p in parts], counts
+
 
-    Elements are 64-bit hashes; rows with an empty or null set have none.
+def shared_elements(sets: DataFrame) -> DataFrame:
+    """(node, n, elements, common) of the sets that share elements: the shared ones, the rarest first, the last ``common`` in over BLOCK sets.
+
+    The sets of a batch are a block, whose names and sizes travel beside the
+    packed elements of every slice of the element space. A slice counts its
+    elements and returns those of two sets or more to their blocks.
     """
-    hashed = df.select(F.col(key).alias("key"), F.array_sort(F.transform(F.array_distinct(elements), lambda e: F.xxhash64(e))).alias("elements"))
-    rows = stage(hashed.filter(F.size("elements") > 0).withColumn("digest", F.sha2(F.concat_ws(",", F.transform("elements", lambda e: e.cast("string"))), 256)), "sets")
-    # equal sets have equal elements, so they travel once, with the name of their class
-    held = stage(rows.groupBy("digest").agg(F.min("key").alias("node"), F.first("elements").alias("elements")), "classes")
-    members = rows.select("key", "digest").join(held.select("digest", "node"), "digest").select("key", "node")
-    reps = held.select("node", F.size("elements").alias("n"), "elements")
-    if held.groupBy("node").count().filter("count > 1").limit(1).count():  # a key with two sets
-        reps = stage(reps.dropDuplicates(["node"]), "classes")
-    return reps, members
+    spark, kind, block_size = sets.sparkSession, sets.schema["node"].dataType.simpleString(), BLOCK
+    tokens = TOKENS
+    n_slices = -(-(sets.agg(F.sum("n")).first()[0] or 1) // tokens)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row = f"block bigint, nodes array<{kind}>, sizes array<int>, count bigint, packed binary"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        starts = np.array([-(-(k << 64) // n_slices) for k in range(n_slices)], np.uint64)
+        blocks = itertools.count(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            ends = np.cumsum(batch.column("n").to_numpy().astype(np.int64))
+            marks = np.flatnonzero(np.diff(ends // tokens)) + 1
+            cuts = np.unique(np.concatenate([marks, np.arange(0, batch.num_rows, 1 << 16), [batch.num_rows]]))
+            for start, end in itertools.pairwise(cuts.tolist()):
+                part, block = batch.slice(start, end - start), next(blocks)
+                sizes = part.column("n").to_numpy()
+                hashes = part.column("elements").flatten().to_numpy().view(np.uint64)
+                order = np.argsort(hashes)
+                hashes, place = hashes[order], np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)[order]
+                bounds = [*np.searchsorted(hashes, starts).tolist(), len(hashes)]
+                held = [(k, a, b) for k, (a, b) in enumerate(itertools.pairwise(bounds)) if a < b]
+                none = [None] * len(held)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block % n_slices, *(k for k, _, _ in held)], pa.int32()), pa.array([block] * (len(held) + 1), pa.int64()),
+                    pa.array([part.column("node").to_pylist(), *none], pa.list_(part.schema.field("node").type)), pa.array([sizes, *none], pa.list_(pa.int32())),
+                    pa.array([0, *(b - a for _, a, b in held)], pa.int64()),
+                    pa.array([b"", *(_packed(hashes[a:b], place[a:b]) for _, a, b in held)], pa.binary())],
+                    ["slice", "block", "nodes", "sizes", "count", "packed"])
+
+    def count(table: pa.Table) -> pa.Table:
+        heads = table.filter(table["nodes"].is_valid())
+        table = table.filter(table["nodes"].is_null())
+        (hashes, place), counts = _unpacked(table, _KINDS[:2])
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        runs = np.diff(np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))) if len(hashes) else np.empty(0, np.int64)
+        seen = np.repeat(runs, runs)
+        kept = np.flatnonzero(seen > 1)
+        source = np.repeat(np.arange(len(counts)), counts)[order[kept]]
+        # back to the rows they came in, where they stay sorted
+        kept = kept[np.argsort(source, kind="stable")]
+        n = np.bincount(source, minlength=len(counts))
+        ends = np.cumsum(n)
+        hashes, place, seen = hashes[kept], place[order[kept]], seen[kept].astype(np.uint32)
+        held = np.flatnonzero(n).tolist()
+        made = pa.table({
+            "block": table["block"].take(pa.array(held, pa.int64())), "nodes": pa.nulls(len(held), table.schema.field("nodes").type), "sizes": pa.nulls(len(held), table.schema.field("sizes").type),
+            "count": pa.array(n[held], pa.int64()),
+            "packed": pa.array([_packed(hashes[ends[k] - n[k]:ends[k]], place[ends[k] - n[k]:ends[k]], seen[ends[k] - n[k]:ends[k]]) for k in held], pa.binary())})
+        return pa.concat_tables([heads.select(made.column_names), made])
+
+    def order(table: pa.Table) -> pa.Table:
+        head = table.filter(table["nodes"].is_valid())
+        (hashes, place, seen), _ = _unpacked(table.filter(table["nodes"].is_null()), _KINDS)
+        nodes, sizes = pc.list_flatten(head["nodes"]), pc.list_flatten(head["sizes"])
+        by = np.lexsort((hashes, seen, place))
+        n = np.bincount(place, minlength=len(nodes))
+        common = np.bincount(place[seen > block_size], minlength=len(nodes))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(hashes[by].view(np.int64)))
+        made = pa.table({"node": nodes, "n": sizes, "elements": lists, "common": pa.array(common, pa.int32())})
+        return made.filter(pa.array(n > 0))
+
+    dealt = sets.select("node", "n", "elements").mapInArrow(deal, f"slice int, {row}")
+    parts = max(least, n_slices)
+    counted = dealt.repartition(parts, "slice").groupBy("slice").applyInArrow(count, row)
+    return counted.repartition(parts, "block").groupBy("block").applyInArrow(order, f"node {kind}, n int, elements array<bigint>, common int")
 
 
 def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """Distinct (left, right) that pass the prefix, size and position bounds; left has fewer elements, or the smaller name."""
-    tokens = sets.select("node", "n", F.explode("elements").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("f"))
-    # an element of one set comes first in the order and joins nothing
-    shared = tokens.join(counts.filter("f > 1"), "token")
-    ordered = shared.groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "token"))).alias("s"))
-    lone = F.col("n") - F.size("s")
+    lone = F.col("n") - F.size("elements")
     least = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
     # places are those in the whole set, lone elements included
-    head = F.slice("s", F.lit(1), F.greatest(F.col("n") - least + 1 - lone, F.lit(0)).cast("int"))
-    prefix = stage(ordered.select("node", "n", lone.alias("lone"), F.posexplode(head).alias("i", "t")).select("node", "n", (F.col("lone") + F.col("i")).alias("at"), "t.token"), "prefix")
-    sized = prefix.groupBy("token").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    marked = prefix.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    left = marked.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("own").alias("block"))
-    right = marked.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    met = left.join(right, ["token", "block"]).filter(
-        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(threshold) - 1e-9) & (rest >= need))
-    return met.select(F.col("a").alias("left"), F.col("b").alias("right")).distinct()
+    head = F.slice("elements", F.lit(1), F.greatest(F.col("n") - least + 1 - lone, F.lit(0)).cast("int"))
+    placed = sets.select("node", "n", lone.alias("lone"), (F.size("elements") - F.col("common")).alias("few"), F.posexplode(head).alias("i", "token"))
+    prefix = placed.select("node", "n", (F.col("lone") + F.col("i")).alias("at"), "token", (F.col("i") >= F.col("few")).alias("common"))
+    rare, common = prefix.filter("NOT common").drop("common"), prefix.filter("common").drop("common")
+    sized = common.groupBy("token").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    marked = common.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+
+    def side(df: DataFrame, mark: str, *more) -> DataFrame:
+        return df.select("token", F.col("node").alias(mark), F.col("n").alias(f"n{mark}"), F.col("at").alias(f"i{mark}"), *more)
+
+    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        need = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+        rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+        return left.join(right, on).filter(
+            ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(threshold) - 1e-9) & (rest >= need)).select("a", "b")
+
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    blocked = met(side(marked, "a", F.col("own").alias("block")), side(marked, "b", every), ["token", "block"])
+    return met(side(rare, "a"), side(rare, "b"), ["token"]).unionAll(blocked).select(F.col("a").alias("left"), F.col("b").alias("right")).distinct()
 
 
 def similarity_join(df: DataFrame, key: str, elements: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(left, right, sim) of all pairs of classes with similarity of at least ``threshold``, left < right, and (key, node) of their members."""
     sets, members = classes(df, key, elements)
-    pairs = stage(candidates(sets, threshold), "pairs")
-    a = sets.select(F.col("node").alias("left"), F.col("elements").alias("_a"))
-    b = sets.select(F.col("node").alias("right"), F.col("elements").alias("_b"))
-    both = spread_pairs(pairs.join(a, "left").join(b, "right"), "left", "right")
+    held = stage(shared_elements(sets), "classes")
+    pairs = stage(candidates(held, threshold), "pairs")
+    # an overlap consists of shared elements
+    a = held.select(F.col("node").alias("left"), F.col("n").alias("_na"), F.col("elements").alias("_a"))
+    b = held.select(F.col("node").alias("right"), F.col("n").alias("_nb"), F.col("elements").alias("_b"))
     shared = F.size(F.array_intersect("_a", "_b"))
-    verified = both.select("left", "right", (shared / (F.size("_a") + F.size("_b") - shared)).alias("sim"))
+    verified = pairs.join(a, "left").join(b, "right").select("left", "right", (shared / (F.col("_na") + F.col("_nb") - shared)).alias("sim"))
     # staged, since a filter on sim would build the overlap twice
     near = stage(verified, "sims").filter(F.col("sim") >= F.lit(threshold) - 1e-12)
     return near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "sim"), members
