@@ -66,7 +66,7 @@ def test_elements_of_one_set_are_not_kept_or_joined(spark, monkeypatch):
 @pytest.mark.parametrize("copies", [setjoin.COPIES, 0])
 def test_sets_in_many_slices_and_blocks(spark, monkeypatch, copies):
     """Text keys, copies left out in both ways, a set beyond a block, a key of two sets, a null key."""
-    for name, value in (("TOKENS", 16), ("BLOCK", 3), ("COPIES", copies)):
+    for name, value in (("TOKENS", 16), ("BLOCK", 3), ("PAIRS", 4), ("COPIES", copies)):
         monkeypatch.setattr(setjoin, name, value)
     rnd = random.Random(3)
     sets = [sorted({f"e{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 12))}) for _ in range(60)]
@@ -85,6 +85,21 @@ def test_sets_in_many_slices_and_blocks(spark, monkeypatch, copies):
     assert named == sorted(((k, first.get(frozenset(s))) for k, s in rows), key=str)
 
 
+def test_a_set_is_sent_to_few_bundles(spark, monkeypatch):
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)] + [(100, 101), (200, 201)], "left long, right long").persist()
+    bundles = setjoin.bundled(pairs, pairs.count(), 0).collect()
+    assert len(bundles) == pairs.count() and len({(r.slot, r.i, r.j) for r in bundles}) == 1
+    monkeypatch.setattr(setjoin, "PAIRS", 40)
+    cut = setjoin.bundled(pairs, pairs.count(), 0).collect()
+    held = {}
+    for r in cut:
+        held.setdefault((r.slot, r.i, r.j), []).append((r.left, r.right))
+    assert sorted(p for h in held.values() for p in h) == sorted((r.left, r.right) for r in bundles)
+    # 435 pairs of one neighbourhood are 4 by 4 squares
+    assert len(held) >= 10 and max(map(len, held.values())) < 120
+    assert sum(len({n for p in h for n in p}) for h in held.values()) < 30 * 8
+
+
 def test_shingles_of_words_are_hashes_of_distinct_runs(spark):
     texts = [(1, "a b c a b c a"), (2, "a b"), (3, ""), (4, None), (5, "b a c")]
     made = {r.k: r.s for r in spark.createDataFrame(texts, "k long, t string").select("k", setjoin.word_shingles(tx.words(F.col("t")), 3).alias("s")).collect()}

@@ -30,6 +30,7 @@ from ..session import stage
 
 BLOCK = 1024
 TOKENS = 1 << 21  # elements that a task counts at once
+PAIRS = 1 << 15  # pairs that a task verifies at once
 COPIES = 1 << 19  # rows to leave out that tasks hold
 _KINDS = (np.uint64, np.uint16, np.uint32)  # a packed element: its hash, the place of its set, in how many sets it is
 
@@ -175,36 +176,83 @@ def candidates(sets: DataFrame, threshold: float) -> DataFrame:
     least = F.ceil(F.col("n") * F.lit(threshold) - 1e-9)
     # places are those in the whole set, lone elements included
     head = F.slice("elements", F.lit(1), F.greatest(F.col("n") - least + 1 - lone, F.lit(0)).cast("int"))
-    placed = sets.select("node", "n", lone.alias("lone"), (F.size("elements") - F.col("common")).alias("few"), F.posexplode(head).alias("i", "token"))
-    prefix = placed.select("node", "n", (F.col("lone") + F.col("i")).alias("at"), "token", (F.col("i") >= F.col("few")).alias("common"))
+    listed = F.transform(head, lambda e, i: F.struct(e.alias("token"), F.get("elements", i - 1).alias("prev")))
+    placed = sets.select("node", "n", lone.alias("lone"), (F.size("elements") - F.col("common")).alias("few"), F.posexplode(listed).alias("i", "t"))
+    prefix = placed.select("node", "n", (F.col("lone") + F.col("i")).alias("at"), "t.token", "t.prev", (F.col("i") >= F.col("few")).alias("common"))
     rare, common = prefix.filter("NOT common").drop("common"), prefix.filter("common").drop("common")
     sized = common.groupBy("token").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").alias("blocks"), F.count("*").alias("m")).filter("m > 1").drop("m")
     marked = common.join(sized, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
     def side(df: DataFrame, mark: str, *more) -> DataFrame:
-        return df.select("token", F.col("node").alias(mark), F.col("n").alias(f"n{mark}"), F.col("at").alias(f"i{mark}"), *more)
+        return df.select("token", F.col("node").alias(mark), F.col("n").alias(f"n{mark}"), F.col("at").alias(f"i{mark}"), F.col("prev").alias(f"p{mark}"), *more)
 
     def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         need = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9)
         rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+        # of a run that both have, the first element pairs them
+        first = F.col("pa").isNull() | F.col("pb").isNull() | (F.col("pa") != F.col("pb"))
         return left.join(right, on).filter(
-            ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(threshold) - 1e-9) & (rest >= need)).select("a", "b")
+            ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= F.col("nb") * F.lit(threshold) - 1e-9) & (rest >= need) & first).select("a", "b")
 
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
     blocked = met(side(marked, "a", F.col("own").alias("block")), side(marked, "b", every), ["token", "block"])
     return met(side(rare, "a"), side(rare, "b"), ["token"]).unionAll(blocked).select(F.col("a").alias("left"), F.col("b").alias("right")).distinct()
 
 
+def bundled(pairs: DataFrame, n: int, elements: int) -> DataFrame:
+    """``pairs`` with the bundle (slot, i, j) that verifies them: pairs of one neighbourhood, so that a set goes to few bundles.
+
+    The pairs whose right sets have the same smallest neighbour share a slot with
+    others, or are cut into squares where they are many.
+    """
+    slots = 1 + n // PAIRS + elements // TOKENS
+    both = pairs.unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right")))
+    labels = both.groupBy("right").agg(F.least(F.min("left"), F.col("right")).alias("label"))
+    marked = stage(pairs.join(labels, "right"), "marked")
+    large = marked.groupBy("label").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).cast("int").alias("k")).filter("k > 1")
+    place = F.xxhash64("label")
+    cut = marked.join(large, "label", "left")
+    whole = F.col("k").isNull()
+    return cut.select(
+        F.when(whole, F.pmod(place, F.lit(slots))).otherwise(place).alias("slot"),
+        *[F.when(whole, -1).otherwise(F.pmod(F.xxhash64(side), F.col("k"))).cast("int").alias(x) for x, side in (("i", "left"), ("j", "right"))], "left", "right")
+
+
+def overlaps(pairs: DataFrame, held: DataFrame, elements: int) -> DataFrame:
+    """(left, right, sim) of bundled pairs; a set goes once to every bundle that has pairs of it."""
+    bundle, kind = ["slot", "i", "j"], held.schema["node"].dataType.simpleString()
+    to = [f"to_{c}" for c in bundle]
+    wanted = pairs.select(*[F.col(c).alias(x) for c, x in zip(bundle, to)], F.explode(F.array("left", "right")).alias("node")).distinct()
+    sent = wanted.join(held.select("node", "n", "elements"), "node")
+
+    def meet(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        sets = sets.combine_chunks()
+        left, right = (pc.index_in(pairs[side], sets["node"]).to_numpy() for side in ("left", "right"))
+        sizes = sets["n"].to_numpy()
+        tokens = np.unique(pc.list_flatten(sets["elements"]).to_numpy(), return_inverse=True)[1]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(sets["elements"]).to_numpy())])
+        mark = np.zeros(len(tokens) + 1, bool)
+        by = np.argsort(right, kind="stable")
+        shared = np.empty(len(by), np.int64)
+        for run in np.split(by, np.flatnonzero(np.diff(right[by])) + 1):
+            own = tokens[ends[right[run[0]]]:ends[right[run[0]] + 1]]
+            mark[own] = True
+            for k in run.tolist():
+                shared[k] = np.count_nonzero(mark[tokens[ends[left[k]]:ends[left[k] + 1]]])
+            mark[own] = False
+        return pa.table({"left": pairs["left"], "right": pairs["right"], "sim": shared / (sizes[left] + sizes[right] - shared)})
+
+    # as many partitions as keep the sets of one small enough to be sorted in memory
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + elements // TOKENS)
+    return pairs.repartition(parts, *bundle).groupBy(*bundle).cogroup(sent.repartition(parts, *to).groupBy(*to)).applyInArrow(meet, f"left {kind}, right {kind}, sim double")
+
+
 def similarity_join(df: DataFrame, key: str, elements: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(left, right, sim) of all pairs of classes with similarity of at least ``threshold``, left < right, and (key, node) of their members."""
     sets, members = classes(df, key, elements)
     held = stage(shared_elements(sets), "classes")
     pairs = stage(candidates(held, threshold), "pairs")
     # an overlap consists of shared elements
-    a = held.select(F.col("node").alias("left"), F.col("n").alias("_na"), F.col("elements").alias("_a"))
-    b = held.select(F.col("node").alias("right"), F.col("n").alias("_nb"), F.col("elements").alias("_b"))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    verified = pairs.join(a, "left").join(b, "right").select("left", "right", (shared / (F.col("_na") + F.col("_nb") - shared)).alias("sim"))
-    # staged, since a filter on sim would build the overlap twice
-    near = stage(verified, "sims").filter(F.col("sim") >= F.lit(threshold) - 1e-12)
+    elements = held.agg(F.sum(F.size("elements"))).first()[0] or 0
+    near = overlaps(bundled(pairs, pairs.count(), elements), held, elements).filter(F.col("sim") >= F.lit(threshold) - 1e-12)
     return near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "sim"), members
