@@ -46,28 +46,34 @@ def word_shingles(words: Column, n: int) -> Column:
 
 
 def classes(df: DataFrame, key: str, elements: Column) -> tuple[DataFrame, DataFrame]:
-    """(node, n, elements) of the distinct sets, named by their smallest key, and (key, node) of all rows with a set.
+    """(node, n, elements) of the distinct sets, named by their smallest key, and (key, node, n) of all rows with a set.
 
-    Elements are 64-bit hashes; rows with an empty or null set have none. Sets
-    are written once and stay where they are: copies are found by digest.
+    Elements are 64-bit hashes; rows with an empty or null set have none, and a
+    set may be empty here. Only digests are written: sets are hashed again from
+    ``df``, a plain read of a table, without the rows that are copies.
     """
-    hashed = df.select(F.col(key).alias("key"), F.sort_array(F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e)))).alias("elements"))
-    digest = F.struct(F.xxhash64("elements").alias("a"), F.xxhash64(F.lit(1), "elements").alias("b"))
-    rows = stage(hashed.filter(F.size("elements") > 0).select("key", digest.alias("digest"), F.size("elements").alias("n"), "elements"), "sets")
+    hashes = F.sort_array(F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e)))).alias("elements")
+    digest = F.struct(F.xxhash64("elements").alias("a"), F.xxhash64(F.lit(1), "elements").alias("b")).alias("digest")
+    hashed = df.select(F.col(key).alias("key"), hashes)
+    # empty sets go after the write: a filter on the elements would hash them twice
+    rows = stage(hashed.select("key", digest, F.size("elements").alias("elements")), "sets").filter("elements > 0").withColumnRenamed("elements", "n")
     names = stage(rows.groupBy("digest").agg(F.min("key").alias("node")), "names")
-    members = rows.select("key", "digest").join(names, "digest").select("key", "node")
+    members = rows.join(names, "digest").select("key", "node", "n")
     # a key with two sets names one of them
     named = names.filter("node IS NOT NULL").groupBy(F.col("node").alias("key")).agg(F.min("digest").alias("digest"))
     copies = stage(rows.filter("key IS NOT NULL").select("key", "digest").join(named, ["key", "digest"], "left_anti"), "copies")
     n = copies.count()
-    left_out = F.broadcast(copies) if n <= COPIES else copies
-    reps = rows.filter("key IS NOT NULL")
-    reps = (reps.join(left_out, ["key", "digest"], "left_anti") if n else reps).select(F.col("key").alias("node"), "n", "elements")
     repeated = not rows.groupBy("key").count().filter("count > 1").isEmpty()
-    if repeated:  # the same set twice under one key
-        reps = reps.dropDuplicates(["node"])
-    # rows that were moved may come in another order when a task is repeated
-    return stage(reps, "sets") if repeated or n > COPIES else reps, members
+    if not repeated and n <= COPIES:
+        kept = df.filter(F.col(key).isNotNull())
+        if n:
+            kept = kept.join(F.broadcast(copies.select(F.col("key").alias("_copy"))), F.col(key) == F.col("_copy"), "left_anti")
+        sets = kept.select(F.col(key).alias("node"), hashes).select("node", F.size("elements").alias("n"), "elements")
+        # a repeated task must find its rows in the same order
+        return sets.sortWithinPartitions("node", "n"), members
+    whole = stage(hashed.select("key", digest, "elements"), "sets").join(copies, ["key", "digest"], "left_anti")
+    reps = whole.filter("key IS NOT NULL AND size(elements) > 0").select(F.col("key").alias("node"), F.size("elements").alias("n"), "elements")
+    return stage(reps.dropDuplicates(["node"]) if repeated else reps, "sets"), members
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -92,7 +98,7 @@ def _unpacked(table: pa.Table, kinds: tuple) -> tuple[list[np.ndarray], np.ndarr
     return [np.concatenate(p) for p in parts], counts
 
 
-def shared_elements(sets: DataFrame) -> DataFrame:
+def shared_elements(sets: DataFrame, total: int) -> DataFrame:
     """(node, n, elements, common) of the sets that share elements: the shared ones, the rarest first, the last ``common`` in over BLOCK sets.
 
     The sets of a batch are a block, whose names and sizes travel beside the
@@ -101,7 +107,7 @@ def shared_elements(sets: DataFrame) -> DataFrame:
     """
     spark, kind, block_size = sets.sparkSession, sets.schema["node"].dataType.simpleString(), BLOCK
     tokens = TOKENS
-    n_slices = -(-(sets.agg(F.sum("n")).first()[0] or 1) // tokens)
+    n_slices = max(1, -(-total // tokens))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = f"block bigint, nodes array<{kind}>, sizes array<int>, count bigint, packed binary"
 
@@ -111,6 +117,7 @@ def shared_elements(sets: DataFrame) -> DataFrame:
         starts = np.array([-(-(k << 64) // n_slices) for k in range(n_slices)], np.uint64)
         blocks = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
+            batch = batch.filter(pc.fill_null(pc.greater(batch.column("n"), 0), False))
             ends = np.cumsum(batch.column("n").to_numpy().astype(np.int64))
             marks = np.flatnonzero(np.diff(ends // tokens)) + 1
             cuts = np.unique(np.concatenate([marks, np.arange(0, batch.num_rows, 1 << 16), [batch.num_rows]]))
@@ -211,7 +218,8 @@ def bundled(pairs: DataFrame, n: int, elements: int) -> DataFrame:
     marked = stage(pairs.join(labels, "right"), "marked")
     large = marked.groupBy("label").agg(F.ceil(F.sqrt(F.count("*") / PAIRS)).cast("int").alias("k")).filter("k > 1")
     place = F.xxhash64("label")
-    cut = marked.join(large, "label", "left")
+    # one row for PAIRS pairs at most
+    cut = marked.join(F.broadcast(large), "label", "left")
     whole = F.col("k").isNull()
     return cut.select(
         F.when(whole, F.pmod(place, F.lit(slots))).otherwise(place).alias("slot"),
@@ -250,9 +258,9 @@ def overlaps(pairs: DataFrame, held: DataFrame, elements: int) -> DataFrame:
 def similarity_join(df: DataFrame, key: str, elements: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(left, right, sim) of all pairs of classes with similarity of at least ``threshold``, left < right, and (key, node) of their members."""
     sets, members = classes(df, key, elements)
-    held = stage(shared_elements(sets), "classes")
+    held = stage(shared_elements(sets, members.agg(F.sum("n")).first()[0] or 0), "classes")
     pairs = stage(candidates(held, threshold), "pairs")
     # an overlap consists of shared elements
     elements = held.agg(F.sum(F.size("elements"))).first()[0] or 0
     near = overlaps(bundled(pairs, pairs.count(), elements), held, elements).filter(F.col("sim") >= F.lit(threshold) - 1e-12)
-    return near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "sim"), members
+    return near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "sim"), members.drop("n")
