@@ -63,26 +63,28 @@ def test_elements_of_one_set_are_not_kept_or_joined(spark, monkeypatch):
     assert held == {0: 2, 1: 22, 2: 2, 3: 2, 100: 21}
 
 
-@pytest.mark.parametrize("copies", [setjoin.COPIES, 0])
-def test_sets_in_many_slices_and_blocks(spark, monkeypatch, copies):
-    """Text keys, copies left out in both ways, a set beyond a block, a key of two sets, a null key."""
+@pytest.mark.parametrize("again", [True, False])
+@pytest.mark.parametrize("copies,twice", [(setjoin.COPIES, True), (setjoin.COPIES, False), (0, False)])
+def test_sets_in_many_slices_and_blocks(spark, monkeypatch, again, copies, twice):
+    """Text keys, copies left out in both ways, a set beyond a block, a row that comes twice, a null key, sets written or hashed again."""
     for name, value in (("TOKENS", 16), ("BLOCK", 3), ("PAIRS", 4), ("COPIES", copies)):
         monkeypatch.setattr(setjoin, name, value)
     rnd = random.Random(3)
     sets = [sorted({f"e{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 12))}) for _ in range(60)]
     sets += [[f"x{i}" for i in range(40)], [f"x{i}" for i in range(30)]] + sets[:9]
-    rows = [(f"k{i:03}", s) for i, s in enumerate(sets)] + [(None, sets[0]), (None, ["only"]), ("k003", sets[3])]
-    pairs, members = setjoin.similarity_join(spark.createDataFrame(rows, "k string, e array<string>"), "k", F.col("e"), 0.5)
+    rows = [(f"k{i:03}", s) for i, s in enumerate(sets)] + [(None, sets[0]), ("k900", []), ("k901", None)]
+    rows += [(None, ["only"]), ("k003", sets[3])] if twice else []
+    pairs, members = setjoin.similarity_join(spark.createDataFrame(rows, "k string, e array<string>"), "k", F.col("e"), 0.5, again)
     first = {}
     for k, s in rows:
-        if k is not None:
+        if k is not None and s:
             first.setdefault(frozenset(s), k)
     want = {(min(i, j), max(i, j)): round(len(a & b) / len(a | b), 9) for (a, i), (b, j) in itertools.combinations(first.items(), 2) if 2 * len(a & b) >= len(a | b)}
     assert len(want) > 5 and ("k060", "k061") in want
     got = [(r.left, r.right, round(r.sim, 9)) for r in pairs.collect()]
     assert {(a, b): s for a, b, s in got} == want and len(got) == len(want)
     named = sorted(((r.key, r.node) for r in members.collect()), key=str)
-    assert named == sorted(((k, first.get(frozenset(s))) for k, s in rows), key=str)
+    assert named == sorted(((k, first.get(frozenset(s))) for k, s in rows if s), key=str)
 
 
 def test_a_set_is_sent_to_few_bundles(spark, monkeypatch):

@@ -45,35 +45,41 @@ def word_shingles(words: Column, n: int) -> Column:
     return let(words, runs)
 
 
-def classes(df: DataFrame, key: str, elements: Column) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, key: str, elements: Column, again: bool = False) -> tuple[DataFrame, DataFrame]:
     """(node, n, elements) of the distinct sets, named by their smallest key, and (key, node, n) of all rows with a set.
 
-    Elements are 64-bit hashes; rows with an empty or null set have none, and a
-    set may be empty here. Only digests are written: sets are hashed again from
-    ``df``, a plain read of a table, without the rows that are copies.
+    Elements are 64-bit hashes; rows with an empty or null set have none. Sets
+    are written once, and copies are left out where they lie. If ``df`` is a
+    plain read of a table, only digests need be written and sets be hashed
+    ``again`` (a set may be empty then).
     """
     hashes = F.sort_array(F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e)))).alias("elements")
     digest = F.struct(F.xxhash64("elements").alias("a"), F.xxhash64(F.lit(1), "elements").alias("b")).alias("digest")
-    hashed = df.select(F.col(key).alias("key"), hashes)
+    hashed = df.select(F.col(key).alias("key"), hashes).select("key", digest, F.size("elements").alias("n"), "elements")
     # empty sets go after the write: a filter on the elements would hash them twice
-    rows = stage(hashed.select("key", digest, F.size("elements").alias("elements")), "sets").filter("elements > 0").withColumnRenamed("elements", "n")
+    rows = (stage(hashed.drop("elements"), "digests") if again else stage(hashed, "sets")).filter("n > 0")
     names = stage(rows.groupBy("digest").agg(F.min("key").alias("node")), "names")
-    members = rows.join(names, "digest").select("key", "node", "n")
+    members = rows.select("key", "digest", "n").join(names, "digest").select("key", "node", "n")
     # a key with two sets names one of them
     named = names.filter("node IS NOT NULL").groupBy(F.col("node").alias("key")).agg(F.min("digest").alias("digest"))
     copies = stage(rows.filter("key IS NOT NULL").select("key", "digest").join(named, ["key", "digest"], "left_anti"), "copies")
     n = copies.count()
     repeated = not rows.groupBy("key").count().filter("count > 1").isEmpty()
-    if not repeated and n <= COPIES:
+    if again and not repeated and n <= COPIES:
         kept = df.filter(F.col(key).isNotNull())
         if n:
             kept = kept.join(F.broadcast(copies.select(F.col("key").alias("_copy"))), F.col(key) == F.col("_copy"), "left_anti")
         sets = kept.select(F.col(key).alias("node"), hashes).select("node", F.size("elements").alias("n"), "elements")
         # a repeated task must find its rows in the same order
         return sets.sortWithinPartitions("node", "n"), members
-    whole = stage(hashed.select("key", digest, "elements"), "sets").join(copies, ["key", "digest"], "left_anti")
-    reps = whole.filter("key IS NOT NULL AND size(elements) > 0").select(F.col("key").alias("node"), F.size("elements").alias("n"), "elements")
-    return stage(reps.dropDuplicates(["node"]) if repeated else reps, "sets"), members
+    whole = (stage(hashed, "sets").filter("n > 0") if again else rows).filter("key IS NOT NULL")
+    if n:
+        whole = whole.join(F.broadcast(copies) if n <= COPIES else copies, ["key", "digest"], "left_anti")
+    reps = whole.select(F.col("key").alias("node"), "n", "elements")
+    if repeated:  # the same set twice under one key
+        reps = reps.dropDuplicates(["node"])
+    # rows that were moved may come in another order when a task is repeated
+    return stage(reps, "sets") if repeated or n > COPIES else reps, members
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -255,9 +261,12 @@ def overlaps(pairs: DataFrame, held: DataFrame, elements: int) -> DataFrame:
     return pairs.repartition(parts, *bundle).groupBy(*bundle).cogroup(sent.repartition(parts, *to).groupBy(*to)).applyInArrow(meet, f"left {kind}, right {kind}, sim double")
 
 
-def similarity_join(df: DataFrame, key: str, elements: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(left, right, sim) of all pairs of classes with similarity of at least ``threshold``, left < right, and (key, node) of their members."""
-    sets, members = classes(df, key, elements)
+def similarity_join(df: DataFrame, key: str, elements: Column, threshold: float, again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(left, right, sim) of all pairs of classes with similarity of at least ``threshold``, left < right, and (key, node) of their members.
+
+    ``again``: ``df`` is a plain read of a table, whose sets are hashed twice rather than written.
+    """
+    sets, members = classes(df, key, elements, again)
     held = stage(shared_elements(sets, members.agg(F.sum("n")).first()[0] or 0), "classes")
     pairs = stage(candidates(held, threshold), "pairs")
     # an overlap consists of shared elements

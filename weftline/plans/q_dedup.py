@@ -72,7 +72,7 @@ x AS (SELECT a.node AS l, b.node AS r, a.n AS na, b.n AS nb, count(*) AS x FROM
 SELECT 'link' AS kind, l AS node, r AS other, round(x / (na + nb - x)::DOUBLE, 6) AS sim FROM x WHERE x / (na + nb - x)::DOUBLE >= 0.5
 UNION ALL SELECT 'member', node, doc_id, 1.0 FROM m""")
 def _(t):
-    pairs, members = setjoin.similarity_join(views.documents(t), "doc_id", setjoin.word_shingles(tx.words(F.col("text")), 3), 0.5)
+    pairs, members = setjoin.similarity_join(views.documents(t), "doc_id", setjoin.word_shingles(tx.words(F.col("text")), 3), 0.5, again=True)
     links = pairs.select(F.lit("link").alias("kind"), F.col("left").alias("node"), F.col("right").alias("other"), r6(F.col("sim")).alias("sim"))
     return links.unionByName(members.select(F.lit("member").alias("kind"), "node", F.col("key").alias("other"), F.lit(1.0).alias("sim")))
 
